@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, mixing, sharding, substring_dedup, token_counts
+from . import decontamination, minhash_dedup, mixing, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark, sf_dir):
+    return minhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op2_stratified_shards(spark, sf_dir):
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"))
 
