@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, minhash_dedup, mixing, sharding, substring_dedup, token_counts
+from . import bloom_lm, decontamination, minhash_dedup, mixing, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_stratified_shards(spark, sf_dir):
     return sharding.stratified_shards(_table(spark, sf_dir, "documents"))
 
 
+def op3_bloom_lm(spark, sf_dir):
+    return bloom_lm.lm_scores(_table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark, sf_dir, vocabulary: str | None = None):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
