@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, sharding, substring_dedup, token_counts
+from . import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,10 @@ def op3_bloom_lm(spark, sf_dir):
     return bloom_lm.lm_scores(_table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark, sf_dir):
+    return quality.quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
