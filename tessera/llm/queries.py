@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, token_counts
+from . import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, token_counts, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_embedding_near_dedup(spark, sf_dir):
     return embedding_dedup.embedding_duplicates(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_toxicity(spark, sf_dir):
+    return toxicity.toxicity_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_token_counts(spark, sf_dir, vocabulary: str | None = None):
     return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
 
