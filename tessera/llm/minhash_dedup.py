@@ -157,8 +157,8 @@ class _Job:
         self.tmp = Scratch(self.spark)
         kind = T.StructType([docs.schema[0], *T.StructType.fromDDL("n bigint, cls bigint, rid bigint, sig array<int>").fields])
         self.rows = self.tmp.put(docs.mapInArrow(_signatures(size, seed), kind), "rows")
-        classes = self.rows.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("first"), F.min("rid").alias("rid"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
-        self.classes = self.tmp.put(classes, "classes")
+        classes = self.rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "rid")).alias("first"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
+        self.classes = self.tmp.put(classes.select("cls", "first", F.col("first.rid").alias("rid"), "n", "sig"), "classes")
 
     def prefixes(self) -> DataFrame:
         """(cls, v): the lists in which a class can meet one that it agrees with."""
@@ -217,14 +217,44 @@ class _Job:
         return components(tmp, links.union(more), "all")
 
 
+def _labelled(job: _Job) -> DataFrame:
+    """(cls, component, rid): the least row of the component of each class, as its id and number."""
+    found = job.run().withColumnRenamed("node", "_n")
+    classes = job.classes.select("cls", "first").join(found, F.col("cls") == F.col("_n"), "left").select("cls", "first", F.coalesce("label", "cls").alias("comp"))
+    classes = job.tmp.put(classes, "comps")
+    firsts = classes.groupBy("comp").agg(F.min("first").alias("least")).withColumnRenamed("comp", "_comp")
+    return classes.join(firsts, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), F.col("least.id").alias("component"), F.col("least.rid").alias("_rid"))
+
+
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, least: int = LEAST, seed: int = 7) -> DataFrame:
     """One row for each of `df`'s: id, n_shingles, component_id (the least id that it reaches by links), kept (id = component_id)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     job = _Job(docs, words, percent, least, seed)
-    found = job.run().withColumnRenamed("node", "_n")
-    classes = job.classes.select("cls", "first").join(found, F.col("cls") == F.col("_n"), "left").select("cls", "first", F.coalesce("label", "cls").alias("comp"))
-    classes = job.tmp.put(classes, "comps")
-    firsts = classes.groupBy("comp").agg(F.min("first").alias("component")).withColumnRenamed("comp", "_comp")
-    classes = classes.join(firsts, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), "component")
-    out = job.rows.join(classes, F.col("cls") == F.col("_cls"), "left").withColumn("component_id", F.coalesce("component", "id"))
+    out = job.rows.join(_labelled(job), F.col("cls") == F.col("_cls"), "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _numbered(size: int, names: list[str], id_at: int, text_at: int):
+    def numbered(batches):
+        for batch in batches:
+            ids, rid, some = batch.column(id_at).to_pylist(), [], []
+            for row, data, offs in chunks(batch.column(text_at)):
+                for i, s in enumerate(_sets(*hashes(data, offs, lower=True), size)):
+                    rid.append(_rid(ids[row + i], _key(s)[1]))
+                    some.append(len(s) > 0)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rid, pa.int64()), pa.array(some, pa.bool_())], names=[*names, "rid", "some"])
+
+    return numbered
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, least: int = LEAST, seed: int = 7) -> DataFrame:
+    """The rows of `df`, all columns: of each group the row of the least id, and all rows without words."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    job = _Job(docs, words, percent, least, seed)
+    kept = job.tmp.put(_labelled(job).select("_rid").distinct(), "kept")
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    rows = rows.mapInArrow(_numbered(words, names, df.columns.index(id_col), df.columns.index(text_col)), T.StructType([*rows.schema.fields, *T.StructType.fromDDL("rid bigint, some boolean").fields]))
+    one = rows.filter("some").join(kept, F.col("rid") == F.col("_rid"), "left_semi").groupBy("rid").agg(F.any_value(F.struct(*names)).alias("row"))
+    out = one.select("row.*").union(rows.filter("not some").select(*names))
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])

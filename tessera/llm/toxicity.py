@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ._fit import Constant, Network, fold, sample
 from ._words import ALNUM, PLAIN, U64, _table, chunks, mix, powers, spans
@@ -256,6 +257,21 @@ class Lexicon:
         return out
 
 
+def _tagged(shared, names: list[str], at: int):
+    """Scores beside all columns."""
+
+    def tagged(batches):
+        letters, lexicons, model = shared.value
+        memo: dict = {}
+        for batch in batches:
+            out = [np.zeros(0)]
+            for _, data, offs in chunks(batch.column(at)):
+                out.append(model.probability(lexicons[0].inputs(len(offs) - 1, *_terms(data, offs, memo, letters))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(out))], names=[*names, "_score"])
+
+    return tagged
+
+
 def _score(shared, label: bool):
     """Scores of rows (id, text, held_out), or with `label` the inputs of rows (label, text, half) under the other half's terms."""
 
@@ -326,3 +342,14 @@ def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     kind = docs.schema["id"].dataType.simpleString()
     out = docs.select("id", "text", out_of.alias("held_out")).mapInArrow(_score(shared, False), f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = MOST, seed: int = 9) -> DataFrame:
+    """The rows of `df`, all columns, whose score is under the threshold."""
+    docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, label_col, fold(F.col(id_col), folds) != held, fold(F.col("id"), folds) != held, most, seed))
+    names = [f"_{i}" for i in range(len(df.columns))]
+    rows = df.toDF(*names)
+    kind = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])
+    out = rows.mapInArrow(_tagged(shared, names, df.columns.index(text_col)), kind).filter(F.col("_score") < threshold)
+    return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])
