@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,3 +39,15 @@ def components(tmp: Scratch, edges: DataFrame, name: str) -> DataFrame:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
+
+
+def groups_of(linked: np.ndarray) -> np.ndarray:
+    """The least member of each group of a symmetric relation, given as a matrix."""
+    label = np.arange(len(linked))
+    while len(label):
+        least = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1))
+        least = least[least]
+        if (least == label).all():
+            break
+        label = least
+    return label

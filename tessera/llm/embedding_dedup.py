@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._components import components
+from ._components import components, groups_of
 from ._scratch import Scratch
 
 #: Vectors of a cell, on average, if a label has more; cells of a label at most; vectors of a block; vectors dealt to cells at a time.
@@ -88,17 +88,6 @@ def _deal(r: float):
     return deal
 
 
-def _groups(linked: np.ndarray) -> np.ndarray:
-    """The least member of each group of a symmetric relation."""
-    label = np.arange(len(linked))
-    while True:
-        least = np.minimum(label, np.where(linked, label[None, :], len(label)).min(1, initial=len(label)))
-        least = least[least]
-        if (least == label).all():
-            return label
-        label = least
-
-
 def _join(threshold: float):
     def join(table: pa.Table) -> pa.Table:
         left = table.column("left").to_numpy(zero_copy_only=False)
@@ -123,7 +112,7 @@ def _join(threshold: float):
             linked[: len(a), len(a) :] = hit
             linked |= linked.T
             links = np.concatenate([hit @ times[b], hit.T @ times[a]])
-        return pa.table({"cls": pa.array(cls[member]), "links": pa.array(links.astype(np.int64)), "root": pa.array(cls[member[_groups(linked)]])})
+        return pa.table({"cls": pa.array(cls[member]), "links": pa.array(links.astype(np.int64)), "root": pa.array(cls[member[groups_of(linked)]])})
 
     return join
 

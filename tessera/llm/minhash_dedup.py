@@ -5,9 +5,10 @@ signature. Values of one class only are dropped; a class needs `least` shared va
 classes that agree in `least` coordinates meet in a list of each one's first (shared - least + 1) values, so only these lists are merged
 (the prefix); the long lists are skipped, and agreement in them is read off the two signatures.
 
-Links are what counts, not pairs: first every class is held against the least member of its lists, the best of these pairs is confirmed
-on full sets, and components are formed. Then lists that still hold several components are compared, in blocks, across components
-only, and the pairs over the threshold are confirmed in the same way. A group of copies so costs a star, not its square.
+Candidates are gathered as connected clumps, not as pairs: every class is held against the least member of its lists; lists that still
+hold several clumps are compared in blocks, across clumps only, and each comparison reports the edges that join clumps. All pairs
+that agree lie in one clump. The full sets of a clump are then compared exactly, block by block, by products of 0/1 matrices, and a block
+reports one edge to the least of each group of linked classes. A group of copies so costs rows in proportion to its size.
 
 A pair of similarity 0.75 agrees in fewer than 30 of 64 coordinates with a probability under one in a million.
 
@@ -25,15 +26,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._components import components
+from ._components import components, groups_of
 from ._packed import runs
 from ._scratch import Scratch
 from ._sketch import maybe, sketch
 from ._words import U64, chunks, hashes, rolling
 
 COORDINATES, LEAST = 64, 30
-#: Classes of a list that are compared at a time, and rows that are handed to one call.
-BLOCK, GROUP_ROWS = 1024, 20_000
+#: Classes that are compared at a time, rows of lists and shingles of sets handed to one call (about), and columns of a matrix.
+BLOCK, GROUP_ROWS, GROUP_SHINGLES, COLUMNS = 1024, 20_000, 1 << 20, 8192
 
 
 def _sets(words: np.ndarray, counts: np.ndarray, size: int):
@@ -107,50 +108,79 @@ def _wanted(size: int, likely):
     return wanted
 
 
-def _confirm(percent: int):
-    def confirm(batches):
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return confirm
-
-
 def _across(least: int):
     def across(table: pa.Table) -> pa.Table:
-        """Pairs of a list (or of two blocks of one) that agree in `least` coordinates and lie in different components."""
-        v, i, cls, comp, j = (table.column(c).to_numpy() for c in ("v", "block", "cls", "comp", "j"))
+        """Edges between clumps of which a list (or two blocks of one) holds classes that agree in `least` coordinates."""
+        v, block, comp, j = (table.column(c).to_numpy() for c in ("v", "block", "comp", "j"))
         sig = table.column("sig").combine_chunks().flatten().to_numpy().reshape(-1, COORDINATES)
-        order = np.lexsort((i, v))
-        v, i, cls, comp, j, sig = v[order], i[order], cls[order], comp[order], j[order], sig[order]
-        a, b = [], []
+        order = np.lexsort((block, v))
+        v, block, comp, j, sig = v[order], block[order], comp[order], j[order], sig[order]
+        pairs = []
         for s, e in runs(v):
-            first = i[s:e] == i[s]
-            x = np.arange(s, e)[first]
-            y = x if first.all() else np.arange(s, e)[~first]
-            if first.all() and j[s] != i[s]:
-                continue
+            first = block[s:e] == block[s]
+            if first.all() and j[s] != block[s]:
+                continue  # the other block of the unit is empty
+            now = comp[s:e].copy()
+            x = np.flatnonzero(first)
             for r in x:
-                rest = y[y > r] if y is x else y
-                rest = rest[comp[rest] != comp[r]]
-                if len(rest):
-                    hit = rest[(sig[rest] == sig[r]).sum(1) >= least]
-                    a.append(np.full(len(hit), cls[r]))
-                    b.append(cls[hit])
-        none = np.zeros(0, np.int64)
-        a, b = np.concatenate([none, *a]), np.concatenate([none, *b])
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
+                y = np.arange(r + 1, e - s) if first.all() else np.flatnonzero(~first)
+                y = y[now[y] != now[r]]
+                hit = y[(sig[s + y] == sig[s + r]).sum(1) >= least]
+                for other in np.unique(now[hit]):
+                    pairs.append((min(now[r], other), max(now[r], other)))
+                    now[now == other] = now[r]
+        pairs = np.array(sorted(set(pairs)), np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return across
 
 
+def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which sets are similar, as a matrix; none to itself."""
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    every = np.concatenate(sets)
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(every, kind="stable")
+    every, owner = every[order], owner[order]
+    shared = np.zeros(len(every), bool)
+    same = every[1:] == every[:-1]
+    shared[1:] |= same
+    shared[:-1] |= same
+    every, owner = every[shared], owner[shared]
+    column = np.cumsum(np.concatenate([np.zeros(min(1, len(every)), np.int64), (every[1:] != every[:-1]).astype(np.int64)]))
+    both = np.zeros((len(sets), len(sets)))
+    width = int(column[-1]) + 1 if len(column) else 0
+    for c in range(0, width, COLUMNS):
+        x, y = np.searchsorted(column, [c, c + COLUMNS])
+        held = np.zeros((len(sets), min(COLUMNS, width - c)), np.float32)
+        held[owner[x:y], column[x:y] - c] = 1
+        both += held @ held.T
+    out = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def _verify(percent: int):
+    def verify(table: pa.Table) -> pa.Table:
+        """An edge to the least of its group for each class that is linked within its clump (or two blocks of one)."""
+        clump, cls = table.column("clump").to_numpy(), table.column("cls").to_numpy()
+        order = np.lexsort((cls, clump))
+        clump, cls = clump[order], cls[order]
+        blobs = table.column("shingles").take(pa.array(order)).to_pylist()
+        a, b = [], []
+        for s, e in runs(clump):
+            if e - s < 2:
+                continue
+            root = groups_of(_linked([np.frombuffer(x, np.uint64) for x in blobs[s:e]], percent))
+            mine = np.flatnonzero(root != np.arange(e - s))
+            a.append(cls[s:e][root[mine]])
+            b.append(cls[s:e][mine])
+        none = np.zeros(0, np.int64)
+        return pa.table({"a": pa.array(np.concatenate([none, *a])), "b": pa.array(np.concatenate([none, *b]))})
+
+    return verify
+
+
 class _Job:
     def __init__(self, docs: DataFrame, size: int, percent: int, least: int, seed: int):
         self.spark, self.docs, self.size, self.percent, self.least = docs.sparkSession, docs, size, percent, least
@@ -169,20 +199,6 @@ class _Job:
         short = F.slice("lists", F.lit(1), F.size("lists") - self.least + 1)
         return self.tmp.put(lists.filter(F.size("lists") >= self.least).select("cls", F.explode(short).alias("l")).select("cls", F.col("l.v").alias("v")), "prefixes")
 
-    def confirmed(self, pairs: DataFrame, name: str) -> DataFrame:
-        """The pairs (a, b) whose full sets are similar."""
-        pairs = self.tmp.put(pairs.select("a", "b"), f"{name}_pairs")
-        asked = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct()
-        asked = self.tmp.put(asked.join(self.classes.select("cls", "rid"), "cls"), f"{name}_asked")
-        likely = self.spark.sparkContext.broadcast(sketch(asked.select("rid")))
-        sets = self.docs.mapInArrow(_wanted(self.size, likely), "cls bigint, rid bigint, shingles binary").join(asked.select("rid"), "rid")
-        sets = self.tmp.put(sets.select("cls", "shingles"), f"{name}_sets").dropDuplicates(["cls"])
-        of_a, of_b = sets.select(F.col("cls").alias("ca"), F.col("shingles").alias("sa")), sets.select(F.col("cls").alias("cb"), F.col("shingles").alias("sb"))
-        both = pairs.join(of_b, F.col("b") == F.col("cb")).drop("cb").join(of_a, F.col("a") == F.col("ca")).select("a", "b", "sa", "sb")
-        out = self.tmp.put(both.mapInArrow(_confirm(self.percent), "a bigint, b bigint"), f"{name}_links")
-        self.tmp.drop(f"{name}_sets", f"{name}_asked", f"{name}_pairs")
-        return out
-
     def similar(self, pairs: DataFrame) -> DataFrame:
         """Adds how many coordinates agree; drops pairs whose sizes alone rule a link out."""
         of_a = self.classes.select(F.col("cls").alias("ca"), F.col("n").alias("na"), F.col("sig").alias("sa"))
@@ -192,15 +208,13 @@ class _Job:
         both = both.filter(100 * F.least("na", "nb") >= self.percent * F.greatest("na", "nb"))
         return both.select("a", "b", agree.alias("agree")).filter(F.col("agree") >= self.least)
 
-    def run(self) -> DataFrame:
-        """(cls, comp): the component, as its least class, of each class that has a link."""
+    def clumps(self) -> DataFrame:
+        """(cls, clump) of the classes that may have a link."""
         tmp = self.tmp
         prefixes = self.prefixes()
         heads = prefixes.groupBy("v").agg(F.min("cls").alias("a"), F.count("*").alias("len")).filter("len > 1").withColumnRenamed("v", "w")
         stars = prefixes.join(heads, F.col("v") == F.col("w")).filter("cls != a").select("a", F.col("cls").alias("b")).distinct()
-        best = self.similar(stars).groupBy("b").agg(F.max_by("a", F.struct("agree", "a")).alias("a"))
-        links = self.confirmed(best, "best")
-        found = tmp.put(components(tmp, links, "near"), "found")
+        found = components(tmp, self.similar(stars), "near")
 
         member = prefixes.join(found, F.col("cls") == F.col("node"), "left").select("v", "cls", F.coalesce("label", "cls").alias("comp"))
         member = tmp.put(member, "member")
@@ -212,9 +226,26 @@ class _Job:
         units = units.withColumn("unit", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("v"), F.lit(groups))).otherwise(F.col("v")))
         units = units.select("unit", "v", "cls", "comp", F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("j"), "block", (F.col("blocks") == 1).alias("small"))
         units = units.join(self.classes.select(F.col("cls").alias("_c"), "sig"), F.col("cls") == F.col("_c")).drop("_c")
-        pairs = units.groupBy("small", "unit", "lo", "j").applyInArrow(_across(self.least), "a bigint, b bigint").distinct()
-        more = self.confirmed(pairs, "rest")
-        return components(tmp, links.union(more), "all")
+        joined = components(tmp, units.groupBy("small", "unit", "lo", "j").applyInArrow(_across(self.least), "a bigint, b bigint"), "across")
+        out = member.select("cls", "comp").distinct().join(joined, F.col("comp") == F.col("node"), "left").select("cls", F.coalesce("label", "comp").alias("clump"))
+        return tmp.put(out, "clumps")
+
+    def run(self) -> DataFrame:
+        """(node, label): the component, as its least class, of each class that has a link."""
+        tmp, clumps = self.tmp, self.clumps()
+        of = clumps.join(self.classes.select(F.col("cls").alias("_c"), "n", "rid"), F.col("cls") == F.col("_c")).drop("_c")
+        sizes = of.groupBy("clump").agg(F.count("*").alias("len"), F.sum("n").alias("size")).filter("len > 1")
+        sizes = sizes.select(F.col("clump").alias("_k"), F.greatest(F.ceil(F.col("len") / BLOCK), F.ceil(F.col("size") / GROUP_SHINGLES)).alias("blocks"))
+        asked = tmp.put(of.join(sizes, F.col("clump") == F.col("_k")).drop("_k"), "asked")
+        groups = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // GROUP_SHINGLES))
+        likely = self.spark.sparkContext.broadcast(sketch(asked.select("rid")))
+        sets = self.docs.mapInArrow(_wanted(self.size, likely), "_cls bigint, _rid bigint, shingles binary")
+        sets = sets.join(asked.select("cls", "clump", "rid", "blocks"), F.col("rid") == F.col("_rid")).dropDuplicates(["rid"])
+        units = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("clump"), F.lit(groups))).otherwise(F.col("clump"))
+        units = units.select((F.col("blocks") == 1).alias("small"), unit.alias("unit"), F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "clump", "cls", "shingles")
+        links = units.groupBy("small", "unit", "lo", "hi").applyInArrow(_verify(self.percent), "a bigint, b bigint")
+        return components(tmp, links, "all")
 
 
 def _labelled(job: _Job) -> DataFrame:
