@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._packed import edges, pack, pack_small, part_of, runs, unpack, unpack_small
-from ._scratch import Scratch, partitions
+from ._scratch import Scratch
 from ._sketch import maybe, sketch
 from ._words import U64, buffers, chunks, hashes, mix, rolling
 
-#: Words that one batch gathers before it is sent, and words of one part of the index.
-BATCH_WORDS, PART_WORDS = 1 << 20, 1 << 21
+#: Words that one batch gathers before it is sent, words of one part of the index, and the fewest parts.
+BATCH_WORDS, PART_WORDS, LEAST_PARTS = 1 << 20, 1 << 21, 64
 
 
 def _rows(batch, column: int):
@@ -263,7 +263,7 @@ def substring_dedup(df: DataFrame, window: int = 35, id_col: str = "doc_id", tex
     classes = summary.filter(F.col("n_words") >= window).groupBy("key").agg(F.min("rid").alias("rid"), (F.count("*") > 1).alias("copies"))
     classes = tmp.put(classes, "classes")
     n_words = summary.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
-    parts = max(4 * partitions(spark), -(-n_words // PART_WORDS))
+    parts = max(LEAST_PARTS, -(-n_words // PART_WORDS))
     bits = min(64, max(44, 2 * n_words.bit_length() - 8))
     long_enough = docs.filter(F.octet_length("text") >= 2 * window - 1)
 
