@@ -61,7 +61,7 @@ def strong_components(edges: DataFrame, most: int = 20) -> DataFrame:
 
 def impact(reached: DataFrame, use: DataFrame) -> DataFrame:
     """Tables written below each origin: use has (node, table_name, op)."""
-    writes = use.filter(F.col("op").isin("C", "U", "D"))
+    writes = use.filter(F.col("op").isin("C", "U", "D")).select("node", "table_name").distinct()
     return reached.join(writes, "node").groupBy("table_name").agg(F.count_distinct("origin").alias("n_origins"))
 
 
