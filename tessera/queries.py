@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from .functions import dialect as D
 from .operators import catalog, checks, diff, graph, move, rows
-from .plans import code_facts, lexer, rewrite
+from .plans import code_facts, lexer, rewrite, statements
 from .sources import history, text_io
 from .streaming import windows
 from .workbench import TABLES, Workbench
@@ -681,3 +681,32 @@ def extract_facts(w):
 def dialect_rewrite(w):
     asked = ["SELECT NVL(a, 0), GREATEST(b, c) FROM t", "SELECT * FROM (SELECT a FROM t) WHERE ROWNUM <= 5", "SELECT a.x, b.y FROM a, b WHERE a.id = b.id(+)"]
     return w.spark.createDataFrame([(a, rewrite.to_spark(a)) for a in asked], "asked string, spark string")
+
+
+@query()
+def column_writers(w):
+    return statements.writers_of(w.spark.createDataFrame([("SHIP_ORDERS", _SCRIPT)], "unit string, text string"))
+
+
+@query()
+def dynamic_tables(w):
+    return w.spark.createDataFrame(statements.dynamic_tables("SHIP_ORDERS", _SCRIPT), "unit string, table_name string, op string, line int")
+
+
+@query()
+def clause_outline(w):
+    return w.spark.createDataFrame(statements.outline("SELECT a FROM (SELECT b FROM t) WHERE a = 1 ORDER BY a"), "clause string, depth int, line int")
+
+
+@query()
+def chunk_units(w):
+    """Chunks of every whole text."""
+    return statements.chunked(w.table("documents").select(F.col("doc_id").cast("string").alias("unit"), "text"))
+
+
+@query("""SELECT o_orderkey, x IS NOT DISTINCT FROM y OR abs(coalesce(x, 0) - coalesce(y, 0)) <= 1e-9 AND x IS NOT NULL AND y IS NOT NULL AS same FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey END AS x, CASE WHEN o_orderkey % 5 <> 0 THEN o_custkey + o_orderkey % 2 END AS y FROM orders)""")
+def same_value_flags(w):
+    o = w.table("orders")
+    stored = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".0")))
+    shown = F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string")).otherwise("")
+    return o.select("o_orderkey", statements.same_value(stored, shown).alias("same"))
