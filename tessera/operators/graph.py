@@ -33,10 +33,12 @@ def reach(edges: DataFrame, start: DataFrame, most: int = 10, both_ways: bool =
     steps = edges.select("src", "dst")
     if both_ways:
         steps = steps.union(steps.select("dst", "src"))
+    reliable = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     steps = steps.distinct()
+    # Every round joins with the steps, so they are computed once.
+    steps = steps.checkpoint() if reliable else steps.persist()
     seen = start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    reliable = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     for depth in range(1, most + 1):
         found = frontier.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
         found = found.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth))
