@@ -2,8 +2,9 @@
 
 Word and bigram counts of the training texts are summed by part of the hash range. A count c enters the filter as the members
 (n-gram, 1) to (n-gram, q), q the number of steps of a geometric scale up to c; a reader probes (n-gram, 1), (n-gram, 2), ... until a
-probe fails and takes the last step's value. The filter goes to the workers; its size is bounded by `most_bits`, so that with very many
-n-grams those of the lowest counts stay out (counted as 0), for words as for bigrams.
+probe fails and takes the last step's value. The filter goes to the workers; its size is bounded by `most_bits`. With more n-grams than
+that holds, it starts at a higher step, and what a text's batch does not find in it is asked of the count tables by a shuffle of distinct
+n-grams: counts of the same steps, so that a score depends on the bound only by false positives.
 
 A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). Counts from
 the filter are lower ends of their steps, so that the bigram estimates of a context sum to at most one but for false positives.
@@ -19,14 +20,17 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packed import edges, pack, pack_small, part_of, unpack, unpack_small
+from ._packed import edges, pack, pack_small, part_of, runs, unpack, unpack_small
 from ._scratch import Scratch
 from ._words import U64, chunks, hashes, mix
 
 BATCH_TOKENS, LEAST_PARTS, PART_TOKENS = 1 << 20, 64, 1 << 21
+#: Open tokens (of unknown counts) that ask together.
+BUNDLE_TOKENS = 1 << 18
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
 HEAD, MEMBER_BITS, MOST_BITS, PROBES = 1 << 20, 10, 1 << 28, 4
 #: Steps of the scale of counts: each is the least whole number over 1.5 times the one before.
@@ -181,51 +185,158 @@ class Model:
         known = self.words[at] == tokens
         return np.where(known, self.counts[at], 0), known
 
+    def whole(self) -> bool:
+        """Whether the filter holds all steps, so that what it doesn't find isn't there."""
+        return self.least == (1, 2)
+
+    def words_about(self, words):
+        """(counts, whether the count tables must be asked) of words: exact in the head, else a step of the filter."""
+        about, known = self.head(words)
+        about = about.copy()
+        about[~known] = self.flt.count(words[~known], self.least[0])
+        return about, (about == 0) & ~known & (self.least[0] > 1)
+
+    def pairs_about(self, pairs):
+        about = self.flt.count(pairs, self.least[1])
+        return about, (about == 0) & (self.least[1] > 2)
+
+    def log_p(self, pair, context, about):
+        """log10 of the mixed estimate."""
+        return np.log10(self.share * np.minimum(pair, context) / np.maximum(context, 1) + (1 - self.share) * (about + 1) / (self.tokens + self.types + 1.0))
+
     def score(self, tokens, before, counts):
-        """Each row's (known head tokens, exact log10 of head tokens, log10 under the model), and (row, token) of the other tokens."""
+        """Each row's (known head tokens, exact log10 of head tokens, log10 under the model of tokens not open), (row, token) of the
+        tokens not in the head, and (row, token before, token) of the open ones, whose counts the filter can't tell."""
         kinds, back = np.unique(tokens, return_inverse=True)
         exact, known = self.head(kinds)
-        about = exact.copy()
-        about[~known] = self.flt.count(kinds[~known], self.least[0])
-        z = self.tokens + self.types + 1.0
-        base = np.log10((exact + 1) / z)
-        unigram = ((about + 1) / z)[back]
-        context = np.zeros(len(tokens))
+        about, ask = self.words_about(kinds)
+        base = np.log10((exact + 1) / (self.tokens + self.types + 1.0))
         first = np.cumsum(counts) - counts
-        context[1:] = about[back][:-1]
-        context[first] = self.texts
+        context, opened = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
+        context[1:], opened[1:] = about[back][:-1], ask[back][:-1]
+        context[first], opened[first] = self.texts, False
+        opened |= ask[back]
         pair = np.zeros(len(tokens))
-        some = np.flatnonzero(context > 1)
-        pair[some] = self.flt.count(_bigrams(before[some], tokens[some]), self.least[1])
-        p = self.share * np.minimum(pair, context) / np.maximum(context, 1) + (1 - self.share) * unigram
+        some = np.flatnonzero((context > 1) & ~opened)
+        pair[some], ask_pair = self.pairs_about(_bigrams(before[some], tokens[some]))
+        opened[some[ask_pair]] = True
+        p = self.log_p(pair, context, about[back])
         in_head = known[back]
         row = np.repeat(np.arange(len(counts)), counts)
-        rest = np.flatnonzero(~in_head)
-        return np.add.reduceat(in_head.astype(np.int64), first), np.add.reduceat(np.where(in_head, base[back], 0.0), first), np.add.reduceat(np.log10(p), first), row[rest], tokens[rest]
+        rest, later = np.flatnonzero(~in_head), np.flatnonzero(opened)
+        return np.add.reduceat(in_head.astype(np.int64), first), np.add.reduceat(np.where(in_head, base[back], 0.0), first), np.add.reduceat(np.where(opened, 0.0, p), first), (row[rest], tokens[rest]), (row[later], before[later], tokens[later])
+
+
+def _by_row(row, values, rows: int) -> list:
+    cut = np.searchsorted(row, np.arange(rows + 1))
+    return [values[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
 
 
 def _score(model):
     def score(batches):
         m = model.value
+        bundle, size = TaskContext.get().partitionId() << 32, 0
         for batch in batches:
-            n, known, base, full, rest = [], [], [], [], []
+            n, known, base, full, rest, bundles, open_before, open_token = [], [], [], [], [], [], [], []
             for _, data, offs in chunks(batch.column(1)):
                 tokens, before, counts = _tokens(data, offs)
-                k, b, s, row, other = m.score(tokens, before, counts)
+                k, b, s, (row, other), (open_row, b4, later) = m.score(tokens, before, counts)
                 n.append(counts)
                 known.append(k)
                 base.append(b)
                 full.append(s)
-                cut = np.searchsorted(row, np.arange(len(counts) + 1))
-                rest += [other[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+                rest += _by_row(row, other, len(counts))
+                open_before += _by_row(open_row, b4, len(counts))
+                open_token += _by_row(open_row, later, len(counts))
+                if size + len(later) > BUNDLE_TOKENS:
+                    bundle, size = bundle + 1, 0
+                size += len(later)
+                bundles.append(np.full(len(counts), bundle))
             cat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cat(n, np.int64), cat(known, np.int64), cat(base, np.float64), cat(full, np.float64), pa.array(rest, pa.list_(pa.int64()))], names=["id", "held_out", "n_tokens", "known", "base", "score", "rest"])
+            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rest, open_before, open_token)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cat(n, np.int64), cat(known, np.int64), cat(base, np.float64), cat(full, np.float64), lists[0], cat(bundles, np.int64), *lists[1:]], names=["id", "held_out", "n_tokens", "known", "base", "score", "rest", "bundle", "open_before", "open_token"])
 
     return score
 
 
-def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM) -> tuple[Model, DataFrame]:
-    """(the model, exact counts of words out of its head as (word, n)) for a table of one text column."""
+def _flat(column) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+
+
+def _ask(model, parts: int):
+    """The distinct n-grams that open tokens ask for, by bundle and part of the hash range."""
+
+    def ask(batches):
+        m = model.value
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            for start, end in runs(ids):
+                before, tokens = (_flat(batch.column(c).slice(start, end - start)) for c in (1, 2))
+                words = np.unique(np.concatenate([tokens, before[before != BEGIN]]))
+                pairs = np.unique(_bigrams(before, tokens))
+                words, pairs = words[m.words_about(words)[1]], pairs[m.pairs_about(pairs)[1]]
+                cut_w, cut_b = edges(words, parts), edges(pairs, parts)
+                some = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_b) > 0))
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(some, pa.int32()), pa.array(np.full(len(some), ids[start]), pa.int64()),
+                    pa.array([pack(words[cut_w[p] : cut_w[p + 1]]) for p in some], pa.binary()), pa.array([pack(pairs[cut_b[p] : cut_b[p + 1]]) for p in some], pa.binary()),
+                ], names=["part", "bundle", "w", "b"])
+
+    return ask
+
+
+def _answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
+    """The steps of the asked n-grams of one part that have counts."""
+    have = {}
+    for r in sums.to_pylist():
+        for kind in ("w", "b"):
+            have[kind] = unpack(r[kind]), np.searchsorted(SCALE, unpack_small(r[kind + "n"]).astype(np.int64), "right")
+    out = {c: [] for c in ("bundle", "w", "wn", "b", "bn")}
+    for r in asked.to_pylist():
+        out["bundle"].append(r["bundle"])
+        for kind in ("w", "b"):
+            grams, (value, step) = unpack(r[kind]), have.get(kind, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+            at = np.searchsorted(value, grams)
+            hit = np.flatnonzero(at < len(value))
+            hit = hit[value[at[hit]] == grams[hit]]
+            out[kind].append(pack(grams[hit]))
+            out[kind + "n"].append(pack_small(step[at[hit]]))
+    return pa.table({c: pa.array(x, pa.int64() if c == "bundle" else pa.binary()) for c, x in out.items()})
+
+
+def _finish(model):
+    """The log10 of the open tokens, by row."""
+
+    def counts(values, about, ask, answers, kind):
+        grams = np.concatenate([np.zeros(0, np.uint64), *[unpack(a[kind]) for a in answers]])
+        steps = np.concatenate([np.zeros(0, np.int64), *[unpack_small(a[kind + "n"]).astype(np.int64) for a in answers]])
+        order = np.argsort(grams, kind="stable")
+        grams, steps = grams[order], steps[order]
+        at = np.searchsorted(grams, values)
+        hit = np.flatnonzero(ask & (at < len(grams)))
+        hit = hit[grams[at[hit]] == values[hit]]
+        about[hit] = SCALE[steps[at[hit]] - 1]
+        return about
+
+    def finish(opened: pa.Table, answers: pa.Table) -> pa.Table:
+        m, got = model.value, answers.to_pylist()
+        opened = opened.combine_chunks()
+        rid, lists = opened.column("rid"), opened.column("open_token")
+        before, tokens = (_flat(pa.concat_arrays(opened.column(c).chunks)) if opened.num_rows else np.zeros(0, np.uint64) for c in ("open_before", "open_token"))
+        sizes = np.array([len(x) for x in lists], np.int64)
+        words, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
+        about = counts(words, *m.words_about(words), got, "w")[back]
+        about, context = about[: len(tokens)], np.where(before == BEGIN, m.texts, about[len(tokens) :]).astype(float)
+        pairs, back = np.unique(_bigrams(before, tokens), return_inverse=True)
+        pair = np.where(context > 1, counts(pairs, *m.pairs_about(pairs), got, "b")[back], 0)
+        more = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=m.log_p(pair, context, about), minlength=len(sizes))
+        return pa.table({"rid": rid, "open_score": pa.array(more[: len(sizes)], pa.float64())})
+
+    return finish
+
+
+def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM) -> tuple[Model, DataFrame, DataFrame]:
+    """(the model, exact counts of words out of its head as (word, n), all counts by part) for a table of one text column."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     parts = max(LEAST_PARTS, -(-size // PART_TOKENS))
     sums = texts.mapInArrow(_send(parts), "part int, texts bigint, w binary, wn binary, b binary, bn binary").groupBy("part").applyInArrow(_sum, _SUM_DDL)
@@ -261,7 +372,7 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
         counts.append(unpack_small(r.wn).astype(np.int64))
     none = np.zeros(0, np.uint64)
     model = Model(Filter(parts, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share)
-    return model, sums.select("w", "wn").mapInArrow(_rare(head_from), "word bigint, n bigint")
+    return model, sums.select("w", "wn").mapInArrow(_rare(head_from), "word bigint, n bigint"), sums.select("part", "w", "wn", "b", "bn")
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, **shape) -> DataFrame:
@@ -270,10 +381,10 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     tmp = Scratch(spark)
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(id_col).isNotNull() & (crc % fold == held)).alias("held_out"))
-    model, rare = train(tmp, docs.filter("not held_out").select("text"), **shape)
+    model, rare, sums = train(tmp, docs.filter("not held_out").select("text"), **shape)
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema["id"].dataType.simpleString()
-    scored = docs.mapInArrow(_score(shared), f"id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rest array<bigint>")
+    scored = docs.mapInArrow(_score(shared), f"id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, bundle bigint, open_before array<bigint>, open_token array<bigint>")
     # row numbers are read from the written table, so they stay
     scored = tmp.put(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
     z = model.tokens + model.types + 1.0
@@ -281,7 +392,14 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     asked = asked.join(rare.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
     rest = asked.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(z))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     rest = tmp.put(rest, "rest").withColumnRenamed("rid", "_rid")
-    out = scored.drop("rest").join(rest, F.col("rid") == F.col("_rid"), "left")
+    out = scored.drop("rest", "bundle", "open_before", "open_token").join(rest, F.col("rid") == F.col("_rid"), "left")
+    if not model.whole():
+        opened = scored.filter(F.size("open_token") > 0).select("rid", "bundle", "open_before", "open_token")
+        ask = opened.select("bundle", "open_before", "open_token").mapInArrow(_ask(shared, model.flt.parts), "part int, bundle bigint, w binary, b binary")
+        answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "bundle bigint, w binary, wn binary, b binary, bn binary")
+        more = opened.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(_finish(shared), "rid bigint, open_score double")
+        more = tmp.put(more, "open").withColumnRenamed("rid", "_open_rid")
+        out = out.join(more, F.col("rid") == F.col("_open_rid"), "left").withColumn("score", F.col("score") + F.coalesce("open_score", F.lit(0.0)))
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",

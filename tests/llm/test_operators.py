@@ -137,6 +137,30 @@ def test_language_model(docs, texts):
     assert sum(r.score for r in got.values()) > sum(r.base_score for r in got.values())
 
 
+@pytest.mark.parametrize(("head", "most_bits"), [(1 << 20, 1 << 28), (50, 1 << 28), (50, 30_000), (0, 0)])
+def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monkeypatch, head, most_bits):
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives
+    step = lambda c, least: 0 if c < least else int(bloom_lm.SCALE[np.searchsorted(bloom_lm.SCALE, c, "right") - 1])
+    words, pairs, rows, trained = Counter(), Counter(), {}, 0
+    for i, t in enumerate(texts):
+        rows[i] = [low(x) for x in WORD.findall(t or "")] + ["\n"]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(rows[i])
+            pairs.update(zip(["\t", *rows[i]], rows[i]))
+            trained += 1
+    z = sum(words.values()) + len(words) + 1
+    from_ = next(int(c) for c in [*bloom_lm.SCALE, 1 << 62] if sum(x >= c for x in words.values()) <= head)
+    about = lambda w: words[w] if words[w] >= from_ else step(words[w], 1)
+    got = by_id(bloom_lm.lm_scores(docs, head=head, most_bits=most_bits))
+    for i, row in rows.items():
+        want = 0.0
+        for h, w in zip(["\t", *row], row):
+            context = trained if h == "\t" else about(h)
+            pair = min(step(pairs[h, w], 2), context) if context > 1 else 0
+            want += np.log10(bloom_lm.BIGRAM * pair / max(context, 1) + (1 - bloom_lm.BIGRAM) * (about(w) + 1) / z)
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+
+
 def test_filter_never_loses_a_member():
     grams = np.random.default_rng(1).integers(0, 1 << 63, 2000, dtype=np.uint64)
     bits, parts = 4096, 8
