@@ -2,16 +2,16 @@
 
 Word and bigram counts of the training texts are summed by part of the hash range. A count c enters the filter as the members
 (n-gram, 1) to (n-gram, q), q the number of steps of a geometric scale up to c; a reader probes (n-gram, 1), (n-gram, 2), ... until a
-probe fails and takes the last step's value. The filter goes to the workers; its size is bounded by `most_bits`. With more n-grams than
-that holds, it starts at a higher step, and what a text's batch does not find in it is asked of the count tables by a shuffle of distinct
-n-grams: counts of the same steps, so that a score depends on the bound only by false positives.
+probe fails and takes the last step's value. The filter goes to the workers, and with it the exact counts of the most frequent words (at
+most `head`), which it needn't hold. Its size is bounded by `most_bits`; with more n-grams than that holds, it starts at a higher step.
+
+Tokens whose counts the workers can't tell are open: words out of the head, whose exact counts the unigram score needs, and n-grams below
+the filter's first step. Each megabyte of text writes its open tokens packed, asks the count tables for its distinct n-grams by a shuffle,
+and scores them with the answers. Estimates take the same steps either way, so that a score depends on the bound by false positives only.
 
 A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). Counts from
 the filter are lower ends of their steps, so that the bigram estimates of a context sum to at most one but for false positives.
 
-The exact unigram score needs every word's exact count: the most frequent words (at most `head`) go to the workers, and the other words of
-a text are joined with the counts by a shuffle.
-
 Defined cases: null text counts as empty; every text has an end token. A null id is in the training part. With no training text all
 counts are 0 (N = 0, V = 0). Rows with equal ids are scored each by its text. Extra columns are ignored.
 """
@@ -24,13 +24,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packed import edges, pack, pack_small, part_of, runs, unpack, unpack_small
+from ._packed import edges, pack, pack_small, part_of, unpack, unpack_small
 from ._scratch import Scratch
 from ._words import U64, chunks, hashes, mix
 
 BATCH_TOKENS, LEAST_PARTS, PART_TOKENS = 1 << 20, 64, 1 << 21
-#: Open tokens (of unknown counts) that ask together.
-BUNDLE_TOKENS = 1 << 18
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
 HEAD, MEMBER_BITS, MOST_BITS, PROBES = 1 << 20, 10, 1 << 28, 4
 #: Steps of the scale of counts: each is the least whole number over 1.5 times the one before.
@@ -145,7 +143,10 @@ def _segment(bits: int, least_w: int, least_b: int, head_from: int):
         row = table.to_pylist()[0]
         array = np.zeros(bits, bool)
         for kind, least in (("w", least_w), ("b", least_b)):
-            grams, steps = unpack(row[kind]), np.searchsorted(SCALE, unpack_small(row[kind + "n"]).astype(np.int64), "right")
+            grams, count = unpack(row[kind]), unpack_small(row[kind + "n"]).astype(np.int64)
+            if kind == "w":
+                grams, count = grams[count < head_from], count[count < head_from]
+            steps = np.searchsorted(SCALE, count, "right")
             for step in range(least, int(steps.max(initial=0)) + 1):
                 mine = grams[steps >= step]
                 for probe in range(PROBES):
@@ -157,19 +158,6 @@ def _segment(bits: int, least_w: int, least_b: int, head_from: int):
     return segment
 
 
-def _rare(head_from: int):
-    """(word, n) of the words that the workers don't hold."""
-
-    def rare(batches):
-        for batch in batches:
-            for w, wn in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words, count = unpack(w), unpack_small(wn).astype(np.int64)
-                low = count < head_from
-                yield pa.RecordBatch.from_arrays([pa.array(words[low].view(np.int64)), pa.array(count[low])], names=["word", "n"])
-
-    return rare
-
-
 class Model:
     """What the workers hold: the filter, the head of the word counts, and totals."""
 
@@ -185,16 +173,12 @@ class Model:
         known = self.words[at] == tokens
         return np.where(known, self.counts[at], 0), known
 
-    def whole(self) -> bool:
-        """Whether the filter holds all steps, so that what it doesn't find isn't there."""
-        return self.least == (1, 2)
-
     def words_about(self, words):
-        """(counts, whether the count tables must be asked) of words: exact in the head, else a step of the filter."""
+        """(counts, whether they are exact, whether the filter can't tell) of words: exact in the head, else a step of the filter."""
         about, known = self.head(words)
         about = about.copy()
         about[~known] = self.flt.count(words[~known], self.least[0])
-        return about, (about == 0) & ~known & (self.least[0] > 1)
+        return about, known, (about == 0) & ~known & (self.least[0] > 1)
 
     def pairs_about(self, pairs):
         about = self.flt.count(pairs, self.least[1])
@@ -205,138 +189,138 @@ class Model:
         return np.log10(self.share * np.minimum(pair, context) / np.maximum(context, 1) + (1 - self.share) * (about + 1) / (self.tokens + self.types + 1.0))
 
     def score(self, tokens, before, counts):
-        """Each row's (known head tokens, exact log10 of head tokens, log10 under the model of tokens not open), (row, token) of the
-        tokens not in the head, and (row, token before, token) of the open ones, whose counts the filter can't tell."""
+        """Each row's (known tokens, exact log10, log10 under the model) over the tokens that aren't open, and where open ones are."""
         kinds, back = np.unique(tokens, return_inverse=True)
-        exact, known = self.head(kinds)
-        about, ask = self.words_about(kinds)
-        base = np.log10((exact + 1) / (self.tokens + self.types + 1.0))
+        about, known, unsure = self.words_about(kinds)
+        base = np.log10((about + 1) / (self.tokens + self.types + 1.0))
         first = np.cumsum(counts) - counts
         context, opened = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
-        context[1:], opened[1:] = about[back][:-1], ask[back][:-1]
+        context[1:], opened[1:] = about[back][:-1], unsure[back][:-1]
         context[first], opened[first] = self.texts, False
-        opened |= ask[back]
+        opened |= ~known[back]
         pair = np.zeros(len(tokens))
         some = np.flatnonzero((context > 1) & ~opened)
-        pair[some], ask_pair = self.pairs_about(_bigrams(before[some], tokens[some]))
-        opened[some[ask_pair]] = True
+        pair[some], unsure_pair = self.pairs_about(_bigrams(before[some], tokens[some]))
+        opened[some[unsure_pair]] = True
+        closed = known[back]
         p = self.log_p(pair, context, about[back])
-        in_head = known[back]
-        row = np.repeat(np.arange(len(counts)), counts)
-        rest, later = np.flatnonzero(~in_head), np.flatnonzero(opened)
-        return np.add.reduceat(in_head.astype(np.int64), first), np.add.reduceat(np.where(in_head, base[back], 0.0), first), np.add.reduceat(np.where(opened, 0.0, p), first), (row[rest], tokens[rest]), (row[later], before[later], tokens[later])
-
-
-def _by_row(row, values, rows: int) -> list:
-    cut = np.searchsorted(row, np.arange(rows + 1))
-    return [values[x:y].view(np.int64) for x, y in zip(cut[:-1], cut[1:], strict=True)]
+        return np.add.reduceat(closed.astype(np.int64), first), np.add.reduceat(np.where(closed, base[back], 0.0), first), np.add.reduceat(np.where(opened, 0.0, p), first), np.flatnonzero(opened)
 
 
 def _score(model):
     def score(batches):
-        m = model.value
-        bundle, size = TaskContext.get().partitionId() << 32, 0
+        m, rid = model.value, TaskContext.get().partitionId() << 33
         for batch in batches:
-            n, known, base, full, rest, bundles, open_before, open_token = [], [], [], [], [], [], [], []
-            for _, data, offs in chunks(batch.column(1)):
+            n, known, base, full, opened, begin = [], [], [], [], [None] * len(batch), rid
+            for row, data, offs in chunks(batch.column(1)):
                 tokens, before, counts = _tokens(data, offs)
-                k, b, s, (row, other), (open_row, b4, later) = m.score(tokens, before, counts)
-                n.append(counts)
-                known.append(k)
-                base.append(b)
-                full.append(s)
-                rest += _by_row(row, other, len(counts))
-                open_before += _by_row(open_row, b4, len(counts))
-                open_token += _by_row(open_row, later, len(counts))
-                if size + len(later) > BUNDLE_TOKENS:
-                    bundle, size = bundle + 1, 0
-                size += len(later)
-                bundles.append(np.full(len(counts), bundle))
+                k, b, s, at = m.score(tokens, before, counts)
+                for out, x in zip((n, known, base, full), (counts, k, b, s), strict=True):
+                    out.append(x)
+                if len(at):
+                    words, back = np.unique(np.concatenate([tokens[at], before[at]]), return_inverse=True)
+                    rows = np.repeat(np.arange(len(counts)), counts)[at]
+                    opened[row] = pack(words), pack_small(back[: len(at)]), pack_small(back[len(at) :]), pack_small(np.diff(rows, prepend=0))
+            rid += len(batch)
             cat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
-            lists = [pa.array(x, pa.list_(pa.int64())) for x in (rest, open_before, open_token)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), cat(n, np.int64), cat(known, np.int64), cat(base, np.float64), cat(full, np.float64), lists[0], cat(bundles, np.int64), *lists[1:]], names=["id", "held_out", "n_tokens", "known", "base", "score", "rest", "bundle", "open_before", "open_token"])
+            blobs = [pa.array([o and o[i] for o in opened], pa.binary()) for i in range(len(_OPEN))]
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin, rid)), batch.column(0), batch.column(2), cat(n, np.int64), cat(known, np.int64), cat(base, np.float64), cat(full, np.float64), *blobs], names=["rid", "id", "held_out", "n_tokens", "known", "base", "score", *_OPEN])
 
     return score
 
 
-def _flat(column) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+#: Open tokens of a run of rows, on its first row: distinct words, places in them of each token and the one before, rows as differences.
+_OPEN = ["o_words", "o_token", "o_before", "o_row"]
+
+
+def _opened(row: dict):
+    words = unpack(row["o_words"])
+    return words, *(unpack_small(row[c]).astype(np.int64) for c in ("o_token", "o_before"))
 
 
 def _ask(model, parts: int):
-    """The distinct n-grams that open tokens ask for, by bundle and part of the hash range."""
+    """The distinct n-grams that the open tokens of each run of rows ask for, by part of the hash range."""
 
     def ask(batches):
         m = model.value
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for start, end in runs(ids):
-                before, tokens = (_flat(batch.column(c).slice(start, end - start)) for c in (1, 2))
-                words = np.unique(np.concatenate([tokens, before[before != BEGIN]]))
-                pairs = np.unique(_bigrams(before, tokens))
-                words, pairs = words[m.words_about(words)[1]], pairs[m.pairs_about(pairs)[1]]
+            for i in range(len(batch)):
+                (row,) = batch.slice(i, 1).to_pylist()
+                words, token, before = _opened(row)
+                about, known, unsure = m.words_about(words)
+                counts = (words == BEGIN) | (about > 1) | unsure
+                some = counts[before]
+                pairs = np.unique(_bigrams(words[before[some]], words[token[some]]))
+                pairs, words = pairs[m.pairs_about(pairs)[1]], words[~known & (words != BEGIN)]
                 cut_w, cut_b = edges(words, parts), edges(pairs, parts)
-                some = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_b) > 0))
+                to = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_b) > 0))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array(np.full(len(some), ids[start]), pa.int64()),
-                    pa.array([pack(words[cut_w[p] : cut_w[p + 1]]) for p in some], pa.binary()), pa.array([pack(pairs[cut_b[p] : cut_b[p + 1]]) for p in some], pa.binary()),
-                ], names=["part", "bundle", "w", "b"])
+                    pa.array(to, pa.int32()), pa.array(np.full(len(to), row["rid"]), pa.int64()),
+                    pa.array([pack(words[cut_w[p] : cut_w[p + 1]]) for p in to], pa.binary()), pa.array([pack(pairs[cut_b[p] : cut_b[p + 1]]) for p in to], pa.binary()),
+                ], names=["part", "rid", "w", "b"])
 
     return ask
 
 
 def _answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
-    """The steps of the asked n-grams of one part that have counts."""
-    have = {}
+    """The counts of the asked n-grams of one part, where there are any."""
+    have = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.uint32)) for kind in "wb"}
     for r in sums.to_pylist():
-        for kind in ("w", "b"):
-            have[kind] = unpack(r[kind]), np.searchsorted(SCALE, unpack_small(r[kind + "n"]).astype(np.int64), "right")
-    out = {c: [] for c in ("bundle", "w", "wn", "b", "bn")}
-    for r in asked.to_pylist():
-        out["bundle"].append(r["bundle"])
-        for kind in ("w", "b"):
-            grams, (value, step) = unpack(r[kind]), have.get(kind, (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
-            at = np.searchsorted(value, grams)
-            hit = np.flatnonzero(at < len(value))
-            hit = hit[value[at[hit]] == grams[hit]]
-            out[kind].append(pack(grams[hit]))
-            out[kind + "n"].append(pack_small(step[at[hit]]))
-    return pa.table({c: pa.array(x, pa.int64() if c == "bundle" else pa.binary()) for c, x in out.items()})
+        have = {kind: (unpack(r[kind]), unpack_small(r[kind + "n"])) for kind in "wb"}
+    out = {c: [] for c in ("rid", "w", "wn", "b", "bn")}
+    for rid, *asks in zip(*(asked.column(c).to_pylist() for c in ("rid", "w", "b")), strict=True):
+        out["rid"].append(rid)
+        for kind, blob in zip("wb", asks, strict=True):
+            grams, count = _pick(unpack(blob), *have[kind])
+            out[kind].append(pack(grams[count > 0]))
+            out[kind + "n"].append(pack_small(count[count > 0]))
+    return pa.table({c: pa.array(x, pa.int64() if c == "rid" else pa.binary()) for c, x in out.items()})
+
+
+def _pick(grams, value, count):
+    """(n-grams, their counts) out of sorted values."""
+    if not len(value):
+        return grams, np.zeros(len(grams), np.int64)
+    at = np.minimum(np.searchsorted(value, grams), len(value) - 1)
+    return grams, np.where(value[at] == grams, count[at].astype(np.int64), 0)
+
+
+def _floor(counts):
+    """Lower ends of the steps."""
+    return np.where(counts > 0, SCALE[np.searchsorted(SCALE, counts, "right") - 1], 0)
 
 
 def _finish(model):
-    """The log10 of the open tokens, by row."""
-
-    def counts(values, about, ask, answers, kind):
-        grams = np.concatenate([np.zeros(0, np.uint64), *[unpack(a[kind]) for a in answers]])
-        steps = np.concatenate([np.zeros(0, np.int64), *[unpack_small(a[kind + "n"]).astype(np.int64) for a in answers]])
-        order = np.argsort(grams, kind="stable")
-        grams, steps = grams[order], steps[order]
-        at = np.searchsorted(grams, values)
-        hit = np.flatnonzero(ask & (at < len(grams)))
-        hit = hit[grams[at[hit]] == values[hit]]
-        about[hit] = SCALE[steps[at[hit]] - 1]
-        return about
+    """What the open tokens add to each row."""
+
+    def told(grams, answers, kind):
+        # parts are ranges, so answers in order of their first n-gram are sorted
+        got = sorted((x for x in ((unpack(a[kind]), unpack_small(a[kind + "n"])) for a in answers) if len(x[0])), key=lambda x: x[0][0])
+        return _pick(grams, *(np.concatenate(x) for x in zip(*got, strict=True)))[1] if got else np.zeros(len(grams), np.int64)
 
     def finish(opened: pa.Table, answers: pa.Table) -> pa.Table:
-        m, got = model.value, answers.to_pylist()
-        opened = opened.combine_chunks()
-        rid, lists = opened.column("rid"), opened.column("open_token")
-        before, tokens = (_flat(pa.concat_arrays(opened.column(c).chunks)) if opened.num_rows else np.zeros(0, np.uint64) for c in ("open_before", "open_token"))
-        sizes = np.array([len(x) for x in lists], np.int64)
-        words, back = np.unique(np.concatenate([tokens, before]), return_inverse=True)
-        about = counts(words, *m.words_about(words), got, "w")[back]
-        about, context = about[: len(tokens)], np.where(before == BEGIN, m.texts, about[len(tokens) :]).astype(float)
-        pairs, back = np.unique(_bigrams(before, tokens), return_inverse=True)
-        pair = np.where(context > 1, counts(pairs, *m.pairs_about(pairs), got, "b")[back], 0)
-        more = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=m.log_p(pair, context, about), minlength=len(sizes))
-        return pa.table({"rid": rid, "open_score": pa.array(more[: len(sizes)], pa.float64())})
+        m, got, parts = model.value, answers.to_pylist(), []
+        for row in opened.to_pylist():
+            words, token, before = _opened(row)
+            exact, known = m.head(words)
+            exact = np.where(known, exact, told(words, got, "w"))
+            about = np.where(known, exact, _floor(exact))
+            context = np.where(words == BEGIN, m.texts, about)[before].astype(float)
+            pairs, back = np.unique(_bigrams(words[before], words[token]), return_inverse=True)
+            pair, unsure = m.pairs_about(pairs)
+            pair = np.where(unsure, _floor(told(pairs, got, "b")), pair)[back]
+            p = m.log_p(np.where(context > 1, pair, 0), context, about[token])
+            base = np.where(known, 0.0, np.log10((exact + 1) / (m.tokens + m.types + 1.0)))[token]
+            rows, place = np.unique(np.cumsum(unpack_small(row["o_row"]).astype(np.int64)), return_inverse=True)
+            sums = [np.bincount(place, x) for x in (((exact > 0) & ~known)[token].astype(float), base, p)]
+            parts.append(pa.table({"rid": pa.array(rows + row["rid"]), "more_known": pa.array(sums[0].astype(np.int64)), "more_base": pa.array(sums[1]), "more_score": pa.array(sums[2])}))
+        return pa.concat_tables(parts) if parts else pa.schema([("rid", pa.int64()), ("more_known", pa.int64()), ("more_base", pa.float64()), ("more_score", pa.float64())]).empty_table()
 
     return finish
 
 
-def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM) -> tuple[Model, DataFrame, DataFrame]:
-    """(the model, exact counts of words out of its head as (word, n), all counts by part) for a table of one text column."""
+def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM) -> tuple[Model, DataFrame]:
+    """(the model, all counts by part) for a table of one text column."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     parts = max(LEAST_PARTS, -(-size // PART_TOKENS))
     sums = texts.mapInArrow(_send(parts), "part int, texts bigint, w binary, wn binary, b binary, bn binary").groupBy("part").applyInArrow(_sum, _SUM_DDL)
@@ -357,7 +341,8 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
 
     def members(kind):
         steps = np.arange(len(SCALE) + 1)
-        return int((tallies[kind] * np.maximum(steps - least[kind] + 1, 0)).sum())
+        in_filter = steps < at if kind == "w" else True
+        return int((tallies[kind] * in_filter * np.maximum(steps - least[kind] + 1, 0)).sum())
 
     while (members("w") + members("b")) * MEMBER_BITS > most_bits:
         kind = "b" if members("b") >= members("w") else "w"
@@ -372,7 +357,7 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
         counts.append(unpack_small(r.wn).astype(np.int64))
     none = np.zeros(0, np.uint64)
     model = Model(Filter(parts, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share)
-    return model, sums.select("w", "wn").mapInArrow(_rare(head_from), "word bigint, n bigint"), sums.select("part", "w", "wn", "b", "bn")
+    return model, sums.select("part", "w", "wn", "b", "bn")
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, **shape) -> DataFrame:
@@ -381,26 +366,19 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     tmp = Scratch(spark)
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(id_col).isNotNull() & (crc % fold == held)).alias("held_out"))
-    model, rare, sums = train(tmp, docs.filter("not held_out").select("text"), **shape)
+    model, sums = train(tmp, docs.filter("not held_out").select("text"), **shape)
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema["id"].dataType.simpleString()
-    scored = docs.mapInArrow(_score(shared), f"id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, rest array<bigint>, bundle bigint, open_before array<bigint>, open_token array<bigint>")
     # row numbers are read from the written table, so they stay
-    scored = tmp.put(scored.withColumn("rid", F.monotonically_increasing_id()), "scored")
-    z = model.tokens + model.types + 1.0
-    asked = scored.select("rid", F.explode("rest").alias("word")).groupBy("rid", "word").agg(F.count("*").alias("times"))
-    asked = asked.join(rare.withColumnRenamed("word", "_word"), F.col("word") == F.col("_word"), "left")
-    rest = asked.groupBy("rid").agg(F.sum(F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(z))).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
-    rest = tmp.put(rest, "rest").withColumnRenamed("rid", "_rid")
-    out = scored.drop("rest", "bundle", "open_before", "open_token").join(rest, F.col("rid") == F.col("_rid"), "left")
-    if not model.whole():
-        opened = scored.filter(F.size("open_token") > 0).select("rid", "bundle", "open_before", "open_token")
-        ask = opened.select("bundle", "open_before", "open_token").mapInArrow(_ask(shared, model.flt.parts), "part int, bundle bigint, w binary, b binary")
-        answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "bundle bigint, w binary, wn binary, b binary, bn binary")
-        more = opened.groupBy("bundle").cogroup(answers.groupBy("bundle")).applyInArrow(_finish(shared), "rid bigint, open_score double")
-        more = tmp.put(more, "open").withColumnRenamed("rid", "_open_rid")
-        out = out.join(more, F.col("rid") == F.col("_open_rid"), "left").withColumn("score", F.col("score") + F.coalesce("open_score", F.lit(0.0)))
+    scored = tmp.put(docs.mapInArrow(_score(shared), f"rid bigint, id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, {', '.join(f'{c} binary' for c in _OPEN)}"), "scored")
+    opened = scored.select("rid", *_OPEN).filter("o_row is not null")
+    ask = opened.select("rid", "o_words", "o_token", "o_before").mapInArrow(_ask(shared, model.flt.parts), "part int, rid bigint, w binary, b binary")
+    answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "rid bigint, w binary, wn binary, b binary, bn binary")
+    more = opened.groupBy("rid").cogroup(answers.groupBy("rid")).applyInArrow(_finish(shared), "rid bigint, more_known bigint, more_base double, more_score double")
+    more = tmp.put(more, "more").withColumnRenamed("rid", "_rid")
+    out = scored.drop(*_OPEN).join(more, F.col("rid") == F.col("_rid"), "left")
+    plus = lambda column, extra, none: (F.col(column) + F.coalesce(extra, F.lit(none))).alias
     return out.select(
-        F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
+        F.col("id").alias(id_col), "held_out", "n_tokens", plus("known", "more_known", 0)("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        plus("base", "more_base", 0.0)("base_score"), plus("score", "more_score", 0.0)("score"),
     )
