@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import dialect as D
-from .operators import catalog, checks, diff, graph, move, rows
-from .plans import code_facts, lexer, rewrite, statements
+from .operators import catalog, checks, diff, graph, move, rows, trace
+from .plans import code_facts, flows, lexer, lineage, rewrite, statements
 from .sources import history, text_io
 from .streaming import windows
 from .workbench import TABLES, Workbench
@@ -710,3 +710,40 @@ def same_value_flags(w):
     stored = F.when(F.col("o_orderkey") % 5 != 0, F.concat(F.lit(" "), F.col("o_custkey").cast("string"), F.lit(".0")))
     shown = F.when(F.col("o_orderkey") % 5 != 0, (F.col("o_custkey") + F.col("o_orderkey") % 2).cast("string")).otherwise("")
     return o.select("o_orderkey", statements.same_value(stored, shown).alias("same"))
+
+
+# --- lineage, data flow, row traces ---
+
+_LINEAGE = """WITH spent AS (SELECT o_custkey AS k, sum(o_totalprice) AS total FROM {orders} GROUP BY o_custkey)
+SELECT c_name, total, total / 2 AS half, rank() OVER (ORDER BY total) AS place, 'x' AS mark, n_name FROM {customer} JOIN spent ON c_custkey = k JOIN {nation} ON n_nationkey = c_nationkey"""
+
+
+@query("""SELECT * FROM (VALUES (1, 'c_name', 'column', 'customer', 'c_name'), (2, 'total', 'aggregate', 'orders', 'o_totalprice'), (3, 'half', 'computed', 'orders', 'o_totalprice'), (4, 'place', 'analytic', 'orders', 'o_totalprice'), (5, 'mark', 'constant', NULL, NULL), (6, 'n_name', 'column', 'nation', 'n_name')) AS t(position, result_column, kind, table_name, column_name)""")
+def result_column_lineage(w):
+    """Sources of the columns of a query, by the analysed plan."""
+    return lineage.column_lineage(w.sql(_LINEAGE)).withColumn("table_name", F.regexp_extract("table_name", "^wb_(.*)_[0-9a-f]{8}$", 1))
+
+
+@query()
+def data_flows(w):
+    return flows.flows_of(w.spark.createDataFrame([("SHIP_ORDERS", _SCRIPT)], "unit string, text string"))
+
+
+@query()
+def local_names(w):
+    return w.spark.createDataFrame(flows.local_names(_SCRIPT), "name string, kind string, line int")
+
+
+@query("""SELECT l_orderkey AS o_orderkey, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS stands FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderkey) ON l_orderkey = o_orderkey""")
+def row_trace(w):
+    """Which orders of the lines stand among those that aren't open."""
+    uses = code_facts.facts(w.spark.createDataFrame([("SHIP_ORDERS", _SCRIPT)], "unit string, text string"))
+    asked = w.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return trace.row_trace(w.table("orders").filter("o_orderstatus <> 'O'"), ["o_orderkey"], asked, uses, "ORDERS").drop("inserts", "deletes")
+
+
+@query("""SELECT s.o_custkey, CASE WHEN t.o_custkey IS NULL THEN 'missing' ELSE 'present' END AS state FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 1000) s LEFT JOIN (SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_acctbal > 0) t ON s.o_custkey = t.o_custkey""")
+def possible_writes(w):
+    orders = w.table("orders")
+    target = w.table("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
+    return trace.possible_writes(target, orders, ["o_custkey"], F.col("o_totalprice") > 1000)
