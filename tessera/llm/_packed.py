@@ -26,11 +26,12 @@ def unpack(blob: bytes) -> np.ndarray:
 
 
 def pack_small(values: np.ndarray) -> bytes:
-    """Numbers in any order, below 2**32."""
+    """Whole numbers from 0 on, in any order."""
     if not len(values):
         return b""
     wide = max(1, (int(values.max()).bit_length() + 7) // 8)
-    planes = np.ascontiguousarray(values.astype(np.uint32).view(np.uint8).reshape(-1, 4)[:, :wide].T)
+    room = 4 if wide <= 4 else 8
+    planes = np.ascontiguousarray(values.astype(f"<u{room}").view(np.uint8).reshape(-1, room)[:, :wide].T)
     return bytes([wide]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
@@ -38,9 +39,10 @@ def unpack_small(blob: bytes) -> np.ndarray:
     if not blob:
         return np.zeros(0, np.uint32)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob[1:]), np.uint8).reshape(blob[0], -1)
-    out = np.zeros((raw.shape[1], 4), np.uint8)
+    room = 4 if blob[0] <= 4 else 8
+    out = np.zeros((raw.shape[1], room), np.uint8)
     out[:, : blob[0]] = raw.T
-    return out.view(np.uint32).ravel()
+    return out.view(f"<u{room}").ravel()
 
 
 def part_of(values: np.ndarray, parts: int) -> np.ndarray:

@@ -6,7 +6,7 @@ probe fails and takes the last step's value. The filter goes to the workers, and
 most `head`), which it needn't hold. Its size is bounded by `most_bits`; with more n-grams than that holds, it starts at a higher step.
 
 Tokens whose counts the workers can't tell are open: words out of the head, whose exact counts the unigram score needs, and n-grams below
-the filter's first step. Each megabyte of text writes its open tokens packed, asks the count tables for its distinct n-grams by a shuffle,
+the filter's first step. Each run of texts writes its open tokens packed, asks the count tables for its distinct n-grams by a shuffle,
 and scores them with the answers. Estimates take the same steps either way, so that a score depends on the bound by false positives only.
 
 A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). Counts from
@@ -29,6 +29,8 @@ from ._scratch import Scratch
 from ._words import U64, chunks, hashes, mix
 
 BATCH_TOKENS, LEAST_PARTS, PART_TOKENS = 1 << 20, 64, 1 << 21
+#: Bytes of text whose open tokens are asked for together; lower bits that asks for bigrams leave out.
+OPEN_BYTES, BLUR = 1 << 21, U64(16)
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
 HEAD, MEMBER_BITS, MOST_BITS, PROBES = 1 << 20, 10, 1 << 28, 4
 #: Steps of the scale of counts: each is the least whole number over 1.5 times the one before.
@@ -103,7 +105,7 @@ def _sum(table: pa.Table) -> pa.Table:
         out[kind + "_tally"] = [tally.tolist()]
         if kind == "b":  # a bigram met once tells nothing of the next text
             value, total = value[total > 1], total[total > 1]
-        out[kind], out[kind + "n"] = [pack(value)], [pack_small(np.minimum(total, (1 << 32) - 1))]
+        out[kind], out[kind + "n"] = [pack(value)], [pack_small(total)]
         out[kind + "_total"] = [int(count.sum())]
     return pa.table({c: pa.array(x, pa.int32() if c == "part" else pa.list_(pa.int64()) if c.endswith("tally") else pa.binary() if c in ("w", "wn", "b", "bn") else pa.int64()) for c, x in out.items()}).select(_SUM)
 
@@ -212,7 +214,7 @@ def _score(model):
         m, rid = model.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             n, known, base, full, opened, begin = [], [], [], [], [None] * len(batch), rid
-            for row, data, offs in chunks(batch.column(1)):
+            for row, data, offs in chunks(batch.column(1), OPEN_BYTES):
                 tokens, before, counts = _tokens(data, offs)
                 k, b, s, at = m.score(tokens, before, counts)
                 for out, x in zip((n, known, base, full), (counts, k, b, s), strict=True):
@@ -220,7 +222,9 @@ def _score(model):
                 if len(at):
                     words, back = np.unique(np.concatenate([tokens[at], before[at]]), return_inverse=True)
                     rows = np.repeat(np.arange(len(counts)), counts)[at]
-                    opened[row] = pack(words), pack_small(back[: len(at)]), pack_small(back[len(at) :]), pack_small(np.diff(rows, prepend=0))
+                    token, b4 = back[: len(at)], back[len(at) :] + 1
+                    b4[1:][b4[1:] == token[:-1] + 1] = 0
+                    opened[row] = pack(words), pack_small(token), pack_small(b4), pack_small(np.diff(rows, prepend=0))
             rid += len(batch)
             cat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
             blobs = [pa.array([o and o[i] for o in opened], pa.binary()) for i in range(len(_OPEN))]
@@ -229,60 +233,64 @@ def _score(model):
     return score
 
 
-#: Open tokens of a run of rows, on its first row: distinct words, places in them of each token and the one before, rows as differences.
+#: Open tokens of a run of rows, on its first row: distinct words, places in them of each token and the one before (from 1; 0: the
+#: open token before it), rows as differences.
 _OPEN = ["o_words", "o_token", "o_before", "o_row"]
 
 
-def _opened(row: dict):
-    words = unpack(row["o_words"])
-    return words, *(unpack_small(row[c]).astype(np.int64) for c in ("o_token", "o_before"))
+class _Opened:
+    """Open tokens of a run of rows, and the n-grams they ask for: sorted words, and sorted bigrams without their lower bits."""
+
+    def __init__(self, model: Model, row: dict):
+        self.words = words = unpack(row["o_words"])
+        self.token, before = (unpack_small(row[c]).astype(np.int64) for c in ("o_token", "o_before"))
+        self.before = np.where(before > 0, before - 1, np.concatenate([[0], self.token[:-1]]))
+        self.about, self.known, unsure = model.words_about(words)
+        self.asks_word = ~self.known & (words != BEGIN)
+        self.some = ((words == BEGIN) | (self.about > 1) | unsure)[self.before]  # a context of one tells nothing
+        pairs, self.back = np.unique(_bigrams(words[self.before[self.some]], words[self.token[self.some]]), return_inverse=True)
+        self.pair, self.asks_pair = model.pairs_about(pairs)
+        self.w, self.b = words[self.asks_word], pairs[self.asks_pair]
 
 
 def _ask(model, parts: int):
     """The distinct n-grams that the open tokens of each run of rows ask for, by part of the hash range."""
 
     def ask(batches):
-        m = model.value
         for batch in batches:
             for i in range(len(batch)):
                 (row,) = batch.slice(i, 1).to_pylist()
-                words, token, before = _opened(row)
-                about, known, unsure = m.words_about(words)
-                counts = (words == BEGIN) | (about > 1) | unsure
-                some = counts[before]
-                pairs = np.unique(_bigrams(words[before[some]], words[token[some]]))
-                pairs, words = pairs[m.pairs_about(pairs)[1]], words[~known & (words != BEGIN)]
-                cut_w, cut_b = edges(words, parts), edges(pairs, parts)
+                o = _Opened(model.value, row)
+                cut_w, cut_b = edges(o.w, parts), edges(o.b, parts)
                 to = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_b) > 0))
                 yield pa.RecordBatch.from_arrays([
                     pa.array(to, pa.int32()), pa.array(np.full(len(to), row["rid"]), pa.int64()),
-                    pa.array([pack(words[cut_w[p] : cut_w[p + 1]]) for p in to], pa.binary()), pa.array([pack(pairs[cut_b[p] : cut_b[p + 1]]) for p in to], pa.binary()),
+                    pa.array([pack(o.w[cut_w[p] : cut_w[p + 1]]) for p in to], pa.binary()), pa.array([pack(o.b[cut_b[p] : cut_b[p + 1]] >> BLUR) for p in to], pa.binary()),
                 ], names=["part", "rid", "w", "b"])
 
     return ask
 
 
 def _answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
-    """The counts of the asked n-grams of one part, where there are any."""
+    """The counts of the asked n-grams of one part in the order of the asks: exact for words, steps for bigrams."""
     have = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.uint32)) for kind in "wb"}
     for r in sums.to_pylist():
-        have = {kind: (unpack(r[kind]), unpack_small(r[kind + "n"])) for kind in "wb"}
-    out = {c: [] for c in ("rid", "w", "wn", "b", "bn")}
-    for rid, *asks in zip(*(asked.column(c).to_pylist() for c in ("rid", "w", "b")), strict=True):
+        have = {"w": (unpack(r["w"]), unpack_small(r["wn"])), "b": (unpack(r["b"]) >> BLUR, np.searchsorted(SCALE, unpack_small(r["bn"]).astype(np.int64), "right"))}
+    out = {c: [] for c in ("rid", "part", "wn", "bn")}
+    for rid, part, *asks in zip(*(asked.column(c).to_pylist() for c in ("rid", "part", "w", "b")), strict=True):
         out["rid"].append(rid)
+        out["part"].append(part)
         for kind, blob in zip("wb", asks, strict=True):
-            grams, count = _pick(unpack(blob), *have[kind])
-            out[kind].append(pack(grams[count > 0]))
-            out[kind + "n"].append(pack_small(count[count > 0]))
-    return pa.table({c: pa.array(x, pa.int64() if c == "rid" else pa.binary()) for c, x in out.items()})
+            out[kind + "n"].append(pack_small(_pick(unpack(blob), *have[kind])))
+    return pa.table({c: pa.array(x, kind) for (c, x), kind in zip(out.items(), (pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)})
 
 
 def _pick(grams, value, count):
-    """(n-grams, their counts) out of sorted values."""
+    """The counts of n-grams out of sorted values; 0 where there are none."""
     if not len(value):
-        return grams, np.zeros(len(grams), np.int64)
+        return np.zeros(len(grams), np.int64)
     at = np.minimum(np.searchsorted(value, grams), len(value) - 1)
-    return grams, np.where(value[at] == grams, count[at].astype(np.int64), 0)
+    return np.where(value[at] == grams, count[at].astype(np.int64), 0)
 
 
 def _floor(counts):
@@ -293,22 +301,23 @@ def _floor(counts):
 def _finish(model):
     """What the open tokens add to each row."""
 
-    def told(grams, answers, kind):
-        # parts are ranges, so answers in order of their first n-gram are sorted
-        got = sorted((x for x in ((unpack(a[kind]), unpack_small(a[kind + "n"])) for a in answers) if len(x[0])), key=lambda x: x[0][0])
-        return _pick(grams, *(np.concatenate(x) for x in zip(*got, strict=True)))[1] if got else np.zeros(len(grams), np.int64)
+    def told(answers, kind):
+        # parts are ranges of the sorted asks
+        return np.concatenate([np.zeros(0, np.int64), *[unpack_small(a[kind]).astype(np.int64) for a in answers]])
 
     def finish(opened: pa.Table, answers: pa.Table) -> pa.Table:
-        m, got, parts = model.value, answers.to_pylist(), []
+        m, got, parts = model.value, sorted(answers.to_pylist(), key=lambda a: a["part"]), []
         for row in opened.to_pylist():
-            words, token, before = _opened(row)
-            exact, known = m.head(words)
-            exact = np.where(known, exact, told(words, got, "w"))
+            o = _Opened(m, row)
+            words, known, token = o.words, o.known, o.token
+            exact = np.where(known, o.about, 0)
+            exact[o.asks_word] = told(got, "wn")
             about = np.where(known, exact, _floor(exact))
-            context = np.where(words == BEGIN, m.texts, about)[before].astype(float)
-            pairs, back = np.unique(_bigrams(words[before], words[token]), return_inverse=True)
-            pair, unsure = m.pairs_about(pairs)
-            pair = np.where(unsure, _floor(told(pairs, got, "b")), pair)[back]
+            context = np.where(words == BEGIN, m.texts, about)[o.before].astype(float)
+            step = told(got, "bn")
+            o.pair[o.asks_pair] = np.where(step > 0, SCALE[step - 1], 0)
+            pair = np.zeros(len(token))
+            pair[o.some] = o.pair[o.back]
             p = m.log_p(np.where(context > 1, pair, 0), context, about[token])
             base = np.where(known, 0.0, np.log10((exact + 1) / (m.tokens + m.types + 1.0)))[token]
             rows, place = np.unique(np.cumsum(unpack_small(row["o_row"]).astype(np.int64)), return_inverse=True)
@@ -373,7 +382,7 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     scored = tmp.put(docs.mapInArrow(_score(shared), f"rid bigint, id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, {', '.join(f'{c} binary' for c in _OPEN)}"), "scored")
     opened = scored.select("rid", *_OPEN).filter("o_row is not null")
     ask = opened.select("rid", "o_words", "o_token", "o_before").mapInArrow(_ask(shared, model.flt.parts), "part int, rid bigint, w binary, b binary")
-    answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "rid bigint, w binary, wn binary, b binary, bn binary")
+    answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "rid bigint, part int, wn binary, bn binary")
     more = opened.groupBy("rid").cogroup(answers.groupBy("rid")).applyInArrow(_finish(shared), "rid bigint, more_known bigint, more_base double, more_score double")
     more = tmp.put(more, "more").withColumnRenamed("rid", "_rid")
     out = scored.drop(*_OPEN).join(more, F.col("rid") == F.col("_rid"), "left")

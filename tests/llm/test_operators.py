@@ -161,6 +161,15 @@ def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monk
         assert got[i].score == pytest.approx(want, rel=1e-9)
 
 
+def test_packed_numbers():
+    from tessera.llm._packed import pack_small, unpack_small
+
+    for most in (0, 200, 70_000, (1 << 32) - 1, 1 << 32, 1 << 45):
+        values = np.array([0, most, 1, most // 3])
+        assert unpack_small(pack_small(values)).tolist() == values.tolist()
+    assert len(unpack_small(pack_small(np.zeros(0, np.int64)))) == 0
+
+
 def test_filter_never_loses_a_member():
     grams = np.random.default_rng(1).integers(0, 1 << 63, 2000, dtype=np.uint64)
     bits, parts = 4096, 8
