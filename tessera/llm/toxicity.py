@@ -15,6 +15,7 @@ without labels). Rows with equal ids are scored each by its text. Extra columns
 
 from __future__ import annotations
 
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._fit import Constant, Network, fold, sample
-from ._words import ALNUM, PLAIN, U64, _table, chunks, mix, powers, spans
+from ._words import ALNUM, U64, _table, chunks, mix, powers, spans
 
 STEMS = (4, 5, 6, 7, 8)
 #: Rows of each label that the model is fitted on at most, and terms that it keeps at most.
@@ -36,7 +37,10 @@ REPLACED, REPEATED, MARKED, ODD = 1.0, 0.5, 0.1, 9.0
 LONGEST = 40
 #: Letters a to z are 1 to 26, the edge of a word 0, any other letter 27.
 LETTERS = 28
-MEMO = 200_000
+#: Of more repeats than three, three are read.
+REPEATS = re.compile(r"(.)\1{3,}", re.DOTALL)
+#: Restored spans that are remembered: how many, and up to how many bytes each.
+MEMO, MEMO_BYTES = 200_000, 64
 
 
 def _code_table() -> np.ndarray:
@@ -82,9 +86,9 @@ def letter_model(texts: DataFrame) -> np.ndarray:
 
 def restore(span: str, model: np.ndarray) -> str:
     """The best letters for a span, by Viterbi over pairs of letters."""
-    best: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for c in span.lower():
+    for c in REPEATS.sub(r"\1\1\1", span.lower()):
         options: list[tuple[str, float]] = []
         if "a" <= c <= "z" or ord(c) > 127:
             options.append((c, 0.0))
@@ -97,9 +101,9 @@ def restore(span: str, model: np.ndarray) -> str:
             options.append((c, ODD))
         if c == before:
             drop = REPEATED
-        after: dict[tuple[int, int], tuple[float, str]] = {}
+        after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (x, y), (score, word) in best.items():
-            moves = [((y, k := 27 if ord(o) > 127 or not "a" <= o <= "z" else ord(o) - 96), score - cost + model[x, y, k], word + o) for o, cost in options]
+            moves = [((y, k := 27 if ord(o) > 127 or not "a" <= o <= "z" else ord(o) - 96), score - cost + model[x, y, k], (word, o)) for o, cost in options]
             if drop is not None:
                 moves.append(((x, y), score - drop, word))
             for state, s, w in moves:
@@ -107,19 +111,25 @@ def restore(span: str, model: np.ndarray) -> str:
                     after[state] = (s, w)
         best = after or best
         before = c
-    return max(((s + model[x, y, 0], w) for (x, y), (s, w) in best.items()), default=(0.0, ""))[1]
+    word, out = max(((s + model[x, y, 0], w) for (x, y), (s, w) in best.items()), key=lambda b: b[0])[1], []
+    while word is not None:  # each letter with those before it: linear in long spans
+        word, o = word
+        out.append(o)
+    return "".join(reversed(out))
 
 
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in range(256)])
 ASCII_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 STANDS = np.array([chr(b) in LEET for b in range(256)])
 MARK = np.array([chr(b) in MARKS[1:] for b in range(256)])
+#: Bytes of a span; blanks and any other punctuation cut.
+KEEP = np.array([b > 127 or chr(b).isalnum() or chr(b) in LEET or chr(b) in MARKS[1:] for b in range(256)])
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, start, end) of the spans to restore."""
-    start, end = spans(data, offs, PLAIN)
+    start, end = spans(data, offs, KEEP)
     if not len(start):
         return []
     letter, stands, mark = LETTER[data], STANDS[data], MARK[data]
@@ -144,7 +154,7 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     spaced = (apart >= 2) & (n_letters <= apart + 2) & (n_letters >= 3)
     repeated = (has(again) > 0) & (n_letters >= 4)
     row = np.searchsorted(offs, start, "right") - 1
-    odd = np.flatnonzero((leet | spaced | repeated) & (size <= LONGEST))
+    odd = np.flatnonzero(leet | spaced | repeated)
     found = list(zip(row[odd].tolist(), start[odd].tolist(), end[odd].tolist(), strict=True))
     # runs of single characters: each next one is two bytes on
     single = np.flatnonzero((size == 1) & (plain[start] | stands[start]))
@@ -172,7 +182,9 @@ def _terms(data: np.ndarray, offs: np.ndarray, memo: dict, model: np.ndarray):
             raw = data[a:b].tobytes()
             word = memo.get(raw)
             if word is None:
-                word = memo[raw] = restore(raw.decode("utf-8", "replace").strip(".-_*~'"), model).encode()
+                word = restore(raw.decode("utf-8", "replace").strip(".-_*~'"), model).encode()
+                if len(raw) <= MEMO_BYTES:
+                    memo[raw] = word
             if len(word) >= 3:
                 row.append(r)
                 words.append(word)

@@ -356,6 +356,31 @@ def test_restored_words():
     assert {"b@d", "1d10t", "i d i o t", "s.t.u.p.i.d", "loooser"} <= found and not {"plain", "reed***"} & found
 
 
+def letters_of(words):
+    """A letter model of words, and what says whether a text's terms hold a word."""
+    sums = np.zeros((28, 28, 28))
+    for w in words:
+        code = [0, 0, *(ord(c) - 96 for c in w), 0]
+        for x in zip(code, code[1:], code[2:], strict=False):
+            sums[x] += 1
+    two = sums.sum(0)
+    one = two.sum(0) + 1
+    p = (two + 5 * one / one.sum()) / (two.sum(1, keepdims=True) + 5)
+    model = np.log((sums + 5 * p) / (sums.sum(2, keepdims=True) + 5))
+    terms = lambda text: toxicity._terms(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), {}, model)[1].tolist()
+    return lambda text, word: terms(word)[0] in terms(text)
+
+
+ABUSE = "the idiot was a clown and the moron is stupid trash about it all day long in town you are a loser dumbass ass kill them".split() * 50
+
+
+def test_long_spans_are_restored():
+    holds = letters_of(ABUSE)
+    for text, word in (("st" + "u" * 120 + "pid", "stupid"), ("idi" + "o" * 60 + "t", "idiot"), ("m0ron/stup1d/l0ser/" * 4, "moron"), ("m0ron,stup1d,l0ser," * 4, "stupid")):
+        assert holds(text, word)
+    assert len(toxicity.restore("1o" * 100_000, np.zeros((28, 28, 28)))) == 200_000  # in linear time
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert minhash_dedup.near_duplicates(none).count() == 0
