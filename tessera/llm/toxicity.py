@@ -32,13 +32,15 @@ MOST, MOST_TERMS = 3000, 5000
 #: Letters that a character stands for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 MARKS = " .-_*~'"
+#: Substitutes that are punctuation as often: a span is read with and without them at its edges.
+SOFT = "!|+"
 #: Costs, as natural logarithms: of a replaced letter, of a dropped repeat, of a dropped mark, and of a character that stays though it is odd.
 REPLACED, REPEATED, MARKED, ODD = 1.0, 0.5, 0.1, 9.0
 LONGEST = 40
 #: Letters a to z are 1 to 26, the edge of a word 0, any other letter 27.
 LETTERS = 28
 #: Of more repeats than three, three are read.
-REPEATS = re.compile(r"(.)\1{3,}", re.DOTALL)
+REPEATS, TWICE, DOUBLE = (re.compile(rf"(.)\1{n}", re.DOTALL) for n in ("{3,}", "{2,}", ""))
 #: Restored spans that are remembered: how many, and up to how many bytes each.
 MEMO, MEMO_BYTES = 200_000, 64
 
@@ -84,11 +86,11 @@ def letter_model(texts: DataFrame) -> np.ndarray:
     return np.log(p)
 
 
-def restore(span: str, model: np.ndarray) -> str:
-    """The best letters for a span, by Viterbi over pairs of letters."""
+def restore(span: str, model: np.ndarray, twice: bool = False) -> str:
+    """The best letters for a span, by Viterbi over pairs of letters; `twice`: of repeats two stay, else any may be dropped."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
-    for c in REPEATS.sub(r"\1\1\1", span.lower()):
+    for c in TWICE.sub(r"\1\1", span.lower()) if twice else REPEATS.sub(r"\1\1\1", span.lower()):
         options: list[tuple[str, float]] = []
         if "a" <= c <= "z" or ord(c) > 127:
             options.append((c, 0.0))
@@ -99,7 +101,7 @@ def restore(span: str, model: np.ndarray) -> str:
             drop = MARKED
         elif not options:
             options.append((c, ODD))
-        if c == before:
+        if c == before and not twice:
             drop = REPEATED
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (x, y), (score, word) in best.items():
@@ -118,9 +120,16 @@ def restore(span: str, model: np.ndarray) -> str:
     return "".join(reversed(out))
 
 
+def candidates(span: str, model: np.ndarray) -> list[str]:
+    """The words that a span may stand for: with and without soft substitutes at its edges, repeats dropped or two of them kept."""
+    forms = dict.fromkeys((span.strip(MARKS), span.strip(MARKS + SOFT)))
+    return list(dict.fromkeys(restore(form, model, twice) for form in forms for twice in ([False, True] if DOUBLE.search(form) else [False])))
+
+
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in range(256)])
 ASCII_LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 for b in range(256)])
 STANDS = np.array([chr(b) in LEET for b in range(256)])
+SYMBOL = np.array([chr(b) in "@$" for b in range(256)])
 MARK = np.array([chr(b) in MARKS[1:] for b in range(256)])
 #: Bytes of a span; blanks and any other punctuation cut.
 KEEP = np.array([b > 127 or chr(b).isalnum() or chr(b) in LEET or chr(b) in MARKS[1:] for b in range(256)])
@@ -146,10 +155,8 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
 
     size = end - start
     n_letters = has(plain)
-    into, out = has(stands & after), has(stands & ahead)
-    opens = np.zeros(len(start), bool)
-    opens[:] = stands[start]
-    leet = (out > 0) & ((into > 0) | opens) & (n_letters >= 2) & (2 * n_letters >= size - 1)
+    # a substitute beside a letter on either side, or symbols and digits alone (digits alone are a number)
+    leet = ((has(stands & (after | ahead)) > 0) & (n_letters > 0)) | ((has(SYMBOL[data]) > 0) & (has(stands) >= 3))
     apart = has(mark & after & ahead)
     spaced = (apart >= 2) & (n_letters <= apart + 2) & (n_letters >= 3)
     repeated = (has(again) > 0) & (n_letters >= 4)
@@ -177,23 +184,25 @@ def _terms(data: np.ndarray, offs: np.ndarray, memo: dict, model: np.ndarray):
     if odd:
         if len(memo) > MEMO:
             memo.clear()
-        row, words = [], []
+        row, words, of = [], [], []
         for r, a, b in odd:
             raw = data[a:b].tobytes()
-            word = memo.get(raw)
-            if word is None:
-                word = restore(raw.decode("utf-8", "replace").strip(".-_*~'"), model).encode()
+            found = memo.get(raw)
+            if found is None:
+                found = [word.encode() for word in candidates(raw.decode("utf-8", "replace"), model)]
                 if len(raw) <= MEMO_BYTES:
-                    memo[raw] = word
-            if len(word) >= 3:
-                row.append(r)
-                words.append(word)
+                    memo[raw] = found
+            found = [word for word in found if len(word) >= 3]
+            row += [r] * len(found)
+            of += [len(words)] * len(found)
+            words += found
         if words:
             sizes = np.fromiter(map(len, words), np.int64, len(words))
             ends = np.cumsum(sizes)
             text = np.frombuffer(b"".join(words), np.uint8)
-            r, term, word = _stems(text, np.concatenate([[0], ends]), ends - sizes, ends)
-            parts.append((np.array(row)[r], term, word))
+            at, term, word = _stems(text, np.concatenate([[0], ends]), ends - sizes, ends)
+            # what a span may stand for counts as one word, its first
+            parts.append((np.array(row)[at], term, word[np.array(of)[at]]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 

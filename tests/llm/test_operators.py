@@ -381,6 +381,13 @@ def test_long_spans_are_restored():
     assert len(toxicity.restore("1o" * 100_000, np.zeros((28, 28, 28)))) == 200_000  # in linear time
 
 
+def test_ordinary_leetspeak_is_restored():
+    holds = letters_of(ABUSE)
+    for text, word in (("1d10t,", "idiot"), ("1d10t.", "idiot"), ("(1d10t)", "idiot"), ('"m0r0n!"', "moron"), ("idio7", "idiot"), ("dumba$$", "dumbass"), ("kil1", "kill"), ("a55", "ass"), ("@$$", "ass"), ("5tupid", "stupid")):
+        assert holds(text, word), text
+    assert not toxicity.suspects(np.frombuffer(b"455 8008 100", np.uint8), np.array([0, 12]))  # numbers
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert minhash_dedup.near_duplicates(none).count() == 0
