@@ -1,9 +1,10 @@
 """Toxicity scores after noisy-channel deobfuscation.
 
-Suspicious spans of a text are found from byte classes: words with digits or symbols among letters (leetspeak), letters set apart by
-spaces or marks, and letters repeated three times or more. Each is a lattice: a character stands for itself or a letter it may replace,
-a repeat or a mark may be dropped, each at a cost. The best path under a letter trigram model of the training texts (Viterbi) is the
-restored word, and takes part beside the words of the text.
+Suspicious spans of a text are found from byte classes: words with digits or symbols beside letters (leetspeak), letters set apart by
+blanks, marks or other punctuation, and letters repeated three times or more, of any length. Each is a lattice: a character stands for itself
+or a letter it may replace, a repeat or a mark may be dropped, a mark may be the edge of a word, each at a cost. The best path under a letter
+trigram model of the training texts (Viterbi) is the restored word, and takes part beside the words of the text. Words joined by marks are
+also read each for itself. In a run of single letters, terms are looked up from each letter on. Digits alone are a number, not a word.
 
 Terms are whole words and their first 4 to 8 bytes (stems). Those that mark toxic rows are picked, and a small network scores what a text has
 of them. It is fitted on at most `most` labelled rows of each class (a parameter) outside the held-out fold, each half of them seen through the
@@ -34,13 +35,15 @@ LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb",
 MARKS = " .-_*~'"
 #: Substitutes that are punctuation as often: a span is read with and without them at its edges.
 SOFT = "!|+"
+#: Letters of a spaced run that are looked up from each letter on, as words.
+PIECES = np.arange(3, 10)
 #: Costs, as natural logarithms: of a replaced letter, of a dropped repeat, of a dropped mark, and of a character that stays though it is odd.
 REPLACED, REPEATED, MARKED, ODD = 1.0, 0.5, 0.1, 9.0
-LONGEST = 40
 #: Letters a to z are 1 to 26, the edge of a word 0, any other letter 27.
 LETTERS = 28
 #: Of more repeats than three, three are read.
 REPEATS, TWICE, DOUBLE = (re.compile(rf"(.)\1{n}", re.DOTALL) for n in ("{3,}", "{2,}", ""))
+AT_MARKS = re.compile(f"[{re.escape(MARKS)}]+")
 #: Restored spans that are remembered: how many, and up to how many bytes each.
 MEMO, MEMO_BYTES = 200_000, 64
 
@@ -86,8 +89,8 @@ def letter_model(texts: DataFrame) -> np.ndarray:
     return np.log(p)
 
 
-def restore(span: str, model: np.ndarray, twice: bool = False) -> str:
-    """The best letters for a span, by Viterbi over pairs of letters; `twice`: of repeats two stay, else any may be dropped."""
+def restore(span: str, model: np.ndarray, twice: bool = False, edges: bool = False) -> str:
+    """The best letters for a span, by Viterbi over pairs of letters; `twice`: of repeats two stay, else any may be dropped; `edges`: a blank or mark may be the edge of a word, a blank in the result."""
     best: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     before = ""
     for c in TWICE.sub(r"\1\1", span.lower()) if twice else REPEATS.sub(r"\1\1\1", span.lower()):
@@ -99,13 +102,15 @@ def restore(span: str, model: np.ndarray, twice: bool = False) -> str:
         drop = None
         if c in MARKS:
             drop = MARKED
+            if edges:
+                options.append((" ", 0.0))
         elif not options:
             options.append((c, ODD))
         if c == before and not twice:
             drop = REPEATED
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (x, y), (score, word) in best.items():
-            moves = [((y, k := 27 if ord(o) > 127 or not "a" <= o <= "z" else ord(o) - 96), score - cost + model[x, y, k], (word, o)) for o, cost in options]
+            moves = [((y, k := 0 if o == " " else 27 if ord(o) > 127 or not "a" <= o <= "z" else ord(o) - 96), score - cost + model[x, y, k], (word, o)) for o, cost in options]
             if drop is not None:
                 moves.append(((x, y), score - drop, word))
             for state, s, w in moves:
@@ -120,10 +125,22 @@ def restore(span: str, model: np.ndarray, twice: bool = False) -> str:
     return "".join(reversed(out))
 
 
-def candidates(span: str, model: np.ndarray) -> list[str]:
-    """The words that a span may stand for: with and without soft substitutes at its edges, repeats dropped or two of them kept."""
-    forms = dict.fromkeys((span.strip(MARKS), span.strip(MARKS + SOFT)))
-    return list(dict.fromkeys(restore(form, model, twice) for form in forms for twice in ([False, True] if DOUBLE.search(form) else [False])))
+def candidates(span: str, model: np.ndarray) -> list[tuple[str, int]]:
+    """The words that a span may stand for, each with the place of the one it counts as: cut at all marks, cut where the model sets
+    edges, and as one word, with and without soft substitutes at its edges, repeats dropped or two of them kept.
+    """
+    forms = list(dict.fromkeys((span.strip(MARKS), span.strip(MARKS + SOFT))))
+    marked = [form for form in forms if any(c in MARKS for c in form)]
+    parts = [part for form in marked for part in AT_MARKS.split(form)]
+    cut = dict.fromkeys(restore(part, model, twice) for part in parts for twice in ([False, True] if DOUBLE.search(part) else [False]))
+    some = [word for form in marked for word in restore(form, model, edges=True).split()]
+    whole = [restore(form, model, twice) for form in forms for twice in ([False, True] if DOUBLE.search(form) else [False])]
+    return [(word, i if i < len(cut) else 0) for i, word in enumerate(dict.fromkeys([*cut, *some, *whole]))]
+
+
+def pieces(run: str, model: np.ndarray) -> list[tuple[str, int]]:
+    """The words of a spaced run where the model sets edges, end to end."""
+    return [(word, i) for i, word in enumerate(restore(run, model, edges=True).split())]
 
 
 LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b > 127 for b in range(256)])
@@ -133,11 +150,20 @@ SYMBOL = np.array([chr(b) in "@$" for b in range(256)])
 MARK = np.array([chr(b) in MARKS[1:] for b in range(256)])
 #: Bytes of a span; blanks and any other punctuation cut.
 KEEP = np.array([b > 127 or chr(b).isalnum() or chr(b) in LEET or chr(b) in MARKS[1:] for b in range(256)])
+SOFT_BYTE = np.array([chr(b) in SOFT for b in range(256)])
+#: Bytes of the units whose single ones make a run, with and without soft substitutes.
+UNIT = LETTER | STANDS
+HARD_UNIT = UNIT & ~SOFT_BYTE
 FOLDED = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
 
 
 def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     """(row, start, end) of the spans to restore."""
+    return odd_words(data, offs) + [run[:3] for run in runs(data, offs)]
+
+
+def odd_words(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(row, start, end) of words with substitutes, marks or repeats."""
     start, end = spans(data, offs, KEEP)
     if not len(start):
         return []
@@ -162,47 +188,84 @@ def suspects(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     repeated = (has(again) > 0) & (n_letters >= 4)
     row = np.searchsorted(offs, start, "right") - 1
     odd = np.flatnonzero(leet | spaced | repeated)
-    found = list(zip(row[odd].tolist(), start[odd].tolist(), end[odd].tolist(), strict=True))
-    # runs of single characters: each next one is two bytes on
-    single = np.flatnonzero((size == 1) & (plain[start] | stands[start]))
-    if len(single):
-        breaks = np.flatnonzero((np.diff(start[single]) != 2) | (np.diff(row[single]) != 0)) + 1
-        for a, b in zip([0, *breaks.tolist()], [*breaks.tolist(), len(single)], strict=True):
-            if b - a >= 3:
-                for c in range(a, b, LONGEST // 2):  # long runs in pieces that overlap
-                    d = min(b, c + LONGEST // 2 + 8)
-                    if d - c >= 3:
-                        found.append((int(row[single[c]]), int(start[single[c]]), int(end[single[d - 1]])))
-    return found
+    return list(zip(row[odd].tolist(), start[odd].tolist(), end[odd].tolist(), strict=True))
+
+
+def runs(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int, str]]:
+    """(row, start, end, characters) of single letters and substitutes in a row with any blanks, marks or punctuation between them."""
+    found = {}
+    for unit in (UNIT, HARD_UNIT) if SOFT_BYTE[data].any() else (UNIT,):
+        start, end = spans(data, offs, unit)
+        single = np.flatnonzero((end - start == 1) & (ASCII_LETTER | STANDS)[data[start]])
+        row = np.searchsorted(offs, start[single], "right") - 1
+        cut = np.flatnonzero((np.diff(single) != 1) | (np.diff(row) != 0)) + 1
+        cut = np.concatenate([[0], cut, [len(single)]])
+        says = np.concatenate([[0], np.cumsum((ASCII_LETTER | SYMBOL)[data[start[single]]])])  # digits alone are no word
+        for k in np.flatnonzero((np.diff(cut) >= 3) & (says[cut[1:]] > says[cut[:-1]])).tolist():
+            some = single[cut[k] : cut[k + 1]]
+            at = int(row[cut[k]]), int(start[some[0]]), int(end[some[-1]]), FOLDED[data[start[some]]].tobytes().decode()
+            found[at] = at
+    return list(found)
+
+
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """The text with blanks, dashes and dots outside ASCII as blanks or marks of as many bytes."""
+    if not len(data) or data.max() < 0xC2:
+        return data
+    raw = data.tobytes()
+    for mark, found in BLANKS:
+        raw = found.sub(lambda m, mark=mark: mark * len(m[0]), raw)
+    return np.frombuffer(raw, np.uint8)
+
+#: UTF-8 of blanks, and of invisible characters, dashes, dots and quotes.
+BLANKS = [
+    (b" ", re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")),
+    (b"-", re.compile(rb"\xc2[\xad\xb7]|\xe2\x80[\x8b-\x9f\xa2-\xa7]|\xe2\x81\xa0|\xe2\x88[\x92\x99]|\xef\xbb\xbf")),
+]
 
 
 def _terms(data: np.ndarray, offs: np.ndarray, memo: dict, model: np.ndarray):
     """(row, term, word) of the words and stems of each row, restored spans among them."""
     start, end = spans_lower(data, offs)
     parts = [_stems(data, offs, start, end)]
-    odd = suspects(data, offs)
+    data = _blanks(data)
+    spaced = runs(data, offs)
+    odd = [(r, data[a:b].tobytes().decode("utf-8", "replace"), False) for r, a, b in odd_words(data, offs)] + [(r, " ".join(x), True) for r, _, _, x in spaced]
     if odd:
         if len(memo) > MEMO:
             memo.clear()
-        row, words, of = [], [], []
-        for r, a, b in odd:
-            raw = data[a:b].tobytes()
-            found = memo.get(raw)
+        row, words, of, text_of_run = [], [], [], []
+        for r, span, run in odd:
+            found = memo.get((span, run))
             if found is None:
-                found = [word.encode() for word in candidates(raw.decode("utf-8", "replace"), model)]
-                if len(raw) <= MEMO_BYTES:
-                    memo[raw] = found
-            found = [word for word in found if len(word) >= 3]
+                found = [(word.encode(), i) for word, i in (pieces(span, model) if run else candidates(span, model))]
+                if len(span) <= MEMO_BYTES:
+                    memo[span, run] = found
+            n = len(words)
             row += [r] * len(found)
-            of += [len(words)] * len(found)
-            words += found
-        if words:
-            sizes = np.fromiter(map(len, words), np.int64, len(words))
-            ends = np.cumsum(sizes)
-            text = np.frombuffer(b"".join(words), np.uint8)
-            at, term, word = _stems(text, np.concatenate([[0], ends]), ends - sizes, ends)
-            # what a span may stand for counts as one word, its first
-            parts.append((np.array(row)[at], term, word[np.array(of)[at]]))
+            of += [n + i for _, i in found]
+            words += [word for word, _ in found]
+            if run:
+                text_of_run.append((n, len(words)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        ends = np.cumsum(sizes)
+        text = np.frombuffer(b"".join(words), np.uint8)
+        row, of, own = np.array(row), np.array(of), np.arange(len(words))
+        start, end, at = [ends - sizes], [ends], [own]
+        for a, b in text_of_run:
+            # the words lie end to end as the letters of the run: pieces from each letter on, all before and all after it
+            lo, hi = int(ends[a] - sizes[a]), int(ends[b - 1])
+            letter = np.arange(lo, hi)
+            in_word = np.repeat(own[a:b], sizes[a:b])
+            start += [np.repeat(letter, len(PIECES)), letter, np.full(hi - lo, lo)]
+            end += [np.minimum(np.repeat(letter, len(PIECES)) + np.tile(PIECES, hi - lo), hi), np.full(hi - lo, hi), letter + 1]
+            at += [np.repeat(in_word, len(PIECES)), in_word, in_word]
+        start, end, at = (np.concatenate(x) for x in (start, end, at))
+        some = end - start >= 3
+        start, end, at = start[some], end[some], at[some]
+        if len(start):
+            # what a span may stand for counts as one word, and a piece of a run as the word it begins in
+            parts.append(_stems(text, np.array([0, len(text)]), start, end, row[at], np.concatenate([[0], ends])[of[at]], ends[of[at]]))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
@@ -210,15 +273,16 @@ def spans_lower(data, offs):
     return spans(FOLDED[data], offs, ALNUM)
 
 
-def _stems(data, offs, start, end):
-    """Terms of words that lie in a row each: (row, hash of the term, hash of the word)."""
+def _stems(data, offs, start, end, row=None, word_start=None, word_end=None):
+    """Terms of words that lie in a row each: (row, hash of the term, hash of the word); given rows and words stand for their own."""
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_table(True)[data] * powers(len(data)), out=sums[1:])
     down = powers(len(data) + 1, "down")
     cut = lambda a, b: mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
-    row = np.searchsorted(offs, start, "right") - 1
-    size, word = end - start, cut(start, end)
-    rows, terms, words = [row], [word], [word]
+    row = np.searchsorted(offs, start, "right") - 1 if row is None else row
+    size, term = end - start, cut(start, end)
+    word = term if word_start is None else cut(word_start, word_end)
+    rows, terms, words = [row], [term], [word]
     for n in STEMS:
         some = np.flatnonzero(size > n)
         rows.append(row[some])

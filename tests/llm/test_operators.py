@@ -388,6 +388,15 @@ def test_ordinary_leetspeak_is_restored():
     assert not toxicity.suspects(np.frombuffer(b"455 8008 100", np.uint8), np.array([0, 12]))  # numbers
 
 
+def test_spaced_words_are_restored():
+    holds = letters_of(ABUSE)
+    for text in ("s  t  u  p  i  d", "s - t - u - p - i - d", "s\u00a0t\u00a0u\u00a0p\u00a0i\u00a0d", "s\u2003t\u2003u\u2003p\u2003i\u2003d", "s\u2013t\u2013u\u2013p\u2013i\u2013d", "a s.t.u.p.i.d", "s | t | u | p | i | d", "s t u p 1 d"):
+        assert holds(text, "stupid"), text
+    for text, word in (("you are a m o r o n", "moron"), ("y o u i d i o t", "idiot"), (" ".join("thisisaverylongrunofletters" * 9 + "youmoron"), "moron"), ("m0r0n.stup1d.l0ser." * 4, "stupid"), ("m0r0n.stup1d.l0ser." * 4, "moron")):
+        assert holds(text, word), text
+    assert not toxicity.runs(np.frombuffer(b"1 2 3 4 5", np.uint8), np.array([0, 9]))  # numbers
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], DOCS)
     assert minhash_dedup.near_duplicates(none).count() == 0
