@@ -1,7 +1,7 @@
 """Quality scores: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
 A word stands for two tokens, a bucket of its hash and its shape (case, digits, symbols, length). Every token has a sparse random index
-vector; a token's word vector is its index vector plus the mean of its neighbours' index vectors in the sample. A document is the mean of its
+vector; a token's word vector is its index vector plus the mean of its neighbours' index vectors in all documents. A document is the mean of its
 words' vectors, beside a few ratios (distinct words, repeated neighbours, symbols, capitals, lengths).
 
 The network is fitted on at most `most` labelled rows (a parameter), balanced by class, outside the held-out fold; then its logits are
@@ -134,7 +134,7 @@ def _score(shared):
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed, most: int, seed: int):
-    """(word vectors, model) from at most `most` rows of each label; docs has columns id and text."""
+    """(word vectors of all documents, model from at most `most` rows of each label); docs has columns id and text."""
     spark = docs.sparkSession
     picked, totals = sample(labels, id_col, label_col, allowed, {0: most, 1: most}, seed)
     zero = np.zeros((TOKENS, DIM), np.float32)
@@ -145,7 +145,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed
     ids = spark.createDataFrame(picked, f"_id {kind}, label int")
     rows = docs.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("label", "text")
     sums, seen = np.zeros((TOKENS, DIM)), np.zeros(TOKENS)
-    parts = rows.mapInArrow(_contexts, "token int, seen double, sums array<double>").groupBy("token").agg(F.sum("seen").alias("seen"), F.array(*[F.sum(F.col("sums")[k]) for k in range(DIM)]).alias("sums"))
+    # neighbours need no labels: they are counted over all documents, the network is fitted on the sample
+    parts = docs.select("id", "text").mapInArrow(_contexts, "token int, seen double, sums array<double>").groupBy("token").agg(F.sum("seen").alias("seen"), F.array(*[F.sum(F.col("sums")[k]) for k in range(DIM)]).alias("sums"))
     for r in parts.collect():
         sums[r.token], seen[r.token] = r.sums, r.seen
     vectors = _index() + sums / np.maximum(seen, 1)[:, None]

@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, token_counts, toxicity
+from tessera.llm._words import hashes, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, score string, n_words string, size string"
@@ -338,6 +340,15 @@ def test_classifiers(spark):
     assert clean.columns == docs.columns and {t[0] for t in truth if not t[2]} <= {r.doc_id for r in clean.collect()}
 
 
+def test_word_vectors_come_from_all_documents(spark):
+    docs, labels, _ = labelled(spark)
+    more = spark.createDataFrame([(1000 + i, "quorp vextil " * 20, "p") for i in range(5)], docs.schema)
+    fit = lambda df: quality.fit(df.withColumnRenamed("doc_id", "id"), labels, "doc_id", "quality", F.lit(True), 3000, 5)[0]
+    word = hashes(np.frombuffer(b"quorp", np.uint8), np.array([0, 5]))[0]
+    bucket = int(mix(word)[0] % np.uint64(quality.WORDS))
+    assert not np.allclose(fit(docs)[bucket], fit(docs.union(more))[bucket])  # no label names these documents
+
+
 def test_restored_words():
     words = "the idiot was a clown and the moron is stupid trash about it all day long in town".split() * 50
     sums = np.zeros((28, 28, 28))
