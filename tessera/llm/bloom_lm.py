@@ -12,6 +12,8 @@ and scores them with the answers. Estimates take the same steps either way, so t
 A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). Counts from
 the filter are lower ends of their steps, so that the bigram estimates of a context sum to at most one but for false positives.
 
+Bigrams count from `least_pair` occurrences on; the query op3 counts all of them (1), the default leaves out those met once.
+
 Defined cases: null text counts as empty; every text has an end token. A null id is in the training part. With no training text all
 counts are 0 (N = 0, V = 0). Rows with equal ids are scored each by its text. Extra columns are ignored.
 """
@@ -89,12 +91,19 @@ def _send(parts: int):
     return send
 
 
-def _sum(table: pa.Table) -> pa.Table:
-    """Counts of one part, and how many n-grams have each."""
-    got, out = table.to_pylist(), {"part": [table.column("part")[0].as_py()], "texts": [sum(table.column("texts").to_pylist())]}
-    for kind in ("w", "b"):
-        value = np.concatenate([np.zeros(0, np.uint64), *[unpack(r[kind]) for r in got]])
-        count = np.concatenate([np.zeros(0, np.int64), *[unpack_small(r[kind + "n"]) for r in got]]).astype(np.int64)
+def _sum(least_pair: int):
+    def summed(table: pa.Table) -> pa.Table:
+        return _sums(table, least_pair)
+
+    return summed
+
+
+def _sums(table: pa.Table, least_pair: int) -> pa.Table:
+    """Counts of one part, and how many n-grams have each; bigrams met less than `least_pair` times are left out."""
+    out = {"part": [table.column("part")[0].as_py()], "texts": [sum(table.column("texts").to_pylist())]}
+    for kind in ("w", "b"):  # one blob at a time, not the whole table as Python objects
+        value = np.concatenate([np.zeros(0, np.uint64), *[unpack(x.as_py()) for x in table.column(kind)]])
+        count = np.concatenate([np.zeros(0, np.int64), *[unpack_small(x.as_py()) for x in table.column(kind + "n")]]).astype(np.int64)
         order = np.argsort(value, kind="stable")
         value, count = value[order], count[order]
         starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(value)), bool), value[1:] != value[:-1]]))
@@ -103,8 +112,8 @@ def _sum(table: pa.Table) -> pa.Table:
         step = np.searchsorted(SCALE, total, "right")
         tally = np.bincount(step, minlength=len(SCALE) + 1)
         out[kind + "_tally"] = [tally.tolist()]
-        if kind == "b":  # a bigram met once tells nothing of the next text
-            value, total = value[total > 1], total[total > 1]
+        if kind == "b":
+            value, total = value[total >= least_pair], total[total >= least_pair]
         out[kind], out[kind + "n"] = [pack(value)], [pack_small(total)]
         out[kind + "_total"] = [int(count.sum())]
     return pa.table({c: pa.array(x, pa.int32() if c == "part" else pa.list_(pa.int64()) if c.endswith("tally") else pa.binary() if c in ("w", "wn", "b", "bn") else pa.int64()) for c, x in out.items()}).select(_SUM)
@@ -163,8 +172,8 @@ def _segment(bits: int, least_w: int, least_b: int, head_from: int):
 class Model:
     """What the workers hold: the filter, the head of the word counts, and totals."""
 
-    def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float):
-        self.flt, self.least, self.words, self.counts = flt, least, words, counts
+    def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float, least_pair: int):
+        self.least_pair, self.flt, self.least, self.words, self.counts = least_pair, flt, least, words, counts
         self.tokens, self.types, self.texts, self.share = tokens, types, texts, share
 
     def head(self, tokens):
@@ -184,7 +193,7 @@ class Model:
 
     def pairs_about(self, pairs):
         about = self.flt.count(pairs, self.least[1])
-        return about, (about == 0) & (self.least[1] > 2)
+        return about, (about == 0) & (self.least[1] > self.least_pair)
 
     def log_p(self, pair, context, about):
         """log10 of the mixed estimate."""
@@ -201,7 +210,7 @@ class Model:
         context[first], opened[first] = self.texts, False
         opened |= ~known[back]
         pair = np.zeros(len(tokens))
-        some = np.flatnonzero((context > 1) & ~opened)
+        some = np.flatnonzero((context >= self.least_pair) & ~opened)
         pair[some], unsure_pair = self.pairs_about(_bigrams(before[some], tokens[some]))
         opened[some[unsure_pair]] = True
         closed = known[back]
@@ -247,7 +256,7 @@ class _Opened:
         self.before = np.where(before > 0, before - 1, np.concatenate([[0], self.token[:-1]]))
         self.about, self.known, unsure = model.words_about(words)
         self.asks_word = ~self.known & (words != BEGIN)
-        self.some = ((words == BEGIN) | (self.about > 1) | unsure)[self.before]  # a context of one tells nothing
+        self.some = ((words == BEGIN) | (self.about >= model.least_pair) | unsure)[self.before]  # no rarer context has a bigram that counts
         pairs, self.back = np.unique(_bigrams(words[self.before[self.some]], words[self.token[self.some]]), return_inverse=True)
         self.pair, self.asks_pair = model.pairs_about(pairs)
         self.w, self.b = words[self.asks_word], pairs[self.asks_pair]
@@ -318,7 +327,7 @@ def _finish(model):
             o.pair[o.asks_pair] = np.where(step > 0, SCALE[step - 1], 0)
             pair = np.zeros(len(token))
             pair[o.some] = o.pair[o.back]
-            p = m.log_p(np.where(context > 1, pair, 0), context, about[token])
+            p = m.log_p(np.where(context >= m.least_pair, pair, 0), context, about[token])
             base = np.where(known, 0.0, np.log10((exact + 1) / (m.tokens + m.types + 1.0)))[token]
             rows, place = np.unique(np.cumsum(unpack_small(row["o_row"]).astype(np.int64)), return_inverse=True)
             sums = [np.bincount(place, x) for x in (((exact > 0) & ~known)[token].astype(float), base, p)]
@@ -328,11 +337,11 @@ def _finish(model):
     return finish
 
 
-def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM) -> tuple[Model, DataFrame]:
+def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM, least_pair: int = 2) -> tuple[Model, DataFrame]:
     """(the model, all counts by part) for a table of one text column."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     parts = max(LEAST_PARTS, -(-size // PART_TOKENS))
-    sums = texts.mapInArrow(_send(parts), "part int, texts bigint, w binary, wn binary, b binary, bn binary").groupBy("part").applyInArrow(_sum, _SUM_DDL)
+    sums = texts.mapInArrow(_send(parts), "part int, texts bigint, w binary, wn binary, b binary, bn binary").groupBy("part").applyInArrow(_sum(least_pair), _SUM_DDL)
     sums = tmp.put(sums, "sums")
     tallies = {k: np.zeros(len(SCALE) + 1, np.int64) for k in "wb"}
     tokens = n_texts = 0
@@ -345,8 +354,8 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
     above = np.cumsum(tallies["w"][::-1])[::-1]  # words of each step or more
     at = next(s for s in range(1, len(SCALE) + 2) if s > len(SCALE) or above[s] <= head)
     head_from = int(SCALE[at - 1]) if at <= len(SCALE) else 1 << 62
-    # the least steps for which all members fit; a bigram has two at least
-    least = {"w": 1, "b": 2}
+    # the least steps for which all members fit; step 1 is the count 1, step 2 is 2
+    least = {"w": 1, "b": least_pair}
 
     def members(kind):
         steps = np.arange(len(SCALE) + 1)
@@ -365,7 +374,7 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
         words.append(unpack(r.w))
         counts.append(unpack_small(r.wn).astype(np.int64))
     none = np.zeros(0, np.uint64)
-    model = Model(Filter(parts, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share)
+    model = Model(Filter(parts, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair)
     return model, sums.select("part", "w", "wn", "b", "bn")
 
 

@@ -23,7 +23,7 @@ def op2_stratified_shards(spark, sf_dir):
 
 
 def op3_bloom_lm(spark, sf_dir):
-    return bloom_lm.lm_scores(_table(spark, sf_dir, "documents"))
+    return bloom_lm.lm_scores(_table(spark, sf_dir, "documents"), least_pair=1)
 
 
 def op4_quality(spark, sf_dir):

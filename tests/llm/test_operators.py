@@ -1,5 +1,6 @@
 """Operators against brute force on small tables, and their defined results in odd cases."""
 
+import functools
 import hashlib
 import random
 import re
@@ -10,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, token_counts, toxicity
+from tessera.llm import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, queries, sharding, substring_dedup, token_counts, toxicity
 from tessera.llm._words import hashes, mix
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -163,6 +164,29 @@ def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monk
         assert got[i].score == pytest.approx(want, rel=1e-9)
 
 
+@pytest.mark.parametrize(("head", "most_bits"), [(1 << 20, 1 << 28), (1 << 20, 30_000), (1 << 20, 0)])
+def test_query_counts_bigrams_met_once(spark, docs, texts, monkeypatch, head, most_bits):
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives
+    monkeypatch.setattr(queries, "_table", lambda *_: docs)
+    monkeypatch.setattr(bloom_lm, "train", functools.partial(bloom_lm.train, head=head, most_bits=most_bits))
+    step = lambda c: int(bloom_lm.SCALE[np.searchsorted(bloom_lm.SCALE, c, "right") - 1]) if c else 0
+    words, pairs, rows, trained = Counter(), Counter(), {}, 0
+    for i, t in enumerate(texts):
+        rows[i] = [low(x) for x in WORD.findall(t or "")] + ["\n"]
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            words.update(rows[i])
+            pairs.update(zip(["\t", *rows[i]], rows[i]))
+            trained += 1
+    z = sum(words.values()) + len(words) + 1
+    got = by_id(queries.op3_bloom_lm(spark, ""))
+    for i, row in rows.items():
+        want = 0.0
+        for h, w in zip(["\t", *row], row):
+            context = trained if h == "\t" else words[h]
+            want += np.log10(bloom_lm.BIGRAM * min(step(pairs[h, w]), context) / max(context, 1) + (1 - bloom_lm.BIGRAM) * (words[w] + 1) / z)
+        assert got[i].score == pytest.approx(want, rel=1e-9)
+
+
 def test_packed_numbers():
     from tessera.llm._packed import pack_small, unpack_small
 
