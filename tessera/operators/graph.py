@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +26,11 @@ def entries(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(edges.filter("src <> dst").select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
 
 
-def reach(edges: DataFrame, start: DataFrame, most: int = 10, both_ways: bool = False) -> DataFrame:
-    """(origin, node, depth) from each start node, itself included at depth 0: a frontier joined with the edges until nothing is new.
+def reach(edges: DataFrame, start: DataFrame, most: int | None = None, both_ways: bool = False) -> DataFrame:
+    """(origin, node, depth) from each start node, itself included at depth 0: a frontier joined with the edges until nothing is new, or for
+    `most` steps.
 
-    Each round is checkpointed in the shared folder, so the plan stays short and lost executors cost no more than a round.
+    Each round is checkpointed in the shared folder, and every tenth one all that was found, so the plan stays short and lost executors cost no more than a round.
     """
     spark = edges.sparkSession
     steps = edges.select("src", "dst")
@@ -36,21 +39,24 @@ def reach(edges: DataFrame, start: DataFrame, most: int = 10, both_ways: bool =
     reliable = bool(spark.conf.get("spark.checkpoint.dir", None)) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined()
     steps = steps.distinct()
     # Every round joins with the steps, so they are computed once.
-    steps = steps.checkpoint() if reliable else steps.persist()
+    hold = (lambda df: df.checkpoint()) if reliable else (lambda df: df.persist())
+    steps = hold(steps)
     seen = start.select(F.col("node").alias("origin"), "node").distinct().withColumn("depth", F.lit(0))
     frontier = seen
-    for depth in range(1, most + 1):
+    for depth in count(1) if most is None else range(1, most + 1):
         found = frontier.join(steps, F.col("node") == F.col("src")).select("origin", F.col("dst").alias("node")).distinct()
         found = found.join(seen.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        found = found.checkpoint() if reliable else found.persist()
+        found = hold(found)
         if found.isEmpty():
             break
         seen = seen.unionByName(found)
+        if depth % 10 == 0:
+            seen = hold(seen)
         frontier = found
     return seen
 
 
-def strong_components(edges: DataFrame, most: int = 20) -> DataFrame:
+def strong_components(edges: DataFrame, most: int | None = None) -> DataFrame:
     """(node, component): the least node that reaches it and that it reaches; only components of two nodes or more, or with a loop."""
     nodes = edges.select(F.col("src").alias("node")).union(edges.select(F.col("dst").alias("node"))).distinct()
     pairs = reach(edges, nodes, most).select("origin", "node")
