@@ -29,10 +29,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.at = f"{root(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex[:12]}"
+        self.names: set[str] = set()
 
     def put(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
         df.write.mode("overwrite").parquet(path)
+        self.names.add(name)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
@@ -40,6 +42,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            self.names.discard(name)
+
+    def keep(self, *names: str) -> None:
+        """Drops all tables but these."""
+        self.drop(*sorted(self.names - set(names)))
 
 
 def partitions(spark: SparkSession) -> int:

@@ -1,7 +1,9 @@
 """Words of whole Arrow string columns as 64-bit hashes, a megabyte of text at a time.
 
-The text stays in Arrow's UTF-8 buffer. A word's hash is a polynomial over table values of its bytes, taken
-from prefix sums modulo 2**64, so it doesn't depend on the place of the word in the buffer.
+The text stays in Arrow's UTF-8 buffer. A word's hash is the sum of a table value of each byte times a random number of its place in the word,
+modulo 2**64, taken from prefix sums. Two different words share it with a probability of 2**-57 at most, over the choice of the random numbers,
+whatever the words are (a polynomial modulo 2**64 would not do: it takes some long words for the same). Runs of words are hashed as
+a tree, each node a mixed combination of two halves.
 """
 
 from __future__ import annotations
@@ -31,7 +33,8 @@ ALNUM = _mask([(0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
 
 @functools.cache
 def _table(lower: bool) -> np.ndarray:
-    table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
+    # the lowest bits are the byte, so that the difference of two values isn't a multiple of 256
+    table = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) << U64(8) | np.arange(256, dtype=np.uint64)
     if lower:
         table[65:91] = table[97:123]
     return table
@@ -103,11 +106,23 @@ def spans(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = PLAIN) -> tuple
     return np.flatnonzero(now & (~before | cut)), np.flatnonzero(before & (~now | cut))
 
 
+@functools.cache
+def _factors(n: int) -> np.ndarray:
+    """A random number for each place in a word."""
+    return mix(mix(np.arange(n, dtype=np.uint64) * U64(_ODD) + U64(0x5851F42D4C957F2D)) + U64(_ODD))
+
+
 def _hash(data, start, end, lower):
-    sums = np.empty(len(data) + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_table(lower)[data] * powers(len(data)), out=sums[1:])
-    return mix((sums[end] - sums[start]) * powers(len(data) + 1, "down")[start] + (end - start).astype(np.uint64))
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    gaps = np.diff(start, append=len(data))
+    longest = int(gaps.max())
+    factors = _factors(1 << 16) if longest <= 1 << 16 else _factors.__wrapped__(longest)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    first = start[0]
+    place = np.arange(first, len(data)) - np.repeat(start, gaps)
+    np.cumsum(_table(lower)[data[first:]] * factors[place], out=sums[first + 1 :])
+    return mix(sums[end] - sums[start] + (end - start).astype(np.uint64))
 
 
 def hashes(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = PLAIN, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
@@ -131,14 +146,31 @@ def hashes(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = PLAIN, lower:
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array(counts)
 
 
+def _later(x: np.ndarray, by: int) -> np.ndarray:
+    out = np.zeros(len(x), np.uint64)
+    out[: max(0, len(x) - by)] = x[by:]
+    return out
+
+
 def rolling(words: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the `size` words from each word on, whether they lie in one row); as many as there are words."""
-    n = len(words)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(words * powers(n), out=sums[1:])
+    out, done, half, now = None, 0, words, 1
+    while True:  # runs of 1, 2, 4, ... words; those of the binary digits of `size` make the whole
+        if size & now:
+            out = half if out is None else mix(out * U64(_ODD) + _later(half, done))
+            done += now
+        if 2 * now > size:
+            break
+        half = mix(half * U64(_ODD) + _later(half, now))
+        now *= 2
     ends = np.repeat(np.cumsum(counts), counts)
+    return mix(out + U64(size)), np.arange(len(words)) + size <= ends
+
+
+def second(words: np.ndarray, size: int) -> np.ndarray:
+    """32 bits of another hash of the `size` words from each word on, by which equal hashes of different words are told apart."""
+    n = len(words)
+    sums = np.zeros(n + 1, np.uint64)
+    np.cumsum(mix(words ^ U64(0xD1B54A32D192ED03)) * powers(n), out=sums[1:])
     at = np.arange(n)
-    whole = at + size <= ends
-    out = (sums[np.minimum(at + size, n)] - sums[at]) * powers(n, "down")
-    return mix(out + U64(size)), whole
+    return (mix((sums[np.minimum(at + size, n)] - sums[at]) * powers(n, "down")) >> U64(32)).astype(np.uint32)

@@ -5,8 +5,8 @@ of their nearest pivots. A vector v of cell h can have a partner in cell c only
 and only if it lies within r of the plane half-way between the pivots; then a replica of v goes to c. With c before h, each pair meets in
 one cell. Cells join independently, large ones block by block, by matrix products in double precision.
 
-Pivots are a few rows of each label, picked by a hash. They decide how much is replicated, never what is found. Equal vectors are one
-class. A block reports a sum of links for each vector and one edge to the least of its group, not the pairs.
+Pivots are a few rows of each label, picked by a hash, as many as the label has cells of `cell` vectors. They decide how much is replicated, never
+what is found. Equal vectors are one class, told apart by 128 bits and numbered. A block reports a sum of links for each vector and one edge to the least of its group, not the pairs.
 
 Defined cases: null, empty or zero vectors, vectors with null, NaN or infinite components, and null labels link with nothing. Vectors of
 different lengths link with nothing of another length. Rows with equal ids are judged each by its vector, and one is a link of the other
@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 from ._components import components, groups_of
 from ._scratch import Scratch
 
-#: Vectors of a cell, on average, if a label has more; cells of a label at most; vectors of a block; vectors dealt to cells at a time.
-CELL, MOST_CELLS, BLOCK, DEAL = 2048, 64, 2048, 16384
+#: Vectors of a cell, on average, if a label has more; vectors of a block; vectors dealt to cells at a time (at least one for each pivot);
+#: distances that are held at a time while they are dealt.
+CELL, BLOCK, DEAL, HELD = 2048, 2048, 16384, 1 << 22
 #: Distances this far over a bound still count as within it, so that rounding drops nothing.
 SLACK = 1e-9
 
@@ -37,22 +38,22 @@ def _clean(batches):
         offs = np.asarray(column.offsets)
         values = column.values.to_numpy(zero_copy_only=False).astype(np.float64)
         valid = column.is_valid().to_numpy(zero_copy_only=False)
-        cls, unit, dim = [], [], []
+        keys, unit, dim = [], [], []
         for i, label in enumerate(batch.column(2).to_pylist()):
             v = values[offs[i] : offs[i + 1]]
             size = np.abs(v).max(initial=0.0)
             if not valid[i] or label is None or not np.isfinite(size) or size == 0:
-                cls.append(None)
+                keys.append(None)
                 unit.append(None)
                 dim.append(None)
                 continue
             v = v / size  # else squares may overflow
             v = v / np.sqrt(v @ v)
             raw = v.tobytes()
-            cls.append(int.from_bytes(hashlib.blake2b(label.encode() + b"\0" + raw, digest_size=8).digest(), "little", signed=True))
+            keys.append(hashlib.blake2b(label.encode() + b"\0" + raw, digest_size=16).digest())
             unit.append(raw)
             dim.append(len(v))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(cls, pa.int64()), pa.array(unit, pa.binary()), pa.array(dim, pa.int32())], names=["id", "label", "cls", "unit", "dim"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(keys, pa.binary()), pa.array(unit, pa.binary()), pa.array(dim, pa.int32())], names=["id", "label", "key", "unit", "dim"])
 
 
 def _matrix(column) -> np.ndarray:
@@ -73,12 +74,16 @@ def _deal(r: float):
         most = rows.column("cells")[0].as_py()
         if len(order) and most > 1:
             p = np.unique(_matrix(pivots.column("unit"))[order][:most], axis=0)
-            d = np.sqrt(np.maximum(2 - 2 * (x @ p.T), 0))
-            home = d.argmin(1)
-            own = d[np.arange(n), home][:, None]
-            apart = np.sqrt(np.maximum(2 - 2 * (p @ p.T), 1e-300))[home]
-            near = (d <= own + 2 * r + SLACK) & ((d * d - own * own) <= 2 * r * apart + SLACK) & (np.arange(len(p)) < home[:, None])
-            who, where = np.nonzero(near)
+            step, parts = max(1, HELD // len(p)), []
+            for a in range(0, n, step):
+                d = np.sqrt(np.maximum(2 - 2 * (x[a : a + step] @ p.T), 0))
+                home = d.argmin(1)
+                own = d[np.arange(len(d)), home][:, None]
+                apart = np.sqrt(np.maximum(2 - 2 * (p[home] @ p.T), 1e-300))
+                near = (d <= own + 2 * r + SLACK) & ((d * d - own * own) <= 2 * r * apart + SLACK) & (np.arange(len(p)) < home[:, None])
+                who, where = np.nonzero(near)
+                parts.append((home, who + a, where))
+            home, who, where = (np.concatenate(y) for y in zip(*parts, strict=True))
         else:
             home, who, where = np.zeros(n, int), np.zeros(0, int), np.zeros(0, int)
         take = np.concatenate([np.arange(n), who])
@@ -123,14 +128,16 @@ def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "
     tmp = Scratch(spark)
     r = float(np.sqrt(2 - 2 * threshold))
     rows = df.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"), F.col(label_col).cast("string").alias("label"))
-    rows = tmp.put(rows.mapInArrow(_clean, f"id {rows.schema['id'].dataType.simpleString()}, label string, cls bigint, unit binary, dim int"), "rows")
-    classes = rows.filter("cls is not null").groupBy("cls").agg(F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("unit").alias("unit"), F.count("*").alias("times"), F.min("id").alias("first"))
-    classes = tmp.put(classes, "classes")
+    rows = tmp.put(rows.mapInArrow(_clean, f"id {rows.schema['id'].dataType.simpleString()}, label string, key binary, unit binary, dim int"), "rows")
+    classes = rows.filter("key is not null").groupBy("key").agg(F.any_value("label").alias("label"), F.any_value("dim").alias("dim"), F.any_value("unit").alias("unit"), F.count("*").alias("times"), F.min("id").alias("first"))
+    # the numbers are read from the written table, so they stay
+    classes = tmp.put(classes.withColumn("cls", F.monotonically_increasing_id()), "classes")
 
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("n"))
-    sizes = sizes.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("n"), F.least(F.ceil(F.col("n") / cell), F.lit(MOST_CELLS)).cast("int").alias("cells"), F.ceil(F.col("n") / DEAL).alias("deals"))
+    sizes = sizes.select(F.col("label").alias("_l"), F.col("dim").alias("_d"), F.col("n"), F.ceil(F.col("n") / cell).cast("int").alias("cells"))
+    sizes = sizes.withColumn("deals", F.ceil(F.col("n") / F.greatest(F.lit(DEAL), F.col("cells"))))
     sized = classes.join(sizes, (F.col("label") == F.col("_l")) & (F.col("dim") == F.col("_d"))).drop("_l", "_d")
-    place = F.pmod(F.xxhash64("cls", F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    place = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(1 << 40)) / F.lit(float(1 << 40))
     pivots = sized.filter((F.col("cells") > 1) & (place < 4 * F.col("cells") / F.col("n"))).withColumn("deal", F.explode(F.sequence(F.lit(0).cast("long"), F.col("deals") - 1)))
     pivots = pivots.select("cls", "label", "dim", "deal", "unit").toDF("cls", "label", "dim", "deal", "unit")
     dealt = sized.withColumn("deal", F.pmod(F.xxhash64("cls"), F.col("deals")))
@@ -158,9 +165,10 @@ def embedding_duplicates(df: DataFrame, id_col: str = "vec_id", vec_col: str = "
 
     comps = components(tmp, found.select(F.col("cls").alias("a"), F.col("root").alias("b")), "comp")
     links = found.groupBy("cls").agg(F.sum("links").alias("links")).withColumnRenamed("cls", "_k")
-    classes = classes.select("cls", "first", "times").join(links, F.col("cls") == F.col("_k"), "left").join(comps, F.col("cls") == F.col("node"), "left")
-    classes = tmp.put(classes.select("cls", "first", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("label", "cls").alias("comp")), "joined")
+    classes = classes.select("cls", "key", "first", "times").join(links, F.col("cls") == F.col("_k"), "left").join(comps, F.col("cls") == F.col("node"), "left")
+    classes = tmp.put(classes.select("key", "first", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"), F.coalesce("label", "cls").alias("comp")), "joined")
+    tmp.keep("rows", "joined")
     firsts = classes.groupBy("comp").agg(F.min("first").alias("component")).withColumnRenamed("comp", "_comp")
-    classes = classes.join(firsts, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), "links", "component")
-    out = rows.drop("unit").join(classes, F.col("cls") == F.col("_cls"), "left").withColumn("component_id", F.coalesce("component", "id"))
+    classes = classes.join(firsts, F.col("comp") == F.col("_comp")).select(F.col("key").alias("_key"), "links", "component")
+    out = rows.drop("unit").join(classes, F.col("key") == F.col("_key"), "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.col("component_id").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

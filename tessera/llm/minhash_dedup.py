@@ -12,6 +12,8 @@ reports one edge to the least of each group of linked classes. A group of copies
 
 A pair of similarity 0.75 agrees in fewer than 30 of 64 coordinates with a probability under one in a million.
 
+Classes are told apart by 128 bits and numbered; shingles are 64 bits, and only those of two sets at a time are held against each other.
+
 Defined cases: null text has no words and, like a text without words, is linked with nothing. Fewer words than a shingle make one shingle.
 Rows with equal ids are judged each by its text. An empty table gives an empty result. Extra columns are ignored.
 """
@@ -50,9 +52,8 @@ def _sets(words: np.ndarray, counts: np.ndarray, size: int):
             yield number[:0]
 
 
-def _key(shingles: np.ndarray) -> tuple[int, bytes]:
-    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-    return int.from_bytes(digest[:8], "little", signed=True), digest
+def _key(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
 
 
 def _rid(row_id, digest: bytes) -> int:
@@ -65,7 +66,7 @@ def _signatures(size: int, seed: int):
     def signatures(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            n, cls, rid, sig = [], [], [], []
+            n, keys, rid, sig = [], [], [], []
             for row, data, offs in chunks(batch.column(1)):
                 sets = list(_sets(*hashes(data, offs, lower=True), size))
                 lens = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -77,14 +78,14 @@ def _signatures(size: int, seed: int):
                     for k, f in enumerate(factors):
                         out[some, k] = np.minimum.reduceat(((every * f) >> U64(32)).astype(np.uint32), starts).view(np.int32)
                 for i, s in enumerate(sets):
-                    c, digest = _key(s)
-                    cls.append(c if len(s) else None)
+                    digest = _key(s)
+                    keys.append(digest if len(s) else None)
                     rid.append(_rid(ids[row + i], digest))
                 n += lens.tolist()
                 sig.append(out)
             flat = pa.array(np.concatenate([np.zeros((0, COORDINATES), np.int32), *sig]).ravel(), pa.int32())
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(flat) + 1, COORDINATES), pa.int32()), flat)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(rid, pa.int64()), lists], names=["id", "n", "cls", "rid", "sig"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(rid, pa.int64()), lists], names=["id", "n", "key", "rid", "sig"])
 
     return signatures
 
@@ -93,17 +94,17 @@ def _wanted(size: int, likely):
     def wanted(batches):
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            out_cls, out_rid, out_set = [], [], []
+            out_key, out_rid, out_set = [], [], []
             for row, data, offs in chunks(batch.column(1)):
                 got = []
                 for i, s in enumerate(_sets(*hashes(data, offs, lower=True), size)):
-                    c, digest = _key(s)
-                    got.append((c, _rid(ids[row + i], digest), s))
+                    digest = _key(s)
+                    got.append((digest, _rid(ids[row + i], digest), s))
                 for k in np.flatnonzero(maybe(likely.value, np.array([g[1] for g in got], np.int64))):
-                    out_cls.append(got[k][0])
+                    out_key.append(got[k][0])
                     out_rid.append(got[k][1])
                     out_set.append(got[k][2].tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(out_cls, pa.int64()), pa.array(out_rid, pa.int64()), pa.array(out_set, pa.binary())], names=["cls", "rid", "shingles"])
+            yield pa.RecordBatch.from_arrays([pa.array(out_key, pa.binary()), pa.array(out_rid, pa.int64()), pa.array(out_set, pa.binary())], names=["key", "rid", "shingles"])
 
     return wanted
 
@@ -185,10 +186,11 @@ class _Job:
     def __init__(self, docs: DataFrame, size: int, percent: int, least: int, seed: int):
         self.spark, self.docs, self.size, self.percent, self.least = docs.sparkSession, docs, size, percent, least
         self.tmp = Scratch(self.spark)
-        kind = T.StructType([docs.schema[0], *T.StructType.fromDDL("n bigint, cls bigint, rid bigint, sig array<int>").fields])
+        kind = T.StructType([docs.schema[0], *T.StructType.fromDDL("n bigint, key binary, rid bigint, sig array<int>").fields])
         self.rows = self.tmp.put(docs.mapInArrow(_signatures(size, seed), kind), "rows")
-        classes = self.rows.filter("cls is not null").groupBy("cls").agg(F.min(F.struct("id", "rid")).alias("first"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
-        self.classes = self.tmp.put(classes.select("cls", "first", F.col("first.rid").alias("rid"), "n", "sig"), "classes")
+        classes = self.rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "rid")).alias("first"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
+        # the numbers are read from the written table, so they stay
+        self.classes = self.tmp.put(classes.select(F.monotonically_increasing_id().alias("cls"), "key", "first", F.col("first.rid").alias("rid"), "n", "sig"), "classes")
 
     def prefixes(self) -> DataFrame:
         """(cls, v): the lists in which a class can meet one that it agrees with."""
@@ -233,14 +235,14 @@ class _Job:
     def run(self) -> DataFrame:
         """(node, label): the component, as its least class, of each class that has a link."""
         tmp, clumps = self.tmp, self.clumps()
-        of = clumps.join(self.classes.select(F.col("cls").alias("_c"), "n", "rid"), F.col("cls") == F.col("_c")).drop("_c")
+        of = clumps.join(self.classes.select(F.col("cls").alias("_c"), "n", "rid", "key"), F.col("cls") == F.col("_c")).drop("_c")
         sizes = of.groupBy("clump").agg(F.count("*").alias("len"), F.sum("n").alias("size")).filter("len > 1")
         sizes = sizes.select(F.col("clump").alias("_k"), F.greatest(F.ceil(F.col("len") / BLOCK), F.ceil(F.col("size") / GROUP_SHINGLES)).alias("blocks"))
         asked = tmp.put(of.join(sizes, F.col("clump") == F.col("_k")).drop("_k"), "asked")
         groups = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // GROUP_SHINGLES))
         likely = self.spark.sparkContext.broadcast(sketch(asked.select("rid")))
-        sets = self.docs.mapInArrow(_wanted(self.size, likely), "_cls bigint, _rid bigint, shingles binary")
-        sets = sets.join(asked.select("cls", "clump", "rid", "blocks"), F.col("rid") == F.col("_rid")).dropDuplicates(["rid"])
+        sets = self.docs.mapInArrow(_wanted(self.size, likely), "_key binary, _rid bigint, shingles binary")
+        sets = sets.join(asked.select("cls", "clump", "rid", "key", "blocks"), (F.col("rid") == F.col("_rid")) & (F.col("key") == F.col("_key"))).dropDuplicates(["cls"])
         units = sets.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).withColumn("j", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
         unit = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64("clump"), F.lit(groups))).otherwise(F.col("clump"))
         units = units.select((F.col("blocks") == 1).alias("small"), unit.alias("unit"), F.least("block", "j").alias("lo"), F.greatest("block", "j").alias("hi"), "clump", "cls", "shingles")
@@ -249,31 +251,33 @@ class _Job:
 
 
 def _labelled(job: _Job) -> DataFrame:
-    """(cls, component, rid): the least row of the component of each class, as its id and number."""
+    """(key, component, rid and key of its row): the least row of the component of each class."""
     found = job.run().withColumnRenamed("node", "_n")
-    classes = job.classes.select("cls", "first").join(found, F.col("cls") == F.col("_n"), "left").select("cls", "first", F.coalesce("label", "cls").alias("comp"))
+    classes = job.classes.select("cls", "key", "first").join(found, F.col("cls") == F.col("_n"), "left").select("key", F.struct("first.id", "first.rid", "key").alias("first"), F.coalesce("label", "cls").alias("comp"))
     classes = job.tmp.put(classes, "comps")
+    job.tmp.keep("rows", "comps")
     firsts = classes.groupBy("comp").agg(F.min("first").alias("least")).withColumnRenamed("comp", "_comp")
-    return classes.join(firsts, F.col("comp") == F.col("_comp")).select(F.col("cls").alias("_cls"), F.col("least.id").alias("component"), F.col("least.rid").alias("_rid"))
+    return classes.join(firsts, F.col("comp") == F.col("_comp")).select(F.col("key").alias("_key"), F.col("least.id").alias("component"), F.col("least.rid").alias("_rid"), F.col("least.key").alias("_first"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 75, least: int = LEAST, seed: int = 7) -> DataFrame:
     """One row for each of `df`'s: id, n_shingles, component_id (the least id that it reaches by links), kept (id = component_id)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     job = _Job(docs, words, percent, least, seed)
-    out = job.rows.join(_labelled(job), F.col("cls") == F.col("_cls"), "left").withColumn("component_id", F.coalesce("component", "id"))
+    out = job.rows.join(_labelled(job), F.col("key") == F.col("_key"), "left").withColumn("component_id", F.coalesce("component", "id"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def _numbered(size: int, names: list[str], id_at: int, text_at: int):
     def numbered(batches):
         for batch in batches:
-            ids, rid, some = batch.column(id_at).to_pylist(), [], []
+            ids, rid, keys = batch.column(id_at).to_pylist(), [], []
             for row, data, offs in chunks(batch.column(text_at)):
                 for i, s in enumerate(_sets(*hashes(data, offs, lower=True), size)):
-                    rid.append(_rid(ids[row + i], _key(s)[1]))
-                    some.append(len(s) > 0)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rid, pa.int64()), pa.array(some, pa.bool_())], names=[*names, "rid", "some"])
+                    digest = _key(s)
+                    rid.append(_rid(ids[row + i], digest))
+                    keys.append(digest if len(s) else None)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rid, pa.int64()), pa.array(keys, pa.binary())], names=[*names, "rid", "key"])
 
     return numbered
 
@@ -282,10 +286,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """The rows of `df`, all columns: of each group the row of the least id, and all rows without words."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     job = _Job(docs, words, percent, least, seed)
-    kept = job.tmp.put(_labelled(job).select("_rid").distinct(), "kept")
+    kept = job.tmp.put(_labelled(job).select("_rid", "_first").distinct(), "kept")
+    job.tmp.keep("kept")
     names = [f"_c{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
-    rows = rows.mapInArrow(_numbered(words, names, df.columns.index(id_col), df.columns.index(text_col)), T.StructType([*rows.schema.fields, *T.StructType.fromDDL("rid bigint, some boolean").fields]))
-    one = rows.filter("some").join(kept, F.col("rid") == F.col("_rid"), "left_semi").groupBy("rid").agg(F.any_value(F.struct(*names)).alias("row"))
-    out = one.select("row.*").union(rows.filter("not some").select(*names))
+    rows = rows.mapInArrow(_numbered(words, names, df.columns.index(id_col), df.columns.index(text_col)), T.StructType([*rows.schema.fields, *T.StructType.fromDDL("rid bigint, key binary").fields]))
+    one = rows.filter("key is not null").join(kept, (F.col("rid") == F.col("_rid")) & (F.col("key") == F.col("_first")), "left_semi").groupBy("rid", "key").agg(F.any_value(F.struct(*names)).alias("row"))
+    out = one.select("row.*").union(rows.filter("key is null").select(*names))
     return out.select(*[F.col(n).alias(c) for n, c in zip(names, df.columns, strict=True)])

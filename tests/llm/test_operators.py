@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, queries, sharding, substring_dedup, token_counts, toxicity
-from tessera.llm._words import hashes, mix
+from tessera.llm._words import hashes, mix, rolling
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, score string, n_words string, size string"
@@ -103,6 +103,39 @@ def test_long_lists_are_compared_in_blocks(spark, monkeypatch):
     assert [got[i].component_id for i in range(60)] == label
 
 
+def thue_morse(n):
+    """Two words of n bytes that a polynomial modulo 2**64 can't tell apart."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+@pytest.mark.parametrize("size", [1024, 2048, 4096])
+def test_words_that_polynomials_take_for_equal(spark, size):
+    x, y = thue_morse(size)
+    rows = [(1, x), (2, y), (3, " ".join([x, *map(str, range(34))])), (4, " ".join([y, *map(str, range(34))]))]
+    runs = [" ".join("ab"[c == "b"] for c in thue_morse(size)[k]) for k in (0, 1)]
+    df = spark.createDataFrame([*rows, *((5 + k, t) for k, t in enumerate(runs))], "doc_id long, text string")
+    got = by_id(minhash_dedup.near_duplicates(df.filter("doc_id < 3")))
+    assert [got[i].component_id for i in (1, 2)] == [1, 2]
+    got = by_id(substring_dedup.substring_dedup(df.filter("doc_id in (3, 4)")))
+    assert [got[i].n_removed for i in (3, 4)] == [0, 0]
+    got = by_id(bloom_lm.lm_scores(df.filter("doc_id < 3"), held=9))
+    n, v = 4, 3
+    assert all(got[i].base_score == pytest.approx(np.log10(2 / (n + v + 1)) + np.log10(3 / (n + v + 1))) for i in (1, 2))
+    words, counts = hashes(np.frombuffer(" ".join(runs).encode(), np.uint8), np.array([0, len(runs[0]) + 1, len(" ".join(runs))]))
+    for n in (32, 64, size):
+        number, whole = rolling(words, counts, n)
+        seen = {}
+        for i in np.flatnonzero(whole):
+            assert seen.setdefault(int(number[i]), words[i : i + n].tobytes()) == words[i : i + n].tobytes()
+
+
+def test_windows_of_equal_numbers_are_told_apart():
+    number, check = np.array([5, 5, 5, 7, 5], np.uint64), np.array([1, 2, 1, 1, 3], np.uint32)
+    group, met = substring_dedup._met(number, check)
+    assert (met[group] > 1).tolist() == [True, False, True, False, False]
+
+
 def test_repeated_rows_leave_one(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "a b c d e f g"), (None, "p q r s t u"), (2, ""), (2, None)], "doc_id long, text string")
     assert sorted(str(r.text) for r in minhash_dedup.drop_near_duplicates(df).collect()) == ["", "None", "a b c d e f g", "p q r s t u"]
@@ -228,7 +261,7 @@ def test_embeddings(spark):
     label = np.arange(n)
     for _ in range(n):
         label = np.array([min(label[i], label[linked[i]].min(initial=n)) for i in range(n)])
-    for shape in ({}, {"cell": 20, "block": 16}):
+    for shape in ({}, {"cell": 20, "block": 16}, {"cell": 2, "block": 16}):
         got = by_id(embedding_dedup.embedding_duplicates(df, **shape), "vec_id")
         assert [(got[i].n_links, got[i].component_id, got[i].kept) for i in range(n)] == [(int(linked[i].sum()), label[i], label[i] == i) for i in range(n)]
         assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(n, n + 7))
