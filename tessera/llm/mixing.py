@@ -1,11 +1,12 @@
 """Mixing sources to target weights by Sainte-Lague apportionment, in DataFrame operations only.
 
 Target words go to sources as equal blocks, by highest quotient target / (2 * blocks had + 1), with as many blocks in each shard of the
-mix. A source's documents, shuffled by a seeded hash, form a line of words that is cut in blocks of that size; from a seeded block on, its
-quota runs round the line, so that a block is taken as often as the run passes it.
+mix: whole quotas for each shard and source. A source's documents, shuffled by a seeded hash, form a line of words that is cut in blocks of that
+size. A seeded permutation of the blocks, (prime * block + start) modulo their number, is the order in which shards select: each takes the next
+blocks of its quota, so that no block is taken a second time before all are taken once, and none a third time.
 
 Defined cases: null text has no words. A null source is the last source. Documents without words take nothing. An empty table gives an
-empty result. Rows with equal ids stand next to each other. Extra columns are ignored.
+empty result. Rows with equal ids stand next to each other, by size and a checksum of the text and the carried columns. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from ._spread import running, seeded
 GROUP_ROWS = 2048
 #: The largest block, in words, and the blocks that the smallest target has at least (if it has as many words).
 BLOCK, LEAST_BLOCKS = 64, 64
+#: Primes a little over 2**20, more than can divide one number of blocks.
+PRIMES = (1048583, 1048589, 1048601, 1048609, 1048613, 1048627, 1048633, 1048661, 1048681)
 
 
 def words_in(text: Column) -> Column:
@@ -63,34 +66,59 @@ def quotas(votes: DataFrame, seats: Column, shards: int) -> DataFrame:
 
 
 def plan(rows: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, shards: int = 8, seed: int = 29) -> DataFrame:
-    """One row for each source of `rows` (source, size): its size, target, blocks, quota, and the blocks that its run begins with."""
+    """One row for each source of `rows` (source, size): its size, target, block size and number of blocks; how many blocks the shards up to each
+    have selected (`cuts`); and the prime and start of its seeded order of blocks.
+    """
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_rows"))
     aims = targets(sources, weights, share, most)
     everything = Window.partitionBy()
     smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(everything)
     aims = aims.withColumn("block", F.coalesce(F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(smallest / LEAST_BLOCKS))), F.lit(1)).cast("long"))
     aims = aims.withColumn("_total", F.round(F.sum("target").over(everything) / F.col("block")))
-    got = quotas(aims, F.col("_total"), shards).groupBy("source").agg(F.sum("quota").alias("_quota")).withColumnRenamed("source", "_s")
-    out = aims.join(got, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_total")
-    out = out.withColumn("blocks", F.ceil(F.col("source_size") / F.col("block"))).withColumn("quota", F.least(F.coalesce("_quota", F.lit(0)), (F.col("blocks") * int(most)).cast("long")))
-    whole = F.greatest(F.col("blocks"), F.lit(1))
-    return out.withColumn("times", F.floor(F.col("quota") / whole)).withColumn("more", F.col("quota") % whole).withColumn("first", F.floor(seeded(seed, "source") * whole)).drop("_quota")
+    by_shard = quotas(aims, F.col("_total"), shards).groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "quota"))).alias("_quotas")).withColumnRenamed("source", "_s")
+    out = aims.join(by_shard, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s", "_total")
+    out = out.withColumn("blocks", F.greatest(F.ceil(F.col("source_size") / F.col("block")), F.lit(1)).cast("long"))
+    upto = F.transform(F.sequence(F.lit(1), F.lit(shards)), lambda j: F.aggregate(F.filter(F.coalesce("_quotas", F.array().cast("array<struct<shard:int,quota:bigint>>")), lambda q: q["shard"] <= j), F.lit(0).cast("long"), lambda had, q: had + q["quota"]))
+    out = out.withColumn("cuts", F.transform(upto, lambda c: F.least(c, F.col("blocks") * int(most))))
+    primes = F.filter(F.array(*[F.lit(p).cast("long") for p in PRIMES]), lambda p: F.col("blocks") % p != 0)
+    out = out.withColumn("prime", F.element_at(primes, (F.floor(seeded(seed + 2, "source") * F.size(primes)) + 1).cast("int")))
+    return out.withColumn("first", F.floor(seeded(seed, "source") * F.col("blocks")).cast("long")).drop("_quotas")
+
 
+def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple = (), seed: int = 29, pieces: bool = False, **shape) -> DataFrame:
+    """One row for each of `df`'s: id, source, `carry`, size, source_size, target, taken (its words in the mix, repeats counted).
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: tuple = (), seed: int = 29, **shape) -> DataFrame:
-    """One row for each of `df`'s: id, source, `carry`, size, source_size, target, taken (its words in the mix, repeats counted)."""
+    With `pieces` also which blocks of the source's line lie in the document and which shard takes them: (block, shard, words).
+    """
     tmp = Scratch(df.sparkSession)
     carried = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)]
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), *carried)
+    tie = F.xxhash64(F.col(text_col), *[F.col(c) for c in carry])
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), tie.alias("_tie"), *carried)
     rows = tmp.put(rows.withColumn("_key", seeded(seed + 1, "id")), "rows")
     sources = tmp.put(plan(rows, seed=seed, **shape).withColumnRenamed("source", "_s"), "sources")
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-    line = running(placed, ["source"], "_key", ["id", "size"], F.col("size"), F.ceil(F.col("_rows") / GROUP_ROWS), "_start")
-    end = F.col("_start") + F.col("size")
+    line = running(placed, ["source"], "_key", ["id", "size", "_tie"], F.col("size"), F.ceil(F.col("_rows") / GROUP_ROWS), "_start")
+    block, blocks, cuts = F.col("block"), F.col("blocks"), F.col("cuts")
+    end, quota = F.col("_start") + F.col("size"), F.element_at(cuts, -1)
+    own = F.when(F.col("size") > 0, F.sequence(F.floor(F.col("_start") / block), F.floor((end - 1) / block))).otherwise(F.array().cast("array<bigint>"))
+
+    def words(b: Column) -> Column:
+        return F.least(end, (b + 1) * block) - F.greatest(F.col("_start"), b * block)
+
+    def turn(b: Column) -> Column:
+        return (F.col("prime") * b + F.col("first")) % blocks
+
+    def times(b: Column) -> Column:
+        return F.when(turn(b) >= quota, 0).when(turn(b) + blocks >= quota, 1).otherwise(2)
+
+    taken = F.aggregate(own, F.lit(0).cast("long"), lambda had, b: had + words(b) * times(b))
 
-    def within(a: Column, b: Column) -> Column:
-        return F.greatest(F.lit(0), F.least(end, b) - F.greatest(F.col("_start"), a))
+    def selected(round_: int) -> Column:
+        at = lambda b: turn(b) + round_ * blocks
+        shard = lambda b: F.size(F.filter(cuts, lambda c: c <= at(b))) + 1
+        return F.transform(F.filter(own, lambda b: at(b) < quota), lambda b: F.struct(b.alias("block"), shard(b).alias("shard"), words(b).alias("words")))
 
-    a, b, n = F.col("first") * F.col("block"), (F.col("first") + F.col("more")) * F.col("block"), F.col("blocks") * F.col("block")
-    taken = F.col("times") * F.col("size") + within(a, b) + within(a - n, b - n)
-    return line.select(F.col("id").alias(id_col), F.col("source").alias(source_col), *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)], "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"))
+    more = [F.concat(selected(0), selected(1)).alias("pieces")] if pieces else []
+    return line.select(
+        F.col("id").alias(id_col), F.col("source").alias(source_col), *[F.col(f"_carry_{i}").alias(c) for i, c in enumerate(carry)], "size", "source_size", F.col("target").cast("double").alias("target"), taken.cast("long").alias("taken"), *more
+    )

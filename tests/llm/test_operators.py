@@ -282,6 +282,24 @@ def test_token_counts(docs, texts):
         assert (got[i].n_tokens, got[i].n_bytes, got[i].over_limit) == (n, len((t or "").encode()), n > 512)
 
 
+def test_long_pre_tokens(spark):
+    public_tokenizers = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library, counter, rng = Tokenizer.from_file(path), token_counts.Counter(path), random.Random(1)
+    count = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for kinds in ("ab", "aeilnorst", "0", "éあ"):
+        for n in (257, 258, 400, 1000):
+            t = "".join(rng.choice(kinds) for _ in range(n))
+            assert counter.merge_long(t) == counter.merge([t])[0] == count(t)
+    rows = [(1, "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))), (2, "a" * 1_000_000), (3, "=" * 300_001)]
+    got = by_id(token_counts.token_counts(spark.createDataFrame(rows, "doc_id long, text string"), path))
+    assert {i: r.n_tokens for i, r in got.items()} == {i: count(t) for i, t in rows}
+    none = token_counts.token_counts(spark.createDataFrame([], DOCS), path)
+    assert none.columns == ["doc_id", "n_bytes", "n_tokens", "over_limit"] and none.count() == 0
+
+
 def test_mix(docs, texts):
     size = Counter()
     for r in docs.collect():
@@ -309,6 +327,41 @@ def test_mix(docs, texts):
     assert sorted(map(tuple, got), key=str) == sorted(map(tuple, mixing.mix_sources(docs).collect()), key=str)
 
 
+def test_each_shard_selects_its_quota_of_blocks(docs):
+    from tessera.llm.mixing import plan, words_in
+
+    got = mixing.mix_sources(docs, pieces=True).collect()
+    sizes = docs.select("source", words_in(F.col("text")).alias("size"))
+    plans = {r.source: r for r in plan(sizes).collect()}
+    blocks, halves = Counter(), defaultdict(Counter)
+    for r in got:
+        assert r.taken == sum(p.words for p in r.pieces)
+        for p in r.pieces:
+            blocks[r.source, p.shard, p.block] += p.words
+            halves[r.source][p.block] += p.words
+    for source, p in plans.items():
+        quota = np.diff([0, *p.cuts])
+        for shard, n in enumerate(quota, 1):
+            mine = {b: w for (s, k, b), w in blocks.items() if (s, k) == (source, shard)}
+            assert len(mine) == n or n > p.blocks
+            assert all(w % min(p.block, p.source_size - b * p.block) == 0 for b, w in mine.items())  # whole blocks
+        taken = Counter(w // min(p.block, p.source_size - b * p.block) for b, w in halves[source].items())
+        assert set(taken) <= {1, 2} and sum(k * n for k, n in taken.items()) == p.cuts[-1]
+        assert p.cuts[-1] <= p.blocks or len(halves[source]) == p.blocks  # none twice before all once
+    picked = sorted(b for (s, k, b) in blocks if (s, k) == ("hot", 1))
+    assert picked != list(range(picked[0], picked[0] + len(picked)))
+    other = mixing.mix_sources(docs, seed=30).collect()
+    assert sorted(r.taken for r in other) != sorted(r.taken for r in got)
+
+
+def test_mix_with_ties_and_clashing_ids(spark):
+    rows = [(1, f"{'w ' * (i % 3 + 1)}{i}", "s") for i in range(40)] + [(None, "a b", "s"), (None, "a b", None), (2, None, "t"), (2, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    one = sorted(map(tuple, mixing.mix_sources(df, carry=("text",)).collect()), key=str)
+    two = sorted(map(tuple, mixing.mix_sources(df.orderBy(F.desc("text")).repartition(3), carry=("text",)).collect()), key=str)
+    assert one == two and len(one) == len(rows)
+
+
 def test_quotas_are_those_of_the_highest_quotients(spark):
     rng = random.Random(8)
     votes = [(f"s{i}", rng.random() * 10 ** rng.randrange(4)) for i in range(15)]
