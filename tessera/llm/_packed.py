@@ -55,6 +55,12 @@ def edges(values: np.ndarray, parts: int) -> np.ndarray:
     return np.searchsorted(part_of(values, parts), np.arange(parts + 1))
 
 
+def present(values: np.ndarray, parts: int) -> list[tuple[int, int, int]]:
+    """(part, start, end) of the parts that sorted numbers have."""
+    own = part_of(values, parts).astype(np.int64)
+    return [(int(own[a]), a, b) for a, b in runs(own)]
+
+
 def runs(values: np.ndarray) -> zip:
     """(start, end) of each run of equal values."""
     if not len(values):

@@ -2,17 +2,18 @@
 
 Word and bigram counts of the training texts are summed by part of the hash range. A count c enters the filter as the members
 (n-gram, 1) to (n-gram, q), q the number of steps of a geometric scale up to c; a reader probes (n-gram, 1), (n-gram, 2), ... until a
-probe fails and takes the last step's value. The filter goes to the workers, and with it the exact counts of the most frequent words (at
-most `head`), which it needn't hold. Its size is bounded by `most_bits`; with more n-grams than that holds, it starts at a higher step.
+probe fails and takes the last step's value. The filter goes to the workers. Its size is bounded by `most_bits`; with more n-grams than that
+holds, it starts at a higher step. With it go the exact counts of the most frequent words (at most `head`), for the unigram score only.
 
 Tokens whose counts the workers can't tell are open: words out of the head, whose exact counts the unigram score needs, and n-grams below
 the filter's first step. Each run of texts writes its open tokens packed, asks the count tables for its distinct n-grams by a shuffle,
-and scores them with the answers. Estimates take the same steps either way, so that a score depends on the bound by false positives only.
+and scores them with the answers. Estimates take the same steps either way, so that a score depends on the bounds by false positives only.
 
-A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). Counts from
-the filter are lower ends of their steps, so that the bigram estimates of a context sum to at most one but for false positives.
+A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). All counts are
+lower ends of their steps, so that the bigram estimates of a context may sum to a little over one only by false positives and by the context's
+step. N-grams are told apart by 64 bits: among 10**9 different ones some 0.03 pairs share them by chance.
 
-Bigrams count from `least_pair` occurrences on; the query op3 counts all of them (1), the default leaves out those met once.
+Bigrams count from `least_pair` occurrences on, 1 by default.
 
 Defined cases: null text counts as empty; every text has an end token. A null id is in the training part. With no training text all
 counts are 0 (N = 0, V = 0). Rows with equal ids are scored each by its text. Extra columns are ignored.
@@ -26,11 +27,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._packed import edges, pack, pack_small, part_of, unpack, unpack_small
+from ._packed import pack, pack_small, part_of, present, unpack, unpack_small
 from ._scratch import Scratch
 from ._words import U64, chunks, hashes, mix
 
-BATCH_TOKENS, LEAST_PARTS, PART_TOKENS = 1 << 20, 64, 1 << 21
+#: Tokens that a batch gathers before its counts are sent, and that are merged before they are dealt to the parts of a share; segments of the
+#: filter; tokens of a part of the count tables; parts that counts are dealt to directly: with more they go by as many shares of parts.
+BATCH_TOKENS, MERGED_TOKENS, SEGMENTS, PART_TOKENS, FAN = 1 << 20, 1 << 22, 64, 1 << 21, 1024
 #: Bytes of text whose open tokens are asked for together; lower bits that asks for bigrams leave out.
 OPEN_BYTES, BLUR = 1 << 21, U64(16)
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
@@ -60,23 +63,37 @@ def _bigrams(before, tokens):
     return mix(before * U64(0xD6E8FEB86659FD93) + mix(tokens + U64(0x2545F4914F6CDD1D)))
 
 
+_SENT = pa.schema([("part", pa.int32()), ("texts", pa.int64()), *[(c, pa.binary()) for c in ("w", "wn", "b", "bn")]])
+_SENT_DDL = "part int, texts bigint, w binary, wn binary, b binary, bn binary"
+
+
+def _counted(values: list[np.ndarray], counts: list[np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams, sorted, and their counts."""
+    value = np.concatenate([np.zeros(0, np.uint64), *values])
+    if counts is None:
+        return np.unique(value, return_counts=True)
+    count = np.concatenate([np.zeros(0, np.int64), *counts])
+    order = np.argsort(value, kind="stable")
+    value, count = value[order], count[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(value)), bool), value[1:] != value[:-1]]))
+    return value[starts], np.add.reduceat(count, starts) if len(value) else count
+
+
+def _dealt(parts: int, texts: int, **counted) -> pa.RecordBatch:
+    """Counts by part of the hash range."""
+    out = {}
+    for kind, (value, count) in counted.items():
+        for p, a, b in present(value, parts):
+            row = out.setdefault(p, {"part": p, "texts": 0, "w": b"", "wn": b"", "b": b"", "bn": b""})
+            row[kind], row[kind + "n"] = pack(value[a:b]), pack_small(count[a:b])
+    if out:
+        next(iter(out.values()))["texts"] = texts
+    return pa.RecordBatch.from_pylist(list(out.values()), schema=_SENT)
+
+
 def _send(parts: int):
     def send(batches):
         words, pairs, size, texts = [], [], 0, 0
-
-        def rows():
-            out = {}
-            for kind, values in (("w", words), ("b", pairs)):
-                value, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *values]), return_counts=True)
-                cut = edges(value, parts)
-                for p in range(parts):
-                    if cut[p + 1] > cut[p]:
-                        out.setdefault(p, {"part": p, "texts": 0, "w": b"", "wn": b"", "b": b"", "bn": b""})
-                        out[p][kind], out[p][kind + "n"] = pack(value[cut[p] : cut[p + 1]]), pack_small(count[cut[p] : cut[p + 1]])
-            if out:
-                next(iter(out.values()))["texts"] = texts
-            return pa.RecordBatch.from_pylist(list(out.values()), schema=pa.schema([("part", pa.int32()), ("texts", pa.int64()), *[(c, pa.binary()) for c in ("w", "wn", "b", "bn")]]))
-
         for batch in batches:
             for _, data, offs in chunks(batch.column(0)):
                 tokens, before, counts = _tokens(data, offs)
@@ -84,13 +101,39 @@ def _send(parts: int):
                 pairs.append(_bigrams(before, tokens))
                 size, texts = size + len(tokens), texts + len(counts)
                 if size >= BATCH_TOKENS:
-                    yield rows()
+                    yield _dealt(parts, texts, w=_counted(words), b=_counted(pairs))
                     words, pairs, size, texts = [], [], 0, 0
-        yield rows()
+        yield _dealt(parts, texts, w=_counted(words), b=_counted(pairs))
 
     return send
 
 
+def _deal_on(parts: int):
+    """Counts of a share of the parts, merged over many batches and dealt to its parts."""
+
+    def deal_on(batches):
+        have = {c: [] for c in ("w", "wn", "b", "bn")}
+        size = texts = 0
+
+        def merged():
+            return _dealt(parts, texts, w=_counted(have["w"], have["wn"]), b=_counted(have["b"], have["bn"]))
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for c in have:
+                    blob = batch.column(c)[i].as_py()
+                    have[c].append(unpack(blob) if c in "wb" else unpack_small(blob).astype(np.int64))
+                texts += batch.column("texts")[i].as_py()
+                size += len(have["b"][-1])
+                if size >= MERGED_TOKENS:
+                    yield merged()
+                    have = {c: [] for c in have}
+                    size = texts = 0
+        yield merged()
+
+    return deal_on
+
+
 def _sum(least_pair: int):
     def summed(table: pa.Table) -> pa.Table:
         return _sums(table, least_pair)
@@ -102,20 +145,15 @@ def _sums(table: pa.Table, least_pair: int) -> pa.Table:
     """Counts of one part, and how many n-grams have each; bigrams met less than `least_pair` times are left out."""
     out = {"part": [table.column("part")[0].as_py()], "texts": [sum(table.column("texts").to_pylist())]}
     for kind in ("w", "b"):  # one blob at a time, not the whole table as Python objects
-        value = np.concatenate([np.zeros(0, np.uint64), *[unpack(x.as_py()) for x in table.column(kind)]])
-        count = np.concatenate([np.zeros(0, np.int64), *[unpack_small(x.as_py()) for x in table.column(kind + "n")]]).astype(np.int64)
-        order = np.argsort(value, kind="stable")
-        value, count = value[order], count[order]
-        starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(value)), bool), value[1:] != value[:-1]]))
-        total = np.add.reduceat(count, starts) if len(value) else count
-        value = value[starts]
+        counts = [unpack_small(x.as_py()).astype(np.int64) for x in table.column(kind + "n")]
+        value, total = _counted([unpack(x.as_py()) for x in table.column(kind)], counts)
         step = np.searchsorted(SCALE, total, "right")
         tally = np.bincount(step, minlength=len(SCALE) + 1)
         out[kind + "_tally"] = [tally.tolist()]
         if kind == "b":
             value, total = value[total >= least_pair], total[total >= least_pair]
         out[kind], out[kind + "n"] = [pack(value)], [pack_small(total)]
-        out[kind + "_total"] = [int(count.sum())]
+        out[kind + "_total"] = [sum(int(x.sum()) for x in counts)]
     return pa.table({c: pa.array(x, pa.int32() if c == "part" else pa.list_(pa.int64()) if c.endswith("tally") else pa.binary() if c in ("w", "wn", "b", "bn") else pa.int64()) for c, x in out.items()}).select(_SUM)
 
 
@@ -129,7 +167,7 @@ def _probe_places(grams: np.ndarray, step: int, probe: int, bits: int) -> np.nda
 
 
 class Filter:
-    """A segment of `bits` bits for each part of the hash range."""
+    """Segments of `bits` bits, one for each equal range of the hashes."""
 
     def __init__(self, parts: int, bits: int, array: np.ndarray):
         self.parts, self.bits, self.array = parts, bits, array
@@ -149,22 +187,37 @@ class Filter:
         return out
 
 
-def _segment(bits: int, least_w: int, least_b: int, head_from: int):
-    def segment(table: pa.Table) -> pa.Table:
+def _places(parts: int, bits: int, least_w: int, least_b: int, head_from: int):
+    """Of one part: the bits of its members in its segment of the filter, and its words of the head."""
+
+    def places(table: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
-        array = np.zeros(bits, bool)
+        at = [np.zeros(0, np.uint64)]
         for kind, least in (("w", least_w), ("b", least_b)):
             grams, count = unpack(row[kind]), unpack_small(row[kind + "n"]).astype(np.int64)
-            if kind == "w":
-                grams, count = grams[count < head_from], count[count < head_from]
             steps = np.searchsorted(SCALE, count, "right")
             for step in range(least, int(steps.max(initial=0)) + 1):
                 mine = grams[steps >= step]
-                for probe in range(PROBES):
-                    array[_probe_places(mine, step, probe, bits).astype(np.int64)] = True
+                at += [_probe_places(mine, step, probe, bits) for probe in range(PROBES)]
         words, count = unpack(row["w"]), unpack_small(row["wn"])
         top = count >= head_from
-        return pa.table({"part": pa.array([row["part"]], pa.int32()), "bits": pa.array([np.packbits(array, bitorder="little").tobytes()], pa.binary()), "w": pa.array([pack(words[top])], pa.binary()), "wn": pa.array([pack_small(count[top])], pa.binary())})
+        segment = row["part"] * SEGMENTS // parts
+        return pa.table({"segment": pa.array([segment], pa.int32()), "at": pa.array([pack(np.unique(np.concatenate(at)))], pa.binary()), "w": pa.array([pack(words[top])], pa.binary()), "wn": pa.array([pack_small(count[top])], pa.binary())})
+
+    return places
+
+
+def _segment(bits: int):
+    """One segment of the filter, and its words of the head."""
+
+    def segment(table: pa.Table) -> pa.Table:
+        array = np.zeros(bits, bool)
+        for blob in table.column("at"):
+            array[unpack(blob.as_py()).astype(np.int64)] = True
+        words = np.concatenate([unpack(x.as_py()) for x in table.column("w")])
+        count = np.concatenate([unpack_small(x.as_py()).astype(np.int64) for x in table.column("wn")])
+        order = np.argsort(words)
+        return pa.table({"segment": table.column("segment")[:1], "bits": pa.array([np.packbits(array, bitorder="little").tobytes()], pa.binary()), "w": pa.array([pack(words[order])], pa.binary()), "wn": pa.array([pack_small(count[order])], pa.binary())})
 
     return segment
 
@@ -185,11 +238,12 @@ class Model:
         return np.where(known, self.counts[at], 0), known
 
     def words_about(self, words):
-        """(counts, whether they are exact, whether the filter can't tell) of words: exact in the head, else a step of the filter."""
-        about, known = self.head(words)
-        about = about.copy()
-        about[~known] = self.flt.count(words[~known], self.least[0])
-        return about, known, (about == 0) & ~known & (self.least[0] > 1)
+        """(steps, exact counts, whether these are known, whether neither tells the step) of words: steps from the filter, counts from the head."""
+        exact, known = self.head(words)
+        about = self.flt.count(words, self.least[0])
+        low = (about == 0) & (self.least[0] > 1)
+        about[low] = _floor(exact[low])
+        return about, exact, known, low & ~known
 
     def pairs_about(self, pairs):
         about = self.flt.count(pairs, self.least[1])
@@ -202,8 +256,8 @@ class Model:
     def score(self, tokens, before, counts):
         """Each row's (known tokens, exact log10, log10 under the model) over the tokens that aren't open, and where open ones are."""
         kinds, back = np.unique(tokens, return_inverse=True)
-        about, known, unsure = self.words_about(kinds)
-        base = np.log10((about + 1) / (self.tokens + self.types + 1.0))
+        about, exact, known, unsure = self.words_about(kinds)
+        base = np.log10((exact + 1) / (self.tokens + self.types + 1.0))
         first = np.cumsum(counts) - counts
         context, opened = np.zeros(len(tokens)), np.zeros(len(tokens), bool)
         context[1:], opened[1:] = about[back][:-1], unsure[back][:-1]
@@ -254,7 +308,7 @@ class _Opened:
         self.words = words = unpack(row["o_words"])
         self.token, before = (unpack_small(row[c]).astype(np.int64) for c in ("o_token", "o_before"))
         self.before = np.where(before > 0, before - 1, np.concatenate([[0], self.token[:-1]]))
-        self.about, self.known, unsure = model.words_about(words)
+        self.about, self.exact, self.known, unsure = model.words_about(words)
         self.asks_word = ~self.known & (words != BEGIN)
         self.some = ((words == BEGIN) | (self.about >= model.least_pair) | unsure)[self.before]  # no rarer context has a bigram that counts
         pairs, self.back = np.unique(_bigrams(words[self.before[self.some]], words[self.token[self.some]]), return_inverse=True)
@@ -262,6 +316,9 @@ class _Opened:
         self.w, self.b = words[self.asks_word], pairs[self.asks_pair]
 
 
+_ASK = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("w", pa.binary()), ("b", pa.binary())])
+
+
 def _ask(model, parts: int):
     """The distinct n-grams that the open tokens of each run of rows ask for, by part of the hash range."""
 
@@ -270,12 +327,11 @@ def _ask(model, parts: int):
             for i in range(len(batch)):
                 (row,) = batch.slice(i, 1).to_pylist()
                 o = _Opened(model.value, row)
-                cut_w, cut_b = edges(o.w, parts), edges(o.b, parts)
-                to = np.flatnonzero((np.diff(cut_w) > 0) | (np.diff(cut_b) > 0))
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(to, pa.int32()), pa.array(np.full(len(to), row["rid"]), pa.int64()),
-                    pa.array([pack(o.w[cut_w[p] : cut_w[p + 1]]) for p in to], pa.binary()), pa.array([pack(o.b[cut_b[p] : cut_b[p + 1]] >> BLUR) for p in to], pa.binary()),
-                ], names=["part", "rid", "w", "b"])
+                asks = {}
+                for kind, grams, blur in (("w", o.w, U64(0)), ("b", o.b, BLUR)):
+                    for p, a, b in present(grams, parts):
+                        asks.setdefault(p, {"part": p, "rid": row["rid"], "w": b"", "b": b""})[kind] = pack(grams[a:b] >> blur)
+                yield pa.RecordBatch.from_pylist(list(asks.values()), schema=_ASK)
 
     return ask
 
@@ -318,10 +374,9 @@ def _finish(model):
         m, got, parts = model.value, sorted(answers.to_pylist(), key=lambda a: a["part"]), []
         for row in opened.to_pylist():
             o = _Opened(m, row)
-            words, known, token = o.words, o.known, o.token
-            exact = np.where(known, o.about, 0)
+            words, known, token, exact = o.words, o.known, o.token, o.exact
             exact[o.asks_word] = told(got, "wn")
-            about = np.where(known, exact, _floor(exact))
+            about = np.where(known, o.about, _floor(exact))
             context = np.where(words == BEGIN, m.texts, about)[o.before].astype(float)
             step = told(got, "bn")
             o.pair[o.asks_pair] = np.where(step > 0, SCALE[step - 1], 0)
@@ -337,12 +392,15 @@ def _finish(model):
     return finish
 
 
-def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM, least_pair: int = 2) -> tuple[Model, DataFrame]:
-    """(the model, all counts by part) for a table of one text column."""
+def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOST_BITS, share: float = BIGRAM, least_pair: int = 1) -> tuple[Model, DataFrame, int]:
+    """(the model, all counts by part, the number of parts) for a table of one text column."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
-    parts = max(LEAST_PARTS, -(-size // PART_TOKENS))
-    sums = texts.mapInArrow(_send(parts), "part int, texts bigint, w binary, wn binary, b binary, bn binary").groupBy("part").applyInArrow(_sum(least_pair), _SUM_DDL)
-    sums = tmp.put(sums, "sums")
+    parts = SEGMENTS * max(1, -(-size // PART_TOKENS // SEGMENTS))
+    shares = -(-parts // FAN)
+    sent = texts.mapInArrow(_send(parts if shares == 1 else shares), _SENT_DDL)
+    if shares > 1:
+        sent = sent.repartition(shares, "part").mapInArrow(_deal_on(parts), _SENT_DDL)
+    sums = tmp.put(sent.groupBy("part").applyInArrow(_sum(least_pair), _SUM_DDL), "sums")
     tallies = {k: np.zeros(len(SCALE) + 1, np.int64) for k in "wb"}
     tokens = n_texts = 0
     for k in "wb":
@@ -358,24 +416,23 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
     least = {"w": 1, "b": least_pair}
 
     def members(kind):
-        steps = np.arange(len(SCALE) + 1)
-        in_filter = steps < at if kind == "w" else True
-        return int((tallies[kind] * in_filter * np.maximum(steps - least[kind] + 1, 0)).sum())
+        return int((tallies[kind] * np.maximum(np.arange(len(SCALE) + 1) - least[kind] + 1, 0)).sum())
 
     while (members("w") + members("b")) * MEMBER_BITS > most_bits:
         kind = "b" if members("b") >= members("w") else "w"
         least[kind] += 1
-    bits = max(64, -(-(members("w") + members("b")) * MEMBER_BITS // parts // 8) * 8)
-    array = np.zeros((parts, bits // 8), np.uint8)
+    bits = max(64, -(-(members("w") + members("b")) * MEMBER_BITS // SEGMENTS // 8) * 8)
+    array = np.zeros((SEGMENTS, bits // 8), np.uint8)
     words, counts = [], []
-    made = sums.groupBy("part").applyInArrow(_segment(bits, least["w"], least["b"], head_from), "part int, bits binary, w binary, wn binary")
-    for r in sorted(made.collect(), key=lambda r: r.part):
-        array[r.part] = np.frombuffer(r.bits, np.uint8)
+    places = sums.groupBy("part").applyInArrow(_places(parts, bits, least["w"], least["b"], head_from), "segment int, at binary, w binary, wn binary")
+    made = places.groupBy("segment").applyInArrow(_segment(bits), "segment int, bits binary, w binary, wn binary")
+    for r in sorted(made.collect(), key=lambda r: r.segment):
+        array[r.segment] = np.frombuffer(r.bits, np.uint8)
         words.append(unpack(r.w))
         counts.append(unpack_small(r.wn).astype(np.int64))
     none = np.zeros(0, np.uint64)
-    model = Model(Filter(parts, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair)
-    return model, sums.select("part", "w", "wn", "b", "bn")
+    model = Model(Filter(SEGMENTS, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair)
+    return model, sums.select("part", "w", "wn", "b", "bn"), parts
 
 
 def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fold: int = 7, held: int = 2, **shape) -> DataFrame:
@@ -384,16 +441,17 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     tmp = Scratch(spark)
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), (F.col(id_col).isNotNull() & (crc % fold == held)).alias("held_out"))
-    model, sums = train(tmp, docs.filter("not held_out").select("text"), **shape)
+    model, sums, parts = train(tmp, docs.filter("not held_out").select("text"), **shape)
     shared = spark.sparkContext.broadcast(model)
     id_type = docs.schema["id"].dataType.simpleString()
     # row numbers are read from the written table, so they stay
     scored = tmp.put(docs.mapInArrow(_score(shared), f"rid bigint, id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, {', '.join(f'{c} binary' for c in _OPEN)}"), "scored")
     opened = scored.select("rid", *_OPEN).filter("o_row is not null")
-    ask = opened.select("rid", "o_words", "o_token", "o_before").mapInArrow(_ask(shared, model.flt.parts), "part int, rid bigint, w binary, b binary")
+    ask = opened.select("rid", "o_words", "o_token", "o_before").mapInArrow(_ask(shared, parts), "part int, rid bigint, w binary, b binary")
     answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "rid bigint, part int, wn binary, bn binary")
     more = opened.groupBy("rid").cogroup(answers.groupBy("rid")).applyInArrow(_finish(shared), "rid bigint, more_known bigint, more_base double, more_score double")
     more = tmp.put(more, "more").withColumnRenamed("rid", "_rid")
+    tmp.keep("scored", "more")
     out = scored.drop(*_OPEN).join(more, F.col("rid") == F.col("_rid"), "left")
     plus = lambda column, extra, none: (F.col(column) + F.coalesce(extra, F.lit(none))).alias
     return out.select(

@@ -185,9 +185,8 @@ def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monk
             pairs.update(zip(["\t", *rows[i]], rows[i]))
             trained += 1
     z = sum(words.values()) + len(words) + 1
-    from_ = next(int(c) for c in [*bloom_lm.SCALE, 1 << 62] if sum(x >= c for x in words.values()) <= head)
-    about = lambda w: words[w] if words[w] >= from_ else step(words[w], 1)
-    got = by_id(bloom_lm.lm_scores(docs, head=head, most_bits=most_bits))
+    about = lambda w: step(words[w], 1)
+    got = by_id(bloom_lm.lm_scores(docs, head=head, most_bits=most_bits, least_pair=2))
     for i, row in rows.items():
         want = 0.0
         for h, w in zip(["\t", *row], row):
@@ -215,11 +214,24 @@ def test_query_counts_bigrams_met_once(spark, docs, texts, monkeypatch, head, mo
     for i, row in rows.items():
         want = 0.0
         for h, w in zip(["\t", *row], row):
-            context = trained if h == "\t" else words[h]
-            want += np.log10(bloom_lm.BIGRAM * min(step(pairs[h, w]), context) / max(context, 1) + (1 - bloom_lm.BIGRAM) * (words[w] + 1) / z)
+            context = trained if h == "\t" else step(words[h])
+            want += np.log10(bloom_lm.BIGRAM * min(step(pairs[h, w]), context) / max(context, 1) + (1 - bloom_lm.BIGRAM) * (step(words[w]) + 1) / z)
         assert got[i].score == pytest.approx(want, rel=1e-9)
 
 
+def test_counts_by_shares_of_parts(docs, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives
+    one = by_id(bloom_lm.lm_scores(docs))
+    monkeypatch.setattr(bloom_lm, "FAN", 10)
+    monkeypatch.setattr(bloom_lm, "PART_TOKENS", 100)
+    monkeypatch.setattr(bloom_lm, "MERGED_TOKENS", 500)
+    monkeypatch.setattr(bloom_lm, "BATCH_TOKENS", 2000)
+    two = by_id(bloom_lm.lm_scores(docs))
+    for i, r in one.items():
+        assert (r.n_known, r.train_tokens, r.base_score) == (two[i].n_known, two[i].train_tokens, pytest.approx(two[i].base_score))
+        assert two[i].score == pytest.approx(r.score, rel=1e-9)
+
+
 def test_packed_numbers():
     from tessera.llm._packed import pack_small, unpack_small
 
