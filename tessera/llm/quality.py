@@ -1,8 +1,9 @@
 """Quality scores: random-indexing word vectors pooled per document, and a two-layer network with calibrated probabilities.
 
-A word stands for two tokens, a bucket of its hash and its shape (case, digits, symbols, length). Every token has a sparse random index
-vector; a token's word vector is its index vector plus the mean of its neighbours' index vectors in all documents. A document is the mean of its
-words' vectors, beside a few ratios (distinct words, repeated neighbours, symbols, capitals, lengths).
+A word stands for three tokens: a bucket of its hash, its shape (case, digits, symbols, length), and its step from the word before (a bucket of both
+shapes, and whether it is the same word again). Every token has a sparse random index vector; a token's word vector is its index vector plus the
+mean of the index vectors of its neighbours' tokens of that kind in all documents. A document is the mean of its words' vectors, one mean for each kind
+of token, and nothing else.
 
 The network is fitted on at most `most` labelled rows (a parameter), balanced by class, outside the held-out fold; then its logits are
 scaled by a temperature that is set on a fifth of them, and moved to the labels' own prior. Every row is scored by its whole text.
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from ._fit import Constant, Network, fold, sample
 from ._words import U64, chunks, hashes, mix, spans
 
-WORDS, SHAPES, DIM = 8192, 1024, 32
-TOKENS = WORDS + SHAPES
+WORDS, SHAPES, STEPS, DIM = 8192, 1024, 1024, 32
+TOKENS = WORDS + SHAPES + STEPS
 #: Rows of each label that the model is fitted on at most.
 MOST = 3000
 
@@ -50,7 +51,7 @@ def _counts(table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndar
 
 
 def _features(data: np.ndarray, offs: np.ndarray):
-    """(word buckets, shape tokens, words of each row, ratios of each row)."""
+    """(tokens of each word by kind, words of each row)."""
     word, counts = hashes(data, offs)
     start, end = spans(data, offs)
     if len(start) != len(word):  # words of very long rows are hashed in parts, with the same edges
@@ -60,30 +61,22 @@ def _features(data: np.ndarray, offs: np.ndarray):
     letters = size - digit - symbol
     case = np.where(upper == 0, 0, np.where((upper >= 2) & (2 * upper >= letters), 2, 1))
     shape = ((case * 4 + np.minimum(symbol, 3)) * 3 + np.where(digit == 0, 0, np.where(digit < letters, 1, 2))) * 7 + np.minimum(np.log2(size + 1).astype(int), 6)
-    buckets = (mix(word) % U64(WORDS)).astype(np.int64)
-    n = len(counts)
-    row = np.repeat(np.arange(n), counts)
-    per = lambda x: np.bincount(row, x, n)
-    safe = np.maximum(counts, 1)
     ends = np.cumsum(counts)
-    distinct = np.array([len(np.unique(word[a:b])) for a, b in zip(ends - counts, ends, strict=True)])
-    same = np.zeros(len(word))
-    same[1:] = (word[1:] == word[:-1]) & (row[1:] == row[:-1])
-    bytes_ = np.maximum(np.diff(offs), 1)
-    lines = np.diff(np.searchsorted(np.flatnonzero(data == 10), offs))
-    ratios = np.stack(
-        [np.log1p(counts), distinct / safe, np.log1p(counts) * (1 - distinct / safe), per(same) / safe, per(size) / safe, per(symbol) / bytes_, per(digit) / bytes_, per(upper) / bytes_, per(symbol >= 3) / safe, per(case == 2) / safe, per((size == 1) & (symbol == 1)) / safe, lines / safe], 1
-    )
-    return buckets, WORDS + shape % SHAPES, counts, ratios
-
-
-def _pool(vectors: np.ndarray, buckets, shapes, counts) -> np.ndarray:
-    n = len(counts)
-    out = np.zeros((n, 2 * DIM))
+    before, again = np.full(len(word), SHAPES), np.zeros(len(word), np.int64)
+    before[1:], again[1:] = shape[:-1], word[1:] == word[:-1]
+    first = (ends - counts)[counts > 0]
+    before[first], again[first] = SHAPES, 0
+    half = STEPS // 2
+    step = (mix((before * 2 * SHAPES + shape).astype(np.uint64)) % U64(half)).astype(np.int64) + again * half
+    return ((mix(word) % U64(WORDS)).astype(np.int64), WORDS + shape % SHAPES, WORDS + SHAPES + step), counts
+
+
+def _pool(vectors: np.ndarray, kinds, counts) -> np.ndarray:
+    out = np.zeros((len(counts), len(kinds) * DIM))
     some = np.flatnonzero(counts)
     if len(some):
         first = (np.cumsum(counts) - counts)[some]
-        for k, tokens in enumerate((buckets, shapes)):
+        for k, tokens in enumerate(kinds):
             out[some, k * DIM : (k + 1) * DIM] = np.add.reduceat(vectors[tokens], first, axis=0) / counts[some, None]
     return out
 
@@ -93,10 +86,10 @@ def _contexts(batches):
     index, sums, seen = _index(), np.zeros((TOKENS, DIM)), np.zeros(TOKENS)
     for batch in batches:
         for _, data, offs in chunks(batch.column(1)):
-            buckets, shapes, counts, _ = _features(data, offs)
+            kinds, counts = _features(data, offs)
             row = np.repeat(np.arange(len(counts)), counts)
             near = np.flatnonzero(row[1:] == row[:-1])
-            for tokens in (buckets, shapes):
+            for tokens in kinds:
                 for a, b in ((near, near + 1), (near + 1, near)):
                     order = np.argsort(tokens[a], kind="stable")
                     token, first = np.unique(tokens[a][order], return_index=True)
@@ -113,8 +106,7 @@ def _inputs(vectors):
         for batch in batches:
             out = []
             for _, data, offs in chunks(batch.column(1)):
-                buckets, shapes, counts, ratios = _features(data, offs)
-                out += list(np.concatenate([_pool(vectors.value, buckets, shapes, counts), ratios], 1))
+                out += list(_pool(vectors.value, *_features(data, offs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["label", "x"])
 
     return inputs
@@ -126,8 +118,7 @@ def _score(shared):
         for batch in batches:
             out = [np.zeros(0)]
             for _, data, offs in chunks(batch.column(1)):
-                buckets, shapes, counts, ratios = _features(data, offs)
-                out.append(model.probability(np.concatenate([_pool(vectors, buckets, shapes, counts), ratios], 1)))
+                out.append(model.probability(_pool(vectors, *_features(data, offs))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(out))], names=["id", "held_out", "score"])
 
     return score
