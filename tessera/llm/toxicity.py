@@ -6,9 +6,9 @@ or a letter it may replace, a repeat or a mark may be dropped, a mark may be the
 trigram model of the training texts (Viterbi) is the restored word, and takes part beside the words of the text. Words joined by marks are
 also read each for itself. In a run of single letters, terms are looked up from each letter on. Digits alone are a number, not a word.
 
-Terms are whole words and their first 4 to 8 bytes (stems). Those that mark toxic rows are picked, and a small network scores what a text has
-of them. It is fitted on at most `most` labelled rows of each class (a parameter) outside the held-out fold, each half of them seen through the
-terms picked on the other. The letter model counts all training texts. Every row is scored by its whole text.
+Terms are whole words and their first 4 to 8 bytes (stems). Those that mark toxic rows are picked, the best `most_terms` of them (a parameter), and
+a small network scores what a text has of them. Terms and network are fitted on at most `most` labelled rows of each class (a parameter)
+outside the held-out fold, each half of them seen through the terms picked on the other. The letter model counts all training texts. Every row is scored by its whole text.
 
 Defined cases: null and empty texts get the score of a text without terms. Without labels of both classes every score is the prior (0.5
 without labels). Rows with equal ids are scored each by its text. Extra columns are ignored; lang, source and id are never inputs.
@@ -25,11 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._fit import Constant, Network, fold, sample
+from ._scratch import Scratch
 from ._words import ALNUM, U64, _table, chunks, mix, powers, spans
 
 STEMS = (4, 5, 6, 7, 8)
-#: Rows of each label that the model is fitted on at most, and terms that it keeps at most.
-MOST, MOST_TERMS = 3000, 5000
+#: Rows of each label that the model is fitted on at most, and terms of that sample that it keeps at most.
+MOST, MOST_TERMS = 3000, 100_000
 #: Letters that a character stands for in leetspeak.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 MARKS = " .-_*~'"
@@ -184,7 +185,9 @@ def odd_words(data: np.ndarray, offs: np.ndarray) -> list[tuple[int, int, int]]:
     # a substitute beside a letter on either side, or symbols and digits alone (digits alone are a number)
     leet = ((has(stands & (after | ahead)) > 0) & (n_letters > 0)) | ((has(SYMBOL[data]) > 0) & (has(stands) >= 3))
     apart = has(mark & after & ahead)
+    # letters set apart one by one, or a mark but an apostrophe anywhere inside a word
     spaced = (apart >= 2) & (n_letters <= apart + 2) & (n_letters >= 3)
+    spaced |= (has(mark & (data != 39) & after & ahead) > 0) & (n_letters >= 4)
     repeated = (has(again) > 0) & (n_letters >= 4)
     row = np.searchsorted(offs, start, "right") - 1
     odd = np.flatnonzero(leet | spaced | repeated)
@@ -217,6 +220,7 @@ def _blanks(data: np.ndarray) -> np.ndarray:
         raw = found.sub(lambda m, mark=mark: mark * len(m[0]), raw)
     return np.frombuffer(raw, np.uint8)
 
+
 #: UTF-8 of blanks, and of invisible characters, dashes, dots and quotes.
 BLANKS = [
     (b" ", re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")),
@@ -386,11 +390,11 @@ def _pick(counted: DataFrame, yes: int, no: int, most: int) -> Lexicon:
     """The terms of rows (term, yes, no) that mark toxic rows best."""
     weight = F.log((F.col("yes") + 0.3) / (yes + 1.0)) - F.log((F.col("no") + 0.3) / (no + 1.0))
     good = counted.withColumn("weight", weight).filter((F.col("yes") >= 3) & (F.col("weight") >= 2.0))
-    got = good.orderBy(F.col("weight").desc(), F.col("yes").desc(), "term").limit(most).collect()
-    return Lexicon(np.array([r.term for r in got], np.int64).view(np.uint64), np.array([r.weight for r in got], np.float64))
+    got = good.orderBy(F.col("weight").desc(), F.col("yes").desc(), "term").limit(most).select("term", "weight").toArrow()
+    return Lexicon(got.column("term").to_numpy().astype(np.int64).view(np.uint64), got.column("weight").to_numpy().astype(np.float64))
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed, train, most: int, seed: int):
+def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed, train, most: int, most_terms: int, seed: int):
     """(letter model, [lexicon], model); docs has columns id and text."""
     spark = docs.sparkSession
     letters = letter_model(docs.filter(train).select("text"))
@@ -404,11 +408,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed
     rows = docs.join(F.broadcast(ids), F.col("id") == F.col("_id")).select("label", "text", "half")
     terms = rows.mapInArrow(_sampled(spark.sparkContext.broadcast(letters)), "label int, half int, terms array<bigint>").select("label", "half", F.explode("terms").alias("term"))
     both = terms.groupBy("term").agg(*[F.count_if((F.col("label") == k) & (F.col("half") == h)).alias(f"{a}{h}") for k, a in ((1, "yes"), (0, "no")) for h in (0, 1)])
-    both = both.filter("yes0 + yes1 >= 3").persist()
+    tmp = Scratch(spark)
+    both = tmp.put(both.filter("yes0 + yes1 >= 3"), "terms")
     n = {(k, h): sum(label == k and i % 2 == h for i, (_, label) in enumerate(picked)) for k in (0, 1) for h in (0, 1)}
-    halves = [_pick(both.select("term", F.col(f"yes{h}").alias("yes"), F.col(f"no{h}").alias("no")), n[1, h], n[0, h], MOST_TERMS) for h in (0, 1)]
-    whole = _pick(both.select("term", (F.col("yes0") + F.col("yes1")).alias("yes"), (F.col("no0") + F.col("no1")).alias("no")), n[1, 0] + n[1, 1], n[0, 0] + n[0, 1], MOST_TERMS)
-    both.unpersist()
+    halves = [_pick(both.select("term", F.col(f"yes{h}").alias("yes"), F.col(f"no{h}").alias("no")), n[1, h], n[0, h], most_terms) for h in (0, 1)]
+    whole = _pick(both.select("term", (F.col("yes0") + F.col("yes1")).alias("yes"), (F.col("no0") + F.col("no1")).alias("no")), n[1, 0] + n[1, 1], n[0, 0] + n[0, 1], most_terms)
+    tmp.drop("terms")
     got = rows.mapInArrow(_score(spark.sparkContext.broadcast((letters, halves, None)), True), "label int, x array<double>").orderBy("label", "x").collect()
     y, x = np.array([r.label for r in got]), np.array([r.x for r in got])
     if len(set(y.tolist())) < 2:
@@ -419,20 +424,20 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed
     return letters, [whole], model
 
 
-def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = MOST, seed: int = 9) -> DataFrame:
+def toxicity_scores(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = MOST, most_terms: int = MOST_TERMS, seed: int = 9) -> DataFrame:
     """One row for each of `df`'s: id, held_out, score (probability of label 1), predicted (1 if score >= threshold)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     out_of = fold(F.col("id"), folds) == held
-    shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, label_col, fold(F.col(id_col), folds) != held, ~out_of, most, seed))
+    shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, label_col, fold(F.col(id_col), folds) != held, ~out_of, most, most_terms, seed))
     kind = docs.schema["id"].dataType.simpleString()
     out = docs.select("id", "text", out_of.alias("held_out")).mapInArrow(_score(shared, False), f"id {kind}, held_out boolean, score double")
     return out.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = MOST, seed: int = 9) -> DataFrame:
+def drop_toxic(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 3, held: int = 1, threshold: float = 0.7, most: int = MOST, most_terms: int = MOST_TERMS, seed: int = 9) -> DataFrame:
     """The rows of `df`, all columns, whose score is under the threshold."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, label_col, fold(F.col(id_col), folds) != held, fold(F.col("id"), folds) != held, most, seed))
+    shared = df.sparkSession.sparkContext.broadcast(fit(docs, labels, id_col, label_col, fold(F.col(id_col), folds) != held, fold(F.col("id"), folds) != held, most, most_terms, seed))
     names = [f"_{i}" for i in range(len(df.columns))]
     rows = df.toDF(*names)
     kind = T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())])

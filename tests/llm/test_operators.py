@@ -462,6 +462,45 @@ def test_classifiers(spark):
     assert clean.columns == docs.columns and {t[0] for t in truth if not t[2]} <= {r.doc_id for r in clean.collect()}
 
 
+def disguised(word, how):
+    leet = {"a": "4", "e": "3", "i": "1", "o": "0", "s": "5", "t": "7"}
+    return ["".join(leet.get(c, c) for c in word), " ".join(word), ".".join(word), word[:3] + word[3] * 60 + word[4:], "  ".join(word.upper()), word[0] + "*" + word[1:-1] + "*" + word[-1]][how]
+
+
+def test_disguised_words_are_found_only_by_restoring(spark, monkeypatch):
+    rng = random.Random(12)
+    plain = "the garden river music under morning window paper travel simple answer people little water reason often".split()
+    terms = ["grubnot", "zilchface", "moldbrain", "stenchpit"]
+    rows, labels, how = [], [], {}
+    for i in range(400):
+        w = [rng.choice(plain) for _ in range(rng.randrange(30, 80))]
+        if bad := i % 4 == 0:
+            kind = rng.randrange(6) if zlib.crc32(str(i).encode()) % 3 == 1 else None
+            how[i] = kind
+            for term in rng.sample(terms, 3):
+                w[rng.randrange(len(w))] = term if kind is None else disguised(term, kind)
+        rows.append((i, " ".join(w)))
+        labels.append((i, int(bad)))
+    docs, labels_df = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = lambda: {r.doc_id for r in toxicity.toxicity_scores(docs, labels_df).filter("predicted = 1").collect()}
+    hidden = {i for i, kind in how.items() if kind is not None}
+    with_it = found()
+    assert len(hidden & with_it) >= 0.9 * len(hidden) and not with_it - set(how)
+    few = toxicity.toxicity_scores(docs, labels_df, most_terms=1).filter("predicted = 1").count()
+    assert few < len(with_it)  # the parameter binds
+    monkeypatch.setattr(toxicity, "_terms", lambda data, offs, *_: toxicity._stems(data, offs, *toxicity.spans_lower(data, offs)))
+    assert len(hidden & found()) < 0.3 * len(hidden)
+
+
+def test_quality_is_scored_by_vectors_alone():
+    raw = b"AB!! ab ab ab 12 x"
+    kinds, counts = quality._features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))
+    assert counts.tolist() == [6] and [len(k) for k in kinds] == [6, 6, 6]
+    assert not quality._pool(np.zeros((quality.TOKENS, quality.DIM), np.float32), kinds, counts).any()
+    word, shape, step = kinds
+    assert word[1] == word[2] == word[3] and shape[1] == shape[2] and step[2] == step[3] != step[1]
+
+
 def test_word_vectors_come_from_all_documents(spark):
     docs, labels, _ = labelled(spark)
     more = spark.createDataFrame([(1000 + i, "quorp vextil " * 20, "p") for i in range(5)], docs.schema)
