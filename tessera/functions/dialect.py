@@ -85,7 +85,7 @@ def days_between(a: Column, b: Column) -> Column:
 
 
 #: Date elements and their patterns here.
-DATE_ELEMENTS = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "MON": "MMM", "DDD": "DDD", "DD": "dd", "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "FF3": "SSS", "FF6": "SSSSSS", "AM": "a", "PM": "a", "DY": "E", "DAY": "EEEE", "Q": "q", "TZH:TZM": "xxx"}
+DATE_ELEMENTS = {"YYYY": "yyyy", "YY": "yy", "MM": "MM", "MON": "MMM", "DDD": "DDD", "DD": "dd", "HH24": "HH", "HH12": "hh", "HH": "hh", "MI": "mm", "SS": "ss", "FF": "SSSSSS", "FF1": "S", "FF2": "SS", "FF3": "SSS", "FF6": "SSSSSS", "FF9": "SSSSSSSSS", "RRRR": "yyyy", "RR": "yy", "MONTH": "MMMM", "A.M.": "a", "P.M.": "a", "AM": "a", "PM": "a", "DY": "E", "DAY": "EEEE", "Q": "q", "TZH:TZM": "xxx"}
 
 
 def date_pattern(fmt: str) -> str:

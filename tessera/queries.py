@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import dialect as D
-from .operators import catalog, checks, diff, graph, move, rows, trace
+from .operators import catalog, checks, diff, graph, move, predicates, rows, trace
 from .plans import code_facts, flows, lexer, lineage, rewrite, statements
 from .sources import history, text_io
 from .streaming import windows
@@ -169,10 +169,13 @@ def not_in_list_null_semantics(w):
     return part("kept", ["MACHINERY"]).union(part("dropped", ["MACHINERY", None]))
 
 
-@query("SELECT p_partkey, p_name || '_%' AS label FROM part WHERE contains(p_name || '_%', '1_%')")
+_LABELS = "SELECT p_partkey, p_name || CASE p_partkey % 3 WHEN 0 THEN '_%' WHEN 1 THEN 'x%' ELSE '_y' END AS label FROM part"
+
+
+@query(f"SELECT * FROM ({_LABELS}) WHERE label LIKE '%t!_!%%' ESCAPE '!'")
 def like_escape(w):
-    label = F.concat("p_name", F.lit("_%"))
-    return w.table("part").select("p_partkey", label.alias("label")).filter(rows.contains_literal(F.col("label"), "1_%"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, "_%").when(F.col("p_partkey") % 3 == 1, "x%").otherwise("_y")
+    return w.table("part").select("p_partkey", F.concat("p_name", tail).alias("label")).filter(predicates.cell_condition("label", "t_%", like=True))
 
 
 @query("SELECT segment AS value, min(c_custkey) AS first_seen FROM (" + _CUSTOMERS + ") GROUP BY 1")
@@ -197,7 +200,7 @@ sql("join_inner", "SELECT n.n_name, count(*) AS n FROM {customer} c JOIN {nation
 sql("join_left", "SELECT c.c_custkey, count(o.o_orderkey) AS n FROM {customer} c LEFT JOIN {orders} o ON o.o_custkey = c.c_custkey GROUP BY c.c_custkey")
 sql("join_full", "SELECT coalesce(s.s_nationkey, c.c_nationkey) AS k, s.n AS n_s, c.n AS n_c FROM (SELECT s_nationkey, count(*) AS n FROM {supplier} GROUP BY s_nationkey) s FULL JOIN (SELECT c_nationkey, count(*) AS n FROM {customer} WHERE c_custkey % 3 = 0 GROUP BY c_nationkey) c ON s.s_nationkey = c.c_nationkey")
 sql("join_semi", "SELECT c.c_custkey FROM {customer} c WHERE EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > 200000)")
-sql("join_anti", "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey)")
+sql("join_anti", "SELECT c.c_custkey FROM {customer} c WHERE NOT EXISTS (SELECT 1 FROM {orders} o WHERE o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F')")
 sql("join_null_aware_anti", "SELECT count(*) AS n FROM {customer} c WHERE c.c_custkey NOT IN (SELECT nullif(o.o_custkey, 1) FROM {orders} o)")
 sql("join_theta_range", "SELECT r.lo, count(*) AS n FROM {orders} o JOIN (SELECT 0 AS lo, 100000 AS hi UNION ALL SELECT 100000, 200000 UNION ALL SELECT 200000, 400000) r ON o.o_totalprice >= r.lo AND o.o_totalprice < r.hi GROUP BY r.lo")
 sql("join_cross_small", "SELECT r.r_name, n.n_name FROM {region} r CROSS JOIN {nation} n WHERE n.n_regionkey <> r.r_regionkey")
@@ -229,7 +232,8 @@ sql("agg_median", "SELECT c_mktsegment, round(median(c_acctbal), 3) AS m FROM {c
 sql("agg_percentile_disc", "SELECT c_mktsegment, percentile_disc(0.9) WITHIN GROUP (ORDER BY c_acctbal) AS p90, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY c_acctbal), 3) AS p25 FROM {customer} GROUP BY c_mktsegment")
 sql("agg_stddev_single_row_zero", "SELECT c_custkey % 700 AS k, round(STDDEV(c_acctbal), 4) AS sd FROM {customer} GROUP BY c_custkey % 700", "SELECT c_custkey % 700 AS k, round(CASE WHEN count(c_acctbal) = 1 THEN 0 ELSE stddev_samp(c_acctbal) END, 4) AS sd FROM {customer} GROUP BY 1")
 sql("agg_regression", "SELECT l_returnflag, round(corr(l_quantity, l_extendedprice), 6) AS c, round(covar_pop(l_quantity, l_extendedprice), 2) AS cp, round(regr_slope(l_extendedprice, l_quantity), 4) AS slope FROM {lineitem} GROUP BY l_returnflag")
-sql("agg_keep_dense_rank_last", "SELECT o_custkey, sum(o_totalprice_c) AS cents FROM (SELECT o_custkey, cast(round(o_totalprice * 100) AS bigint) AS o_totalprice_c, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM {orders}) t WHERE r = 1 GROUP BY o_custkey", "SELECT o_custkey, sum(cents)::BIGINT AS cents FROM (SELECT o_custkey, cast(round(o_totalprice * 100) AS bigint) AS cents, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM {orders}) t WHERE r = 1 GROUP BY o_custkey")
+sql("agg_keep_first", "SELECT o_custkey, count(*) AS n, min(o_orderkey) KEEP (DENSE_RANK FIRST ORDER BY o_orderpriority, o_orderstatus DESC) AS k FROM {orders} WHERE o_orderkey > 9 GROUP BY o_custkey", "SELECT o_custkey, count(*) AS n, min(o_orderkey) FILTER (WHERE r = 1) AS k FROM (SELECT *, dense_rank() OVER (PARTITION BY o_custkey ORDER BY o_orderpriority, o_orderstatus DESC) AS r FROM orders WHERE o_orderkey > 9) GROUP BY 1")
+sql("agg_keep_dense_rank_last", "SELECT o_custkey, sum(cast(round(o_totalprice * 100) AS bigint)) KEEP (DENSE_RANK LAST ORDER BY o_orderdate) AS cents FROM {orders} GROUP BY o_custkey", "SELECT o_custkey, sum(cents)::BIGINT AS cents FROM (SELECT o_custkey, cast(round(o_totalprice * 100) AS bigint) AS cents, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM {orders}) t WHERE r = 1 GROUP BY o_custkey")
 sql("agg_duplicate_keys", "SELECT l_orderkey, l_linenumber, count(*) AS n FROM {lineitem} GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1")
 
 
@@ -266,9 +270,18 @@ sql("win_duplicates", "SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT l
 sql("set_union", "SELECT s_nationkey AS k FROM {supplier} UNION SELECT c_nationkey FROM {customer}")
 sql("set_union_all", "SELECT k, count(*) AS n FROM (SELECT s_nationkey AS k FROM {supplier} UNION ALL SELECT c_nationkey FROM {customer}) t GROUP BY k")
 sql("set_intersect", "SELECT o_custkey AS k FROM {orders} INTERSECT SELECT c_custkey FROM {customer} WHERE c_custkey % 2 = 0")
-sql("set_minus", "SELECT c_custkey AS k FROM {customer} MINUS SELECT o_custkey FROM {orders}", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders}")
+sql("set_minus", "SELECT c_custkey AS k FROM {customer} MINUS SELECT o_custkey FROM {orders} WHERE o_orderkey % 3 = 0", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT o_custkey FROM {orders} WHERE o_orderkey % 3 = 0")
 sql("limit_rownum", "SELECT * FROM (SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey) WHERE ROWNUM <= 25", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
-sql("limit_with_ties", "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM {part}) t WHERE r <= 10")
+sql("limit_with_ties", "SELECT p_partkey, p_size FROM {part} ORDER BY p_size DESC FETCH FIRST 10 ROWS WITH TIES", "SELECT p_partkey, p_size FROM part QUALIFY rank() OVER (ORDER BY p_size DESC) <= 10")
+sql("limit_percent", "SELECT p_partkey, p_size FROM {part} ORDER BY p_size DESC, p_partkey FETCH FIRST 5 PERCENT ROWS ONLY", "SELECT p_partkey, p_size FROM part QUALIFY row_number() OVER (ORDER BY p_size DESC, p_partkey) <= ceil(count(*) OVER () * 5 / 100)")
+sql("limit_offset_fetch", "SELECT o_orderkey FROM {orders} ORDER BY o_totalprice DESC, o_orderkey OFFSET 20 ROWS FETCH NEXT 30 ROWS ONLY", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 30 OFFSET 20")
+sql("limit_rownum_paging", "SELECT * FROM (SELECT x.o_orderkey, ROWNUM AS rn FROM (SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey) x WHERE ROWNUM <= 40) WHERE rn > 20", "SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders QUALIFY rn BETWEEN 21 AND 40")
+sql("limit_rownum_in_union", "SELECT o_orderkey AS k, 'o' AS t FROM {orders} WHERE o_orderkey < 20 UNION ALL SELECT c_custkey, 'c' FROM (SELECT c_custkey FROM {customer} ORDER BY c_custkey DESC) WHERE ROWNUM <= 5 ORDER BY k", "SELECT o_orderkey AS k, 'o' AS t FROM orders WHERE o_orderkey < 20 UNION ALL (SELECT c_custkey, 'c' FROM customer ORDER BY c_custkey DESC LIMIT 5)")
+sql("limit_rownum_grouped", "SELECT s_nationkey, count(*) AS n FROM (SELECT s_nationkey FROM {supplier} ORDER BY s_suppkey) WHERE s_nationkey >= 0 AND ROWNUM < 9 GROUP BY s_nationkey", "SELECT s_nationkey, count(*) AS n FROM (SELECT s_nationkey FROM supplier ORDER BY s_suppkey LIMIT 8) GROUP BY s_nationkey")
+sql("order_nulls_default", "SELECT c_custkey, segment FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM {customer}) ORDER BY segment DESC, c_custkey FETCH FIRST 30 ROWS ONLY", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') AS segment FROM customer ORDER BY segment DESC NULLS FIRST, c_custkey LIMIT 30")
+sql("order_nulls_in_windows", "SELECT c_custkey, cast(row_number() OVER (PARTITION BY c_nationkey ORDER BY nullif(c_mktsegment, 'BUILDING'), c_custkey) AS bigint) AS up, cast(row_number() OVER (PARTITION BY c_nationkey ORDER BY nullif(c_mktsegment, 'BUILDING') DESC, c_custkey) AS bigint) AS down FROM {customer}", "SELECT c_custkey, row_number() OVER (PARTITION BY c_nationkey ORDER BY nullif(c_mktsegment, 'BUILDING') NULLS LAST, c_custkey) AS up, row_number() OVER (PARTITION BY c_nationkey ORDER BY nullif(c_mktsegment, 'BUILDING') DESC NULLS FIRST, c_custkey) AS down FROM customer")
+sql("dual_row", "SELECT 1 + 1 AS two, d.dummy AS x FROM dual d UNION ALL SELECT 3, dummy FROM DUAL WHERE 1 = 1", "SELECT 2 AS two, 'X' AS x UNION ALL SELECT 3, 'X'")
+sql("row_generator_connect_by", "SELECT LEVEL AS n, LEVEL * 2 AS twice FROM dual CONNECT BY LEVEL <= 50", "SELECT range AS n, range * 2 AS twice FROM range(1, 51)")
 sql("hier_path", "SELECT k, LEVEL AS lvl, SYS_CONNECT_BY_PATH(name, '/') AS path FROM (SELECT concat('r', r_regionkey) AS k, '' AS parent, r_name AS name FROM {region} UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM {nation}) START WITH parent = '' CONNECT BY PRIOR k = parent", "SELECT 'r' || r_regionkey AS k, 1 AS lvl, '/' || r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 2, '/' || r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey")
 sql("hier_level_leaf", "SELECT lvl, count(*) AS n FROM (WITH RECURSIVE h AS (SELECT r_regionkey AS k, 1 AS lvl FROM {region} UNION ALL SELECT n.n_nationkey, h.lvl + 1 FROM {nation} n JOIN h ON n.n_regionkey = h.k AND h.lvl = 1) SELECT k, lvl FROM h) t GROUP BY lvl", "SELECT 1 AS lvl, count(*) AS n FROM region UNION ALL SELECT 2, count(*) FROM nation")
 
@@ -287,6 +300,34 @@ def set_three_way_partition(w):
 
 # --- functions of the dialect ---
 
+sql("concat_null_sql", "SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') || nullif(c_nationkey, 3) || '-' AS a, nullif(c_mktsegment, 'BUILDING') || nullif(c_mktsegment, 'BUILDING') AS b FROM {customer}", "SELECT c_custkey, coalesce(nullif(c_mktsegment, 'BUILDING'), '') || coalesce(nullif(c_nationkey, 3)::VARCHAR, '') || '-' AS a, nullif(c_mktsegment, 'BUILDING') || nullif(c_mktsegment, 'BUILDING') AS b FROM customer")
+sql("to_char_date_sql", "SELECT o_orderkey, TO_CHAR(o_orderdate, 'YYYY-MM-DD HH24:MI:SS') AS a, TO_CHAR(o_orderdate, 'DD/MM/YY') AS b, TO_CHAR(o_orderdate + 1.5, 'YYYYMMDD\"T\"HH24MI') AS c, TO_CHAR(o_orderdate, 'Q') AS q FROM {orders}", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS a, strftime(o_orderdate, '%d/%m/%y') AS b, strftime(o_orderdate + INTERVAL 36 HOUR, '%Y%m%dT%H%M') AS c, quarter(o_orderdate)::VARCHAR AS q FROM orders")
+sql("to_char_number_sql", "SELECT p_partkey, TO_CHAR(p_retailprice, 'FM99990.00') AS a, TO_CHAR(p_size, '000') AS b, TO_CHAR(p_partkey) AS c, TO_CHAR(p_retailprice * 1000, 'FM9,999,999,990') AS d FROM {part}", "SELECT p_partkey, format('{:.2f}', p_retailprice) AS a, ' ' || lpad(p_size::VARCHAR, 3, '0') AS b, p_partkey::VARCHAR AS c, format('{:,}', round(p_retailprice * 1000)::BIGINT) AS d FROM part")
+sql("to_date_sql", "SELECT o_orderkey, TO_DATE(TO_CHAR(o_orderdate, 'DD.MM.YYYY'), 'DD.MM.YYYY') - TO_DATE('1995-01-01', 'YYYY-MM-DD') AS days, TO_NUMBER('1,234.5', '9,999.9') AS n FROM {orders}", "SELECT o_orderkey, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::DOUBLE AS days, 1234.5::DECIMAL(5, 1) AS n FROM orders")
+sql("date_trunc_round_sql", "SELECT event_id, TRUNC(ts) AS d, TRUNC(ts, 'MM') AS m, TRUNC(ts, 'Q') AS q, TRUNC(ts, 'IW') AS w, TRUNC(ts, 'HH24') AS h, ROUND(ts) AS rd, ROUND(ts, 'MM') AS rm, ROUND(ts, 'YYYY') AS ry FROM {events}", "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS d, date_trunc('month', ts)::TIMESTAMP AS m, date_trunc('quarter', ts)::TIMESTAMP AS q, date_trunc('week', ts)::TIMESTAMP AS w, date_trunc('hour', ts) AS h, date_trunc('day', ts + INTERVAL 12 HOUR)::TIMESTAMP AS rd, (date_trunc('month', ts) + CASE WHEN day(ts) >= 16 THEN INTERVAL 1 MONTH ELSE INTERVAL 0 MONTH END)::TIMESTAMP AS rm, (date_trunc('year', ts) + CASE WHEN month(ts) >= 7 THEN INTERVAL 1 YEAR ELSE INTERVAL 0 YEAR END)::TIMESTAMP AS ry FROM events")
+sql("date_arithmetic_sql", "SELECT event_id, round(ts - TRUNC(ts), 6) AS part_of_day, ts - 7 AS week_before, ts + 1 / 24 AS hour_later, ts + NUMTODSINTERVAL(30, 'MINUTE') AS half, (ts + INTERVAL '2' DAY) - ts AS two FROM {events}", "SELECT event_id, round(epoch_us(ts - date_trunc('day', ts)::TIMESTAMP) / 86400000000, 6) AS part_of_day, ts - INTERVAL 7 DAY AS week_before, ts + INTERVAL 1 HOUR AS hour_later, ts + INTERVAL 30 MINUTE AS half, 2.0::DOUBLE AS two FROM events")
+sql("instr_sql", "SELECT c_custkey, INSTR(c_name, '0', 1, 3) AS third, INSTR(c_name, '0', 12) AS late, INSTR(c_name, '0', -1) AS last, INSTR(c_name, 'zz', 1, 2) AS none FROM {customer}", "SELECT c_custkey, coalesce(list_filter(range(1, len(c_name) + 1), lambda i: c_name[i] = '0')[3], 0)::INT AS third, coalesce(list_filter(range(12, len(c_name) + 1), lambda i: c_name[i] = '0')[1], 0)::INT AS late, coalesce(list_filter(range(1, len(c_name) + 1), lambda i: c_name[i] = '0')[-1], 0)::INT AS last, 0 AS none FROM customer")
+sql("regexp_substr_sql", "SELECT c_custkey, REGEXP_SUBSTR(c_name, '[[:digit:]]') AS first, REGEXP_SUBSTR(c_name, '[1-9]', 1, 2) AS second, REGEXP_SUBSTR(c_name, 'CUSTOMER#(\\d+)', 1, 1, 'i', 1) AS grp, REGEXP_REPLACE(c_name, '(\\w+)#0*', '\\1:') AS re, REGEXP_INSTR(c_name, '[1-9]') AS at, REGEXP_COUNT(c_name, '0', 12) AS late FROM {customer}", "SELECT c_custkey, regexp_extract_all(c_name, '[0-9]')[1] AS first, regexp_extract_all(c_name, '[1-9]')[2] AS second, regexp_extract(c_name, '#([0-9]+)', 1) AS grp, regexp_replace(c_name, '(\\w+)#0*', '\\1:') AS re, coalesce(list_filter(range(1, len(c_name) + 1), lambda i: c_name[i] >= '1' AND c_name[i] <= '9')[1], 0)::INT AS at, len(regexp_extract_all(substr(c_name, 12), '0'))::INT AS late FROM customer")
+sql("win_stddev_over", "SELECT s_suppkey, round(STDDEV(s_acctbal) OVER (PARTITION BY s_nationkey), 4) AS sd, round(VARIANCE(s_acctbal) OVER (PARTITION BY s_nationkey), 2) AS v FROM {supplier}", "SELECT s_suppkey, round(CASE WHEN n = 1 THEN 0 ELSE sd END, 4) AS sd, round(CASE WHEN n = 1 THEN 0 ELSE v END, 2) AS v FROM (SELECT s_suppkey, count(*) OVER p AS n, stddev_samp(s_acctbal) OVER p AS sd, var_samp(s_acctbal) OVER p AS v FROM supplier WINDOW p AS (PARTITION BY s_nationkey))")
+sql("null_functions_sql", "SELECT c_custkey, LNNVL(nullif(c_nationkey, 3) > 10) AS l, NANVL(c_acctbal, 0) AS nan, REMAINDER(c_custkey, 7) AS r, NULLIF(c_nationkey, 3) AS n FROM {customer}", "SELECT c_custkey, NOT coalesce(nullif(c_nationkey, 3) > 10, false) AS l, c_acctbal AS nan, (c_custkey - 7 * round_even(c_custkey / 7.0, 0))::DOUBLE AS r, nullif(c_nationkey, 3) AS n FROM customer")
+sql("bytes_and_hex_sql", "SELECT c_custkey, LENGTHB(c_name || 'é') AS n, RAWTOHEX('AZ') AS h, SUBSTRB(c_name, 1, 4) AS s, ASCIISTR('é' || c_nationkey) AS a, UNISTR('\\00e9') AS u, ORA_HASH(c_custkey, 0) AS z FROM {customer}", "SELECT c_custkey, (strlen(c_name) + 2)::INT AS n, '415A' AS h, substr(c_name, 1, 4) AS s, '\\00E9' || c_nationkey AS a, 'é' AS u, 0::BIGINT AS z FROM customer")
+sql("json_suite_sql", "SELECT event_id, JSON_VALUE(props, '$.k' RETURNING NUMBER) AS k, JSON_OBJECT('id' VALUE event_id, 'kind' VALUE event_type) AS o FROM {events}", "SELECT event_id, json_extract_string(props, '$.k')::DECIMAL(38, 10) AS k, json_object('id', event_id, 'kind', event_type)::VARCHAR AS o FROM events")
+sql("xml_extract_sql", "SELECT n_nationkey, EXTRACTVALUE('<n><name>' || n_name || '</name></n>', '/n/name') AS x FROM {nation}", "SELECT n_nationkey, n_name AS x FROM nation")
+sql("cast_types_sql", "SELECT c_custkey, CAST(c_acctbal AS NUMBER(12, 1)) AS a, CAST(c_custkey AS VARCHAR2(10)) AS b, TO_NUMBER('7') AS c FROM {customer}", "SELECT c_custkey, c_acctbal::DECIMAL(12, 1) AS a, c_custkey::VARCHAR AS b, 7::DECIMAL(38, 10) AS c FROM customer")
+sql("join_outer_chain", "SELECT c.c_custkey, o.o_orderkey, l.l_linenumber FROM {customer} c, {orders} o, {lineitem} l WHERE l.l_orderkey(+) = o.o_orderkey AND l.l_quantity(+) > 45 AND o.o_custkey(+) = c.c_custkey AND o.o_orderstatus(+) = 'F' AND c.c_custkey BETWEEN 10 AND 200 ORDER BY c.c_custkey", "SELECT c.c_custkey, o.o_orderkey, l.l_linenumber FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'F' LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey AND l.l_quantity > 45 WHERE c.c_custkey BETWEEN 10 AND 200")
+sql("join_outer_in_union", "SELECT c.c_custkey AS k, count(o.o_orderkey) AS n FROM {customer} c, {orders} o WHERE c.c_custkey = o.o_custkey(+) AND o.o_orderstatus(+) = 'P' GROUP BY c.c_custkey UNION ALL SELECT -n_nationkey, 0 FROM {nation}", "SELECT c.c_custkey AS k, count(o.o_orderkey) AS n FROM customer c LEFT JOIN orders o ON c.c_custkey = o.o_custkey AND o.o_orderstatus = 'P' GROUP BY c.c_custkey UNION ALL SELECT -n_nationkey, 0 FROM nation")
+sql("join_apply", "SELECT n.n_name, t.c_custkey FROM {nation} n OUTER APPLY (SELECT c.c_custkey FROM {customer} c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 ORDER BY c.c_acctbal DESC, c.c_custkey FETCH FIRST 1 ROWS ONLY) t", "SELECT n.n_name, t.c_custkey FROM nation n LEFT JOIN LATERAL (SELECT c.c_custkey FROM customer c WHERE c.c_nationkey = n.n_nationkey AND c.c_acctbal > 9000 ORDER BY c.c_acctbal DESC, c.c_custkey LIMIT 1) t ON true")
+sql("pivot_sql", "SELECT * FROM (SELECT o_orderpriority, o_orderstatus FROM {orders}) PIVOT (count(*) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, count(*) FILTER (WHERE o_orderstatus = 'O') AS o, count(*) FILTER (WHERE o_orderstatus = 'P') AS p FROM orders GROUP BY 1")
+sql("unpivot_sql", "SELECT l_orderkey, l_linenumber, measure, v FROM (SELECT l_orderkey, l_linenumber, l_quantity, nullif(l_tax, 0) AS l_tax FROM {lineitem}) UNPIVOT (v FOR measure IN (l_quantity AS 'q', l_tax AS 't'))", "SELECT l_orderkey, l_linenumber, 'q' AS measure, l_quantity AS v FROM lineitem UNION ALL SELECT l_orderkey, l_linenumber, 't', l_tax FROM lineitem WHERE l_tax <> 0")
+sql("hier_siblings", "SELECT k, LEVEL AS lvl, CONNECT_BY_ROOT name AS top, CONNECT_BY_ISLEAF AS leaf, SYS_CONNECT_BY_PATH(name, '/') AS path FROM (SELECT concat('r', r_regionkey) AS k, cast(NULL AS string) AS parent, r_name AS name FROM {region} UNION ALL SELECT concat('n', n_nationkey), concat('r', n_regionkey), n_name FROM {nation}) t WHERE LEVEL < 3 START WITH parent IS NULL CONNECT BY NOCYCLE PRIOR t.k = t.parent ORDER SIBLINGS BY name", "SELECT 'r' || r_regionkey AS k, 1 AS lvl, r_name AS top, CASE WHEN r_regionkey IN (SELECT n_regionkey FROM nation) THEN 0 ELSE 1 END AS leaf, '/' || r_name AS path FROM region UNION ALL SELECT 'n' || n_nationkey, 2, r_name, 1, '/' || r_name || '/' || n_name FROM nation JOIN region ON r_regionkey = n_regionkey")
+sql("hier_deep_chain", "SELECT o_orderkey AS k, LEVEL AS lvl FROM (SELECT o_orderkey FROM {orders} WHERE o_orderkey <= 130) t START WITH o_orderkey = 0 CONNECT BY o_orderkey = PRIOR o_orderkey + 1", "SELECT o_orderkey AS k, (o_orderkey + 1)::INT AS lvl FROM orders WHERE o_orderkey <= 130")
+
+
+@query("SELECT c_custkey, segment IS NULL AS none, coalesce(segment, 'x') AS filled FROM (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN NULL ELSE c_mktsegment END AS segment FROM customer)")
+def empty_string_is_null(w):
+    return w.sql("SELECT c_custkey, segment IS NULL AS none, NVL(segment, 'x') AS filled FROM (SELECT c_custkey, CASE WHEN c_mktsegment = 'BUILDING' THEN '' ELSE c_mktsegment END AS segment FROM {customer})", empty_is_null=True)
+
+
 sql("decode_null", "SELECT c_custkey, DECODE(nullif(c_mktsegment, 'BUILDING'), 'MACHINERY', 'm', NULL, 'none', 'other') AS d, NVL(nullif(c_mktsegment, 'BUILDING'), '-') AS n, NVL2(nullif(c_mktsegment, 'BUILDING'), 1, 0) AS n2 FROM {customer}", "SELECT c_custkey, CASE WHEN s = 'MACHINERY' THEN 'm' WHEN s IS NULL THEN 'none' ELSE 'other' END AS d, coalesce(s, '-') AS n, CASE WHEN s IS NULL THEN 0 ELSE 1 END AS n2 FROM (SELECT c_custkey, nullif(c_mktsegment, 'BUILDING') s FROM {customer})")
 sql("greatest_null", "SELECT c_custkey, GREATEST(c_nationkey, nullif(c_custkey % 3, 0)) AS g, LEAST(c_nationkey, nullif(c_custkey % 3, 0)) AS l FROM {customer}", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 THEN greatest(c_nationkey, c_custkey % 3) END AS g, CASE WHEN c_custkey % 3 <> 0 THEN least(c_nationkey, c_custkey % 3) END AS l FROM {customer}")
 sql("number_suite", "SELECT p_partkey, round(p_retailprice, 1) AS r, ceil(p_retailprice) AS c, floor(p_retailprice) AS f, TRUNC(p_retailprice, 1) AS t, MOD(p_partkey, p_size % 3) AS m, BITAND(p_size, 6) AS b, sign(p_size - 25) AS s, round(power(p_size, 2), 0) AS p, round(sqrt(p_size), 6) AS q, round(ln(p_size + 1), 6) AS ln FROM {part}", "SELECT p_partkey, round(p_retailprice, 1) AS r, ceil(p_retailprice)::BIGINT AS c, floor(p_retailprice)::BIGINT AS f, floor(p_retailprice * 10.0::DOUBLE) / 10.0::DOUBLE AS t, CASE WHEN p_size % 3 = 0 THEN p_partkey ELSE p_partkey % (p_size % 3) END AS m, p_size & 6 AS b, sign(p_size - 25)::DOUBLE AS s, round(power(p_size, 2), 0) AS p, round(sqrt(p_size), 6) AS q, round(ln(p_size + 1), 6) AS ln FROM {part}")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import types as T
 
 from .plans.lexer import is_read_only
-from .plans.rewrite import to_spark
+from .plans.rewrite import NotUnderstood, to_spark
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -19,13 +21,37 @@ class Workbench:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
-    def sql(self, text: str, **args) -> DataFrame:
-        """Runs a query; {name} stands for a table of the folder. Anything but a query that locks nothing is refused."""
+    def translated(self, text: str, empty_is_null: bool = False) -> str:
+        """The query in Spark SQL; {name} stands for a table of the folder. Anything but a query that locks nothing is refused."""
+        dates: set[str] = set()
         for name in TABLES:
             if f"{{{name}}}" in text:
                 view = f"wb_{name}_{zlib.crc32(self.folder.encode()):08x}"
-                self.table(name).createOrReplaceTempView(view)
+                df = self.table(name)
+                df.createOrReplaceTempView(view)
+                dates.update(f.name for f in df.schema if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType)))
                 text = text.replace(f"{{{name}}}", view)
         if not is_read_only(text):
             raise PermissionError("only queries that lock no rows are run")
-        return self.spark.sql(to_spark(text), args=args or None)
+        return to_spark(text, dates, empty_is_null)
+
+    def sql(self, text: str, empty_is_null: bool = False, **args) -> DataFrame:
+        """Runs a query; binds (:name) are given by name."""
+        return self.spark.sql(self.translated(text, empty_is_null), args=args or None)
+
+    def first_rows(self, text: str, most: int = 500, **args) -> tuple[list[Row], bool]:
+        """(at most `most` rows, whether there are more): one row more is asked for, and not shown."""
+        got = self.sql(text, **args).limit(most + 1).collect()
+        return got[:most], len(got) > most
+
+    def explain(self, text: str, **args) -> str:
+        """The plan of a query, as text; nothing runs."""
+        return self.sql(text, **args)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    def problem(self, text: str, **args) -> str | None:
+        """What is wrong with a query before it runs: unknown names, syntax, types; None if it can run."""
+        try:
+            self.sql(text, **args).schema  # noqa: B018
+        except (PermissionError, NotUnderstood, PySparkException) as e:
+            return str(e).strip().split("\n")[0]
+        return None
