@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,9 +32,85 @@ def definition_key(c: str) -> Column:
 
 
 def source_hash(lines: DataFrame, unit: str, line: str, text: str) -> DataFrame:
-    """(unit, n_lines, source_hash): trailing blanks don't count, the order of lines does."""
-    one = F.xxhash64(F.col(line), F.rtrim(F.col(text))).cast("decimal(38,0)")
-    return lines.groupBy(unit).agg(F.count("*").alias("n_lines"), F.sum(one).alias("source_hash"))
+    """(unit, n_lines, source_hash): trailing blanks don't count, the order of lines does. A sum over lines, so that no task holds a source."""
+    one = F.conv(F.substring(F.md5(F.concat_ws(":", F.col(line).cast("string"), F.rtrim(F.coalesce(F.col(text), F.lit(""))))), 1, 15), 16, 10).cast("decimal(38,0)")
+    return lines.groupBy(unit).agg(F.count("*").alias("n_lines"), F.sum(one).cast("string").alias("source_hash"))
+
+
+def join_conditions(columns: DataFrame, keys: DataFrame) -> DataFrame:
+    """(child, parent, condition): joins that column names suggest. `columns` is of `columns_of`, `keys` has (table_name, column_name) of one-column keys;
+    a column of another table refers to a key of the same name after its table's prefix, if it isn't its own table's key.
+    """
+    bare = F.regexp_replace("column_name", "^[a-z]+_", "")
+    parent = keys.select(F.col("table_name").alias("parent"), F.col("column_name").alias("pk"), bare.alias("_bare")).distinct()
+    child = columns.select(F.col("table_name").alias("child"), F.col("column_name").alias("fk"), bare.alias("_name"))
+    return child.join(parent, F.col("_name") == F.col("_bare")).filter("child <> parent").select("child", "parent", F.concat("fk", F.lit(" = "), "pk").alias("condition"))
+
+
+def rewrite_owner(text: Column, old: str, new: str) -> Column:
+    """Code with `old.` as an owner of names replaced, whole words only, quoted or not."""
+    name = re.escape(old)
+    return F.regexp_replace(text, rf'(?i)(?<![\w$#."]){name}(?=\s*\.)|"{name}"(?=\s*\.)', new.replace("\\", "\\\\").replace("$", "\\$"))
+
+
+def column_usage(column: str, lines: DataFrame, uses: DataFrame, synonyms: DataFrame, table: str) -> DataFrame:
+    """(unit, how, line, text): the units that use a table directly or through a synonym, with the lines that name a column; units that name it nowhere stand once, with null.
+
+    lines: (unit, line, text); uses: (unit, name); synonyms: (synonym, table_name).
+    """
+    names = synonyms.filter(F.upper("table_name") == table.upper()).select(F.upper("synonym").alias("_name"), F.lit("synonym").alias("how"))
+    names = names.unionByName(uses.sparkSession.createDataFrame([(table.upper(), "direct")], "_name string, how string"))
+    users = uses.join(names, F.upper("name") == F.col("_name")).groupBy("unit").agg(F.min("how").alias("how"))
+    word = rf"(?i)(?<![\w$#]){re.escape(column)}(?![\w$#])"
+    said = lines.filter(F.col("text").rlike(word)).select(F.col("unit").alias("_u"), "line", "text")
+    return users.join(said, F.col("unit") == F.col("_u"), "left").select("unit", "how", "line", "text")
+
+
+def dependencies(name: str, uses: DataFrame, synonyms: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    """(direction, object, hows): what uses an object (directly, through a synonym, by a foreign key) and what it uses, once each with all the ways.
+
+    uses: (unit, name); synonyms: (synonym, table_name); foreign_keys: (child, parent).
+    """
+    up = lambda c: F.upper(F.col(c))
+    own = name.upper()
+    alias = synonyms.filter(up("table_name") == own).select(up("synonym").alias("_s")).distinct()
+    rows = uses.filter(up("name") == own).select(F.lit("used_by").alias("direction"), F.col("unit").alias("object"), F.lit("direct").alias("how"))
+    rows = rows.unionByName(uses.join(alias, up("name") == F.col("_s"), "left_semi").select(F.lit("used_by").alias("direction"), F.col("unit").alias("object"), F.lit("synonym").alias("how")))
+    rows = rows.unionByName(foreign_keys.filter(up("parent") == own).select(F.lit("used_by").alias("direction"), F.col("child").alias("object"), F.lit("foreign key").alias("how")))
+    rows = rows.unionByName(uses.filter(up("unit") == own).select(F.lit("uses").alias("direction"), F.col("name").alias("object"), F.lit("direct").alias("how")))
+    rows = rows.unionByName(foreign_keys.filter(up("child") == own).select(F.lit("uses").alias("direction"), F.col("parent").alias("object"), F.lit("foreign key").alias("how")))
+    return rows.groupBy("direction", "object").agg(F.array_join(F.sort_array(F.collect_set("how")), ",").alias("hows"))
+
+
+def resolve_synonyms(names: DataFrame, synonyms: DataFrame, most: int = 8) -> DataFrame:
+    """Adds `target` to names (name): what it stands for after at most `most` synonyms (synonym, table_name); itself if it is none, null in a cycle or beyond."""
+    links = synonyms.select(F.col("synonym").alias("_s"), F.col("table_name").alias("_t")).dropDuplicates(["_s"])
+    now = names.withColumn("target", F.col("name"))
+    for _ in range(most):
+        now = now.join(links, F.col("target") == F.col("_s"), "left").withColumn("target", F.coalesce("_t", "target")).drop("_s", "_t")
+    still = now.join(links, F.col("target") == F.col("_s"), "left")
+    return still.withColumn("target", F.when(F.col("_s").isNull(), F.col("target"))).drop("_s", "_t")
+
+
+#: The order in which kinds of objects are changed by a script, and undone.
+SCRIPT_ORDER = ("sequence", "table", "column", "index", "primary key", "unique", "check", "view", "code", "foreign key")
+
+
+def script_order(kind: Column) -> Column:
+    """Where a kind stands in a script; unknown kinds come last."""
+    place = F.array_position(F.array(*[F.lit(k) for k in SCRIPT_ORDER]), F.lower(kind))
+    return F.when(place > 0, place).otherwise(len(SCRIPT_ORDER) + 1).cast("int")
+
+
+def normal_default(text: Column) -> Column:
+    """A default's text without outer blanks, upper-case outside quotes."""
+    parts = F.split(F.trim(text), "'")
+    return F.array_join(F.transform(parts, lambda p, i: F.when(i % 2 == 0, F.upper(p)).otherwise(p)), "'")
+
+
+def normal_view(text: Column) -> Column:
+    """A view's text to compare: upper-case, lines without trailing blanks."""
+    return F.trim(F.regexp_replace(F.upper(text), r"[ \t\r]+(?=\n|$)", ""))
 
 
 def search(df: DataFrame, words: list[str], name: str, columns: str) -> DataFrame:
@@ -64,6 +141,6 @@ def sync_script(compared: DataFrame, columns: DataFrame) -> DataFrame:
 
 def used_in_lines(lines: DataFrame, word: str, text: str = "text") -> DataFrame:
     """Lines that hold a whole word, and whether only in a comment."""
-    whole = rf"(?i)(?<![\w$#]){word}(?![\w$#])"
+    whole = rf"(?i)(?<![\w$#]){re.escape(word)}(?![\w$#])"
     code = F.regexp_replace(F.col(text), "--.*$", "")
     return lines.filter(F.col(text).rlike(whole)).withColumn("only_comment", ~code.rlike(whole))

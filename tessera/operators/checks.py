@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +41,20 @@ def transitions(df: DataFrame, entity: str, order: list[str], state: str, allowe
     return steps.filter(~good)
 
 
-def outcome(violations: DataFrame, name: str, most: int = 50) -> DataFrame:
-    """(check_name, passed, violations) and nothing of the rows; `violations` itself is the sample."""
+def outcome(violations: DataFrame, name: str) -> DataFrame:
+    """(check_name, passed, violations): passed with no rows."""
     return violations.agg(F.count("*").alias("violations")).select(F.lit(name).alias("check_name"), (F.col("violations") == 0).alias("passed"), "violations")
+
+
+def run_check(violations: DataFrame, name: str, most: int = 50) -> tuple[bool, str, list]:
+    """(passed, how many rows break the rule, a sample): one row more than the sample (1 to 500 rows) is read, and a `+` says that there are more."""
+    most = min(max(most, 1), 500)
+    got = violations.limit(most + 1).collect()
+    return not got, f"{min(len(got), most)}{'+' * (len(got) > most)}", got[:most]
+
+
+def phrases(text: Column, must: list[str], must_not: list[str]) -> Column:
+    """Whether a text has all of some phrases (`a|b`: one of them) and none of others, whatever the case."""
+    low = F.lower(text)
+    one_of = lambda m: reduce(lambda a, b: a | b, [low.contains(x.lower()) for x in m.split("|")])
+    return reduce(lambda a, b: a & b, [one_of(m) for m in must] + [~low.contains(m.lower()) for m in must_not], F.lit(True))

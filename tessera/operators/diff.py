@@ -16,26 +16,47 @@ def common_columns(a: DataFrame, b: DataFrame) -> tuple[list[str], list[str], li
 
 
 def diff_rows(a: DataFrame, b: DataFrame, keys: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
-    """status (same, chg, add, del), the keys, the values on either side as structs, and the names of changed columns.
+    """status (same, chg, add, del), the keys, their ordinal, the values on either side as structs, and the names of changed columns.
 
-    Rows of one key are paired in `order` (all columns, if none is given). Null equals null. Without keys all common columns are the key. Sides
-    meet in one full join on typed keys; a group without duplicates costs no more than the join.
+    Null equals null. Without keys all common columns are the key, and rows are matched by how often they occur. Both sides meet in one aggregation by
+    key; only the rows of keys that a side has several times are numbered, in `order` (all columns, if none is given), and joined.
     """
     both, _, _ = common_columns(a, b)
     keys = keys or both
     rest = [c for c in both if c not in keys]
+    values = F.struct(*[F.col(c) for c in both])
+    none = F.lit(None).cast(a.select(values.alias("v")).schema["v"].dataType)
+    sides = a.select(*both).select(*keys, values.alias("a"), none.alias("b")).unionByName(b.select(*both).select(*keys, none.alias("a"), values.alias("b")))
+    met = sides.groupBy(*keys).agg(F.count("a").alias("n_a"), F.count("b").alias("n_b"), F.any_value("a", True).alias("a"), F.any_value("b", True).alias("b"))
+    if not rest:
+        rows = met.withColumn("ordinal", F.explode(F.sequence(F.lit(1).cast("long"), F.greatest("n_a", "n_b"))))
+        rows = rows.withColumn("a", F.when(F.col("ordinal") <= F.col("n_a"), F.col("a"))).withColumn("b", F.when(F.col("ordinal") <= F.col("n_b"), F.col("b")))
+        return _told(rows, keys, rest)
+    once = met.filter("n_a <= 1 AND n_b <= 1").withColumn("ordinal", F.lit(1).cast("long"))
+    many = met.filter("n_a > 1 OR n_b > 1").select(*[F.col(k).alias(f"_k_{k}") for k in keys])
     pair = Window.partitionBy(*keys).orderBy(*(order or both))
 
     def side(df, name):
-        df = df.select(*both).withColumn("_n", F.row_number().over(pair))
-        return df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("_n").alias(f"{name}_n"), F.struct(*[F.col(c) for c in both]).alias(name))
+        mine = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+        df = df.select(*both).join(many, mine, "left_semi").withColumn("_n", F.row_number().over(pair).cast("long"))
+        return df.select(*[F.col(k).alias(f"{name}_{k}") for k in keys], F.col("_n").alias(f"{name}_n"), values.alias(name))
 
-    left, right = side(a, "a"), side(b, "b")
     on = reduce(lambda x, y: x & y, [F.col(f"a_{k}").eqNullSafe(F.col(f"b_{k}")) for k in keys] + [F.col("a_n") == F.col("b_n")])
-    changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in rest])) if rest else F.array().cast("array<string>")
-    out = left.join(right, on, "full")
-    status = F.when(F.col("a_n").isNull(), "add").when(F.col("b_n").isNull(), "del").when(F.size(changed) > 0, "chg").otherwise("same")
-    return out.select(status.alias("status"), *[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], F.coalesce("a_n", "b_n").alias("ordinal"), "a", "b", F.when(status == "chg", changed).otherwise(F.array().cast("array<string>")).alias("changed"))
+    several = side(a, "a").join(side(b, "b"), on, "full").select(*[F.coalesce(f"a_{k}", f"b_{k}").alias(k) for k in keys], F.coalesce("a_n", "b_n").alias("ordinal"), "a", "b")
+    return _told(once.select(*keys, "ordinal", "a", "b").unionByName(several), keys, rest)
+
+
+def _told(rows: DataFrame, keys: list[str], rest: list[str]) -> DataFrame:
+    none = F.array().cast("array<string>")
+    changed = F.array_compact(F.array(*[F.when(~F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")), F.lit(c)) for c in rest])) if rest else none
+    status = F.when(F.col("a").isNull(), "add").when(F.col("b").isNull(), "del").when(F.size(changed) > 0, "chg").otherwise("same")
+    return rows.select(status.alias("status"), *keys, F.col("ordinal").cast("int").alias("ordinal"), "a", "b", F.when(status == "chg", changed).otherwise(none).alias("changed"))
+
+
+def worth_comparing(a: DataFrame, b: DataFrame) -> bool:
+    """Whether two results share at least half of the wider one's columns."""
+    both, _, _ = common_columns(a, b)
+    return bool(both) and 2 * len(both) >= max(len(a.columns), len(b.columns))
 
 
 def diff_counts(rows: DataFrame) -> DataFrame:

@@ -116,3 +116,49 @@ def tile(target: DataFrame, row: str, values: list) -> DataFrame:
 def distinct_values(df: DataFrame, column: str, position: str) -> DataFrame:
     """(value, first_seen) with null as a value of its own."""
     return df.groupBy(F.col(column).alias("value")).agg(F.min(position).alias("first_seen"))
+
+
+def text_order(column: str, language: str = "UNICODE") -> Column:
+    """Text in the order of a language instead of its bytes."""
+    return F.collate(F.col(column), language)
+
+
+#: What a click on a column's head does to its order, one after the other.
+SORT_CYCLE = {None: "asc", "asc": "desc", "desc": None}
+
+
+def sorted_by(df: DataFrame, orders: dict[str, str | None], position: list[str]) -> DataFrame:
+    """The rows by the columns that have an order, nulls last, ties by the original position."""
+    keys = [F.col(c).desc_nulls_last() if o == "desc" else F.col(c).asc_nulls_last() for c, o in orders.items() if o]
+    return df.orderBy(*keys, *position)
+
+
+def top_names(names: DataFrame, name: str, asked: str, most: int) -> DataFrame:
+    """The names that answer best what was typed: a top-k by score and name."""
+    from .catalog import name_score
+
+    return names.withColumn("score", name_score(F.col(name), asked)).filter("score > 0").orderBy(F.col("score").desc(), name).limit(most)
+
+
+def paste(cells: DataFrame, height: int, width: int, box: tuple[int, int, int, int], n_rows: int, n_cols: int) -> tuple[DataFrame, int, int]:
+    """(cells (r, c, v) to put, rows cut off, columns cut off) for copied cells (r, c, v) of a range of `height` by `width`, pasted to a box (r0, r1, c0, c1).
+
+    One cell fills the box; a box of a whole multiple of the range is tiled; else the range is put at the box's corner, cut at the end of the grid.
+    """
+    r0, r1 = sorted(box[:2])
+    c0, c1 = sorted(box[2:])
+    tall, broad = r1 - r0 + 1, c1 - c0 + 1
+    single = height == width == 1
+    if single or ((tall > height or broad > width) and tall % height == 0 and broad % width == 0):
+        times = lambda n, size: F.explode(F.sequence(F.lit(0), F.lit(n // size - 1)))
+        tiled = cells.withColumn("_a", times(tall, height)).withColumn("_b", times(broad, width))
+        put = tiled.select((F.col("r") + r0 + F.col("_a") * height).alias("r"), (F.col("c") + c0 + F.col("_b") * width).alias("c"), "v")
+        return put.filter((F.col("r") < n_rows) & (F.col("c") < n_cols)), 0, 0
+    put = cells.select((F.col("r") + r0).alias("r"), (F.col("c") + c0).alias("c"), "v").filter((F.col("r") < n_rows) & (F.col("c") < n_cols))
+    return put, max(0, r0 + height - n_rows), max(0, c0 + width - n_cols)
+
+
+def fill_cells(cells: DataFrame) -> DataFrame:
+    """Chosen cells (r, c, v): in each column the topmost one's value for all the others."""
+    first = cells.groupBy("c").agg(F.min(F.struct("r", "v")).alias("top"))
+    return cells.select("r", "c").join(first.select("c", "top"), "c").filter(F.col("r") > F.col("top.r")).select("r", "c", F.col("top.v").alias("v"))

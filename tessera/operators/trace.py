@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,3 +34,33 @@ def possible_writes(target: DataFrame, source: DataFrame, key: list[str], when=N
         same = same & F.col(c).eqNullSafe(F.col(f"_t_{c}"))
     state = F.when(F.col("_there"), "present").otherwise("missing")
     return asked.join(have.withColumn("_there", F.lit(True)), same, "left").select(*key, state.alias("state"))
+
+
+def condition_flags(df: DataFrame, conditions: dict[str, Column]) -> DataFrame:
+    """The rows with a column for each condition: O where it holds, X where it doesn't or isn't known."""
+    return df.select("*", *[F.when(c, "O").otherwise("X").alias(name) for name, c in conditions.items()])
+
+
+def join_survival(start: DataFrame, name: str, joins: list[tuple[str, DataFrame, Column]]) -> DataFrame:
+    """(step, joined, n): how many rows stand after each join, one more table at a time. One job counts all steps."""
+    now = start
+    out = now.agg(F.count("*").alias("n")).select(F.lit(1).alias("step"), F.lit(name).alias("joined"), "n")
+    for step, (table, other, on) in enumerate(joins, 2):
+        now = now.join(other, on)
+        out = out.unionByName(now.agg(F.count("*").alias("n")).select(F.lit(step).alias("step"), F.lit(table).alias("joined"), "n"))
+    return out
+
+
+def recomputed(df: DataFrame, keys: list[str], amount: Column, digits: int = 2) -> DataFrame:
+    """The sum of an amount by key, exact if it is decimal."""
+    return df.groupBy(*keys).agg(F.round(F.sum(amount), digits).cast("double").alias("recomputed"))
+
+
+#: How a writer's value compares with the stored one, best first.
+REPRODUCED = ("same", "differs", "no rows", "failed")
+
+
+def by_outcome(writers: DataFrame, outcome: str = "outcome") -> DataFrame:
+    """Writers in order of how well they reproduce a value."""
+    place = F.array_position(F.array(*[F.lit(x) for x in REPRODUCED]), F.col(outcome))
+    return writers.orderBy(F.when(place > 0, place).otherwise(len(REPRODUCED) + 1), *[c for c in writers.columns if c != outcome])

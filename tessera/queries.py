@@ -212,10 +212,8 @@ sql("join_outer_mark", "SELECT c.c_custkey, o.o_orderkey FROM {customer} c, {ord
 @query("SELECT * FROM (VALUES ('customer', 'nation', 'c_nationkey = n_nationkey'), ('lineitem', 'orders', 'l_orderkey = o_orderkey'), ('lineitem', 'part', 'l_partkey = p_partkey'), ('lineitem', 'supplier', 'l_suppkey = s_suppkey'), ('nation', 'region', 'n_regionkey = r_regionkey'), ('orders', 'customer', 'o_custkey = c_custkey'), ('supplier', 'nation', 's_nationkey = n_nationkey')) t(child, parent, condition)")
 def fk_join_inference(w):
     tables = "region nation customer supplier part orders lineitem".split()
-    cols = catalog.columns_of(w.spark, {t: w.table(t) for t in tables}).withColumn("bare", F.regexp_replace("column_name", "^[a-z]+_", ""))
-    parent = cols.filter("position = 1 AND table_name <> 'lineitem'").select(F.col("table_name").alias("parent"), F.col("column_name").alias("pk"), "bare")
-    child = cols.select(F.col("table_name").alias("child"), F.col("column_name").alias("fk"), "bare")
-    return child.join(parent, "bare").filter("child <> parent").select("child", "parent", F.concat("fk", F.lit(" = "), "pk").alias("condition"))
+    cols = catalog.columns_of(w.spark, {t: w.table(t) for t in tables})
+    return catalog.join_conditions(cols, cols.filter("position = 1 AND table_name <> 'lineitem'"))
 
 
 # --- aggregates ---
@@ -398,13 +396,83 @@ def merge_check_dup_insert_key(w):
 sql("dml_affected_count", "SELECT count(*) AS n FROM {orders} WHERE o_orderstatus = 'F' AND o_totalprice < 50000")
 
 
-@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0 OR o_orderkey % 6 = 0 UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderkey % 1000 = 1")
-def grid_apply_changes(w):
+def _changes(w):
+    """Updates, deletes, inserts, and some of each that must be refused."""
     o = w.table("orders").select("o_orderkey", "o_orderstatus")
     changes = o.filter("o_orderkey % 6 = 0").select("o_orderkey", F.lit("X").alias("o_orderstatus"), F.lit("update").alias("op"))
     changes = changes.union(o.filter("o_orderkey % 10 = 0 AND o_orderkey % 6 <> 0").withColumn("op", F.lit("delete")))
     changes = changes.union(o.filter("o_orderkey % 1000 = 1").select(-F.col("o_orderkey"), F.lit("N"), F.lit("insert")))
-    return move.apply_changes(o, changes, ["o_orderkey"])
+    changes = changes.union(o.filter("o_orderkey % 100 = 7").select(F.col("o_orderkey") + 10**9, F.lit("Y"), F.lit("update")))
+    return o, changes.union(o.filter("o_orderkey % 100 = 9").withColumn("op", F.lit("insert")))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 THEN 'X' ELSE o_orderstatus END AS o_orderstatus FROM orders WHERE o_orderkey % 10 <> 0 OR o_orderkey % 6 = 0 UNION ALL SELECT -o_orderkey, 'N' FROM orders WHERE o_orderkey % 1000 = 1")
+def grid_apply_changes(w):
+    return move.apply_changes(*_changes(w), ["o_orderkey"])[0]
+
+
+@query("SELECT o_orderkey + 1000000000 AS o_orderkey, 'update' AS op, 'missing' AS reason FROM orders WHERE o_orderkey % 100 = 7 UNION ALL SELECT o_orderkey, 'insert', 'exists' FROM orders WHERE o_orderkey % 100 = 9")
+def grid_change_rejects(w):
+    return move.apply_changes(*_changes(w), ["o_orderkey"])[1].select("o_orderkey", "op", "reason")
+
+
+_COPY = "t AS (SELECT c_custkey, c_name, c_nationkey, NULL::VARCHAR AS note FROM customer WHERE c_custkey % 3 = 0), s AS (SELECT c_custkey, c_name || '!' AS c_name, CASE WHEN c_custkey % 50 = 1 THEN 'n/a' ELSE c_nationkey::VARCHAR END AS c_nationkey FROM customer WHERE c_custkey % 2 = 1)"
+
+
+def _copy(w):
+    c = w.table("customer").select("c_custkey", "c_name", "c_nationkey")
+    source = c.filter("c_custkey % 2 = 1").select("c_custkey", F.concat("c_name", F.lit("!")).alias("c_name"), F.when(F.col("c_custkey") % 50 == 1, "n/a").otherwise(F.col("c_nationkey").cast("string")).alias("c_nationkey"))
+    return source, c.filter("c_custkey % 3 = 0").withColumn("note", F.lit(None).cast("string"))
+
+
+@query(f"WITH {_COPY} SELECT * FROM t UNION ALL SELECT c_custkey, c_name, c_nationkey::INT, NULL FROM s WHERE c_nationkey <> 'n/a' AND c_custkey > 5")
+def copy_append(w):
+    source, target = _copy(w)
+    return move.copy(source, target, move.plan_copy(source, target, condition="c_custkey > 5"), "c_custkey > 5")[0]
+
+
+@query(f"WITH {_COPY} SELECT c_custkey, 'c_nationkey' AS errors FROM s WHERE c_nationkey = 'n/a'")
+def copy_rejects(w):
+    source, target = _copy(w)
+    return move.copy(source, target, move.plan_copy(source, target))[1].select("c_custkey", F.array_join("errors", ",").alias("errors"))
+
+
+@query(f"WITH {_COPY} SELECT * FROM t WHERE NOT c_custkey > 50 UNION ALL SELECT c_custkey, c_name, c_nationkey::INT, NULL FROM s WHERE c_nationkey <> 'n/a' AND c_custkey > 50")
+def copy_replace(w):
+    source, target = _copy(w)
+    return move.copy(source, target, move.plan_copy(source, target, "replace", condition="c_custkey > 50"), "c_custkey > 50")[0]
+
+
+@query(f"WITH {_COPY}, g AS (SELECT * FROM s WHERE c_nationkey <> 'n/a') SELECT coalesce(g.c_custkey, t.c_custkey) AS c_custkey, coalesce(g.c_name, t.c_name) AS c_name, coalesce(g.c_nationkey::INT, t.c_nationkey) AS c_nationkey, t.note FROM t FULL JOIN g ON g.c_custkey = t.c_custkey")
+def copy_merge_typed(w):
+    source, target = _copy(w)
+    return move.copy(source, target, move.plan_copy(source, target, "merge", ["C_CUSTKEY"]))[0]
+
+
+@query("SELECT 'big' AS target, o_orderkey AS k FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'open', o_orderkey FROM orders WHERE o_totalprice <= 300000 AND o_orderstatus = 'O' UNION ALL SELECT 'rest', o_orderkey FROM orders WHERE o_totalprice <= 300000 AND o_orderstatus <> 'O'")
+def insert_first(w):
+    made = move.insert_branches(w.table("orders"), [("big", F.col("o_totalprice") > 300000, {"k": F.col("o_orderkey")}), ("open", F.col("o_orderstatus") == "O", {"k": F.col("o_orderkey")}), ("rest", None, {"k": F.col("o_orderkey")})], first=True)
+    out = [df.select(F.lit(t).alias("target"), "k") for t, df in made.items()]
+    return out[0].union(out[1]).union(out[2])
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n ELSE NULL END AS c_name FROM (SELECT c_custkey, n_name || '/' || c_custkey AS n FROM customer JOIN nation ON n_nationkey = c_nationkey)")
+def update_from_query(w):
+    c = w.table("customer").select("c_custkey", "c_name")
+    source = w.table("customer").filter("c_custkey % 2 = 0").join(w.table("nation"), F.col("n_nationkey") == F.col("c_nationkey")).select("c_custkey", F.concat_ws("/", "n_name", F.col("c_custkey").cast("string")).alias("c_name"))
+    return move.correlated_update(c, source, ["c_custkey"], ["c_name"])[0]
+
+
+@query("WITH t AS (SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 <> 0), s AS (SELECT c_custkey, c_acctbal - 5000 AS c_acctbal FROM customer WHERE c_custkey % 2 = 0) SELECT c_custkey, round(c_acctbal, 2) AS c_acctbal FROM (SELECT t.* FROM t ANTI JOIN s USING (c_custkey) UNION ALL SELECT s.* FROM s ANTI JOIN t USING (c_custkey) UNION ALL SELECT s.* FROM s SEMI JOIN t USING (c_custkey) WHERE NOT s.c_acctbal < 0)")
+def merge_with_delete(w):
+    c = w.table("customer").select("c_custkey", "c_acctbal")
+    out = move.merge_delete(c.filter("c_custkey % 3 <> 0"), c.filter("c_custkey % 2 = 0").withColumn("c_acctbal", F.col("c_acctbal") - 5000), ["c_custkey"], F.col("c_acctbal") < 0)
+    return out.withColumn("c_acctbal", F.round("c_acctbal", 2))
+
+
+@query("SELECT 'UPDATE nation SET n_name = ''' || n_name || ''', n_regionkey = ' || n_regionkey || ' WHERE n_nationkey = ' || n_nationkey || ';' AS line FROM nation WHERE n_regionkey = 1")
+def undo_update_script(w):
+    return move.undo_script(w.table("nation").filter("n_regionkey = 1"), "nation", ["n_nationkey"], "update")
 
 
 @query("SELECT user_id, max(event_id) AS event_id FROM events GROUP BY user_id")
@@ -434,10 +502,22 @@ def import_reject_split(w):
     return good.agg(F.count("*").alias("good")).join(bad.agg(F.count("*").alias("rejected")))
 
 
-@query("SELECT * FROM (VALUES ('iso', 'yyyy-MM-dd HH:mm:ss'), ('compact', 'yyyyMMdd')) t(name, format)")
+_FORMATTED = "SELECT strftime(ts, '%Y-%m-%d %H:%M:%S') AS a, strftime(ts, '%Y%m%d') AS b, strftime(ts, '%Y/%-m/%-d') AS c, strftime(ts, '%Y-%m-%d %-H:%M') AS d, strftime(ts, '%Y.%m.%d') AS e, strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS f FROM events"
+_GUESS = "SELECT '{0}' AS name, CASE WHEN bool_and(regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}$')) THEN 'YYYY-MM-DD HH24:MI:SS' WHEN bool_and(regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{1,2}}:[0-9]{{2}}:[0-9]{{2}}[.][0-9]+$')) THEN 'YYYY-MM-DD HH24:MI:SS.FF' WHEN bool_and(regexp_matches({0}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}} [0-9]{{1,2}}:[0-9]{{2}}$')) THEN 'YYYY-MM-DD HH24:MI' WHEN bool_and(regexp_matches({0}, '^[0-9]{{4}}/[0-9]{{1,2}}/[0-9]{{1,2}}$')) THEN 'YYYY/MM/DD' WHEN bool_and(regexp_matches({0}, '^[0-9]{{4}}[.][0-9]{{1,2}}[.][0-9]{{1,2}}$')) THEN 'YYYY.MM.DD' WHEN bool_and(regexp_matches({0}, '^[0-9]{{8}}$')) THEN 'YYYYMMDD' END AS format FROM x"
+
+
+@query(f"WITH x AS ({_FORMATTED}) " + " UNION ALL ".join(_GUESS.format(c) for c in "abcdef"))
 def date_format_inference(w):
-    e = w.table("events").select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("iso"), F.date_format("ts", "yyyyMMdd").alias("compact"))
-    return w.spark.createDataFrame([(c, text_io.date_format(e, c)) for c in ("iso", "compact")], "name string, format string")
+    shown = {"a": "yyyy-MM-dd HH:mm:ss", "b": "yyyyMMdd", "c": "yyyy/M/d", "d": "yyyy-MM-dd H:mm", "e": "yyyy.MM.dd", "f": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+    e = w.table("events").select(*[F.date_format("ts", p).alias(c) for c, p in shown.items()])
+    return w.spark.createDataFrame(list(text_io.date_formats(e, list(shown)).items()), "name string, format string")
+
+
+@query("SELECT event_id, date_trunc('minute', ts) AS read FROM events")
+def import_dates_of_one_digit(w):
+    text = w.table("events").select(F.col("event_id").cast("string").alias("event_id"), F.date_format("ts", "yyyy-MM-dd H:mm").alias("read"))
+    kinds = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("read", T.TimestampNTZType())])
+    return text_io.typed(text, kinds, {"read": text_io.date_format(text, "read")})[0]
 
 
 @query("SELECT c_custkey, c_custkey || ',' || chr(34) || c_name || ', ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) || ',' || c_mktsegment AS line FROM customer")
@@ -467,10 +547,19 @@ def schema_compare_constraints(w):
     return catalog.compare(make([("check  (a > 0)", True), ("unique (b)", True)]), make([("CHECK (a >  0)", True), ("unique (c)", True)]), ["definition"])
 
 
-@query("SELECT n_lines::BIGINT AS n_lines, count(*) AS units FROM (SELECT doc_id, len(string_split(text, chr(10))) AS n_lines FROM documents) GROUP BY 1")
+_HASHES = "SELECT doc_id, count(*) AS n_lines, sum(('0x' || substr(md5((n - 1) || ':' || rtrim(line)), 1, 15))::BIGINT)::VARCHAR AS h FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM ({0})) GROUP BY doc_id"
+
+
+@query(f"""WITH a AS ({_HASHES.format("SELECT doc_id, text AS t FROM documents WHERE doc_id % 9 <> 0")}), b AS ({_HASHES.format("SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN text || chr(10) || 'x' WHEN doc_id % 3 = 0 THEN text || '  ' ELSE text END AS t FROM documents WHERE doc_id % 8 <> 0")})
+ SELECT CASE WHEN b.doc_id IS NULL THEN 'a_only' WHEN a.doc_id IS NULL THEN 'b_only' WHEN a.h <> b.h THEN 'changed' ELSE 'same' END AS status, count(*) AS units, min(a.h) AS least_hash FROM a FULL JOIN b USING (doc_id) GROUP BY 1""")
 def source_hash_compare(w):
-    lines = w.table("documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    return catalog.source_hash(lines, "doc_id", "line", "text").groupBy("n_lines").agg(F.count("*").alias("units"))
+    """Units of two sides by their hashes: lines added count, blanks at the end of a line don't."""
+    d = w.table("documents")
+    changed = F.when(F.col("doc_id") % 5 == 0, F.concat("text", F.lit("\nx"))).when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("  "))).otherwise(F.col("text"))
+    hashes = lambda df: catalog.source_hash(df.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text")), "doc_id", "line", "text")
+    a, b = hashes(d.filter("doc_id % 9 <> 0")), hashes(d.filter("doc_id % 8 <> 0").withColumn("text", changed))
+    both = catalog.compare(a, b, ["doc_id"]).join(a.select("doc_id", "source_hash"), "doc_id", "left")
+    return both.groupBy("status").agg(F.count("*").alias("units"), F.min("source_hash").alias("least_hash"))
 
 
 @query("SELECT l_orderkey AS k, n_a, n_b FROM (SELECT l_orderkey, count(*) n_a FROM lineitem GROUP BY 1) JOIN (SELECT l_orderkey k2, count(*) n_b FROM lineitem WHERE l_partkey % 5 <> 0 GROUP BY 1) ON l_orderkey = k2 WHERE n_a <> n_b UNION ALL SELECT l_orderkey, count(*), 0 FROM lineitem GROUP BY 1 HAVING count(*) FILTER (WHERE l_partkey % 5 <> 0) = 0")
@@ -566,8 +655,7 @@ def _use(w):
 @query(f"WITH RECURSIVE {_PARTS}, {_USE}, r AS (SELECT src AS origin, src AS node FROM e WHERE src LIKE 'p%' UNION SELECT r.origin, e.dst FROM r JOIN e ON e.src = r.node) SELECT table_name, count(DISTINCT origin) AS n_origins FROM r JOIN u USING (node) WHERE op <> 'R' GROUP BY 1")
 def graph_impact(w):
     e = _parts(w)
-    reached = graph.reach(e, e.filter("src LIKE 'p%'").select(F.col("src").alias("node")))
-    return graph.impact(reached, _use(w).distinct())
+    return graph.impact(e, e.filter("src LIKE 'p%'").select(F.col("src").alias("node")), _use(w))
 
 
 @query(f"WITH {_USE} SELECT table_name, node, CASE WHEN bool_or(op = 'C') THEN 'C' ELSE '' END || CASE WHEN bool_or(op = 'R') THEN 'R' ELSE '' END || CASE WHEN bool_or(op = 'U') THEN 'U' ELSE '' END || CASE WHEN bool_or(op = 'D') THEN 'D' ELSE '' END AS ops FROM u GROUP BY 1, 2")
@@ -591,11 +679,36 @@ def k_hop_view(w):
     return graph.reach(e, w.spark.createDataFrame([("n3",)], "node string"), 2, both_ways=True).select("node", "depth")
 
 
-@query("SELECT * FROM (VALUES ('A.P.X', 'Y', 'A.P.Y', 'resolved'), ('A.P.X', 'Z', 'A.Z', 'resolved'), ('A.P.X', 'W', 'B.W', 'resolved'), ('A.P.X', 'Q', NULL, 'unknown'), ('A.P.X', 'DBMS_OUTPUT', NULL, 'system')) t(caller, callee, target, status)")
+_MEMBERS = """members AS (SELECT DISTINCT owner, unit, unit_type, path, CASE WHEN unit_type = 'PROCEDURE' THEN owner || '.' || path ELSE owner || '.' || unit || '.' || path END AS node FROM (
+ SELECT 'O' || p_partkey % 4 AS owner, CASE WHEN p_partkey % 5 = 0 THEN 'S' ELSE 'P' END || p_size % 9 AS unit, CASE WHEN p_partkey % 5 = 0 THEN 'PROCEDURE' ELSE 'PACKAGE BODY' END AS unit_type,
+ CASE WHEN p_partkey % 5 = 0 THEN 'S' || p_size % 9 WHEN p_partkey % 3 = 0 THEN 'M' || p_size % 4 || '.M' || p_partkey % 7 ELSE 'M' || p_partkey % 7 END AS path FROM part WHERE (p_partkey % 4) * 9 + p_size % 9 <> 13 AND p_partkey % 11 <> 1))"""
+_CALLS = """calls AS (SELECT DISTINCT owner, unit, unit_type, path, CASE l_linenumber % 7 WHEN 0 THEN 'M' || l_suppkey % 8 WHEN 1 THEN 'S' || l_suppkey % 9 WHEN 2 THEN 'P' || l_suppkey % 10 || '.M' || l_orderkey % 7 WHEN 3 THEN 'O' || l_suppkey % 5 || '.S' || l_orderkey % 9
+ WHEN 4 THEN 'O' || l_suppkey % 4 || '.P' || l_orderkey % 9 || '.M' || l_partkey % 7 WHEN 5 THEN 'DBMS_OUTPUT.PUT_LINE' ELSE 'M' || l_suppkey % 4 END AS callee
+ FROM lineitem JOIN (SELECT owner, unit, unit_type, path, row_number() OVER (ORDER BY owner, unit, unit_type, path) AS k, count(*) OVER () AS n FROM members) m ON k = l_partkey % n + 1)"""
+_RESOLVED = """ SELECT owner, unit, unit_type, path, callee, target, CASE WHEN target IS NOT NULL THEN 'resolved' WHEN callee LIKE 'DBMS%' THEN 'system' ELSE 'unknown' END AS status FROM (
+ SELECT c.*, CASE len(string_split(callee, '.'))
+  WHEN 1 THEN coalesce(
+   (SELECT min(node) FROM members m WHERE m.owner = c.owner AND m.unit = c.unit AND m.unit_type = c.unit_type AND m.path = c.path || '.' || callee),
+   (SELECT min(node) FROM members m WHERE m.owner = c.owner AND m.unit = c.unit AND m.unit_type = c.unit_type AND contains(c.path, '.') AND m.path = string_split(c.path, '.')[1] || '.' || callee),
+   (SELECT min(node) FROM members m WHERE m.owner = c.owner AND m.unit = c.unit AND m.unit_type = c.unit_type AND m.path = callee),
+   (SELECT min(node) FROM members m WHERE m.owner = c.owner AND m.unit_type = 'PROCEDURE' AND m.path = callee))
+  WHEN 2 THEN coalesce(
+   (SELECT min(node) FROM members m WHERE m.owner = c.owner AND m.unit = c.unit AND m.unit_type = c.unit_type AND m.unit = string_split(callee, '.')[1] AND m.path = string_split(callee, '.')[2]),
+   CASE WHEN EXISTS (SELECT 1 FROM members m WHERE m.unit_type = 'PACKAGE BODY' AND m.owner = c.owner AND m.unit = string_split(callee, '.')[1])
+    THEN (SELECT min(node) FROM members m WHERE m.unit_type = 'PACKAGE BODY' AND m.owner = c.owner AND m.unit = string_split(callee, '.')[1] AND m.path = string_split(callee, '.')[2])
+    ELSE coalesce((SELECT min(node) FROM members m WHERE m.unit_type = 'PROCEDURE' AND m.owner = string_split(callee, '.')[1] AND m.path = string_split(callee, '.')[2]),
+     (SELECT CASE WHEN count(DISTINCT m.owner) = 1 THEN min(node) FILTER (WHERE m.path = string_split(callee, '.')[2]) END FROM members m WHERE m.unit_type = 'PACKAGE BODY' AND m.unit = string_split(callee, '.')[1])) END)
+  ELSE (SELECT min(node) FROM members m WHERE m.unit_type = 'PACKAGE BODY' AND m.owner = string_split(callee, '.')[1] AND m.unit = string_split(callee, '.')[2] AND m.path = string_split(callee, '.')[3]) END AS target FROM calls c)"""
+
+
+def _members(w):
+    return w.sql("WITH " + _MEMBERS.replace("FROM part", "FROM {part}") + " SELECT owner, unit, unit_type, path FROM members")
+
+
+@query(f"WITH {_MEMBERS}, {_CALLS}" + _RESOLVED)
 def call_resolution_precedence(w):
-    units = w.spark.createDataFrame([("A.P.Y", "A", "P", "Y"), ("B.Y", "B", "", "Y"), ("A.Z", "A", "", "Z"), ("B.W", "B", "", "W"), ("B.Q", "B", "", "Q"), ("C.Q", "C", "", "Q")], "unit string, owner string, package string, name string")
-    calls = w.spark.createDataFrame([("A.P.X", "P", "A", c) for c in ("Y", "Z", "W", "Q", "DBMS_OUTPUT")], "caller string, scope string, owner string, callee string")
-    return graph.resolve_calls(calls, units)
+    asked = "WITH " + _MEMBERS.replace("FROM part", "FROM {part}") + ", " + _CALLS.replace("FROM lineitem", "FROM {lineitem}") + " SELECT * FROM calls"
+    return graph.resolve_calls(w.sql(asked), _members(w))
 
 
 @query("SELECT side, count(*) AS n FROM (SELECT k, CASE WHEN count(DISTINCT t) = 2 THEN 'both' WHEN min(t) = 'd' THEN 'a_only' ELSE 'b_only' END side FROM (SELECT DISTINCT l_suppkey k, 'd' t FROM lineitem WHERE l_quantity > 45 UNION ALL SELECT DISTINCT s_suppkey, 's' FROM supplier WHERE s_acctbal > 0) GROUP BY k) GROUP BY 1")
@@ -626,8 +739,7 @@ def connection_summary(w):
 
 @query("SELECT CASE WHEN n_chars < 500 THEN 'small' WHEN n_chars < 3000 THEN 'middle' ELSE 'large' END AS bucket, count(*) AS n, round(avg(n_chars), 3) AS mean, quantile_disc(n_chars, 0.95) AS p95 FROM documents GROUP BY 1")
 def metrics_p95_buckets(w):
-    bucket = F.when(F.col("n_chars") < 500, "small").when(F.col("n_chars") < 3000, "middle").otherwise("large")
-    return w.table("documents").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 3).alias("mean"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY n_chars)").alias("p95"))
+    return history.by_size(w.table("documents"), F.col("n_chars"), {"small": 499, "middle": 2999}, "large", F.col("n_chars")).withColumn("mean", F.round("mean", 3))
 
 
 @query("SELECT c_name AS name, CASE WHEN upper(c_name) LIKE '%1%' THEN 3 ELSE 0 END + 1 AS score FROM customer")
@@ -638,8 +750,7 @@ def table_search_score(w):
 
 @query("SELECT doc_id, contains(lower(text), ' the ') AND NOT contains(lower(text), 'licensed') AS passed FROM documents")
 def phrase_judge(w):
-    text = F.lower("text")
-    return w.table("documents").select("doc_id", (text.contains(" the ") & ~text.contains("licensed")).alias("passed"))
+    return w.table("documents").select("doc_id", checks.phrases(F.col("text"), [" the "], ["licensed"]).alias("passed"))
 
 
 @query("SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE regexp_matches(line, '(?i)(^|[^\\w$#])the([^\\w$#]|$)') GROUP BY 1")
@@ -654,24 +765,19 @@ def word_in_line(w):
 @query("SELECT l_orderkey, round(sum(l_extendedprice::DECIMAL(15, 2) * (1 - l_discount::DECIMAL(5, 2))), 2)::DOUBLE AS recomputed FROM lineitem GROUP BY 1")
 def value_recompute(w):
     # Decimals: in doubles, amounts that end at half a cent round either way, by the order of the sum.
-    amount = F.expr("cast(l_extendedprice AS decimal(15, 2)) * (1 - cast(l_discount AS decimal(5, 2)))")
-    return w.table("lineitem").groupBy("l_orderkey").agg(F.round(F.sum(amount), 2).cast("double").alias("recomputed"))
+    return trace.recomputed(w.table("lineitem"), ["l_orderkey"], F.expr("cast(l_extendedprice AS decimal(15, 2)) * (1 - cast(l_discount AS decimal(5, 2)))"))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'X' END AS c1, CASE WHEN o_totalprice > 100000 THEN 'O' ELSE 'X' END AS c2 FROM orders")
 def condition_flags(w):
-    flag = lambda c: F.when(c, "O").otherwise("X")
-    return w.table("orders").select("o_orderkey", flag(F.col("o_orderstatus") == "F").alias("c1"), flag(F.col("o_totalprice") > 100000).alias("c2"))
+    flagged = trace.condition_flags(w.table("orders"), {"c1": F.col("o_orderstatus") == "F", "c2": F.col("o_totalprice") > 100000})
+    return flagged.select("o_orderkey", "c1", "c2")
 
 
 @query("SELECT 1 AS step, 'orders' AS joined, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, 'lineitem', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F' UNION ALL SELECT 3, 'part', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey AND p_size > 25 WHERE o_orderstatus = 'F'")
 def join_survival_counts(w):
-    now = w.table("orders").filter("o_orderstatus = 'F'")
-    out = now.agg(F.count("*").alias("n")).select(F.lit(1).alias("step"), F.lit("orders").alias("joined"), "n")
-    now = now.join(w.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
-    out = out.union(now.agg(F.count("*")).select(F.lit(2), F.lit("lineitem"), "count(1)"))
-    now = now.join(w.table("part").filter("p_size > 25"), F.col("p_partkey") == F.col("l_partkey"))
-    return out.union(now.agg(F.count("*")).select(F.lit(3), F.lit("part"), "count(1)"))
+    joins = [("lineitem", w.table("lineitem"), F.col("l_orderkey") == F.col("o_orderkey")), ("part", w.table("part").filter("p_size > 25"), F.col("p_partkey") == F.col("l_partkey"))]
+    return trace.join_survival(w.table("orders").filter("o_orderstatus = 'F'"), "orders", joins)
 
 
 # --- streams (an extension) ---
@@ -775,12 +881,13 @@ def local_names(w):
     return w.spark.createDataFrame(flows.local_names(_SCRIPT), "name string, kind string, line int")
 
 
-@query("""SELECT l_orderkey AS o_orderkey, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS stands FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderkey) ON l_orderkey = o_orderkey""")
+@query("""SELECT l_orderkey AS o_orderkey, coalesce(n, 0) AS n_rows, coalesce(n, 0) > 0 AS stands, 'SHIP_ORDERS:7' AS inserts, '' AS deletes FROM (SELECT DISTINCT l_orderkey FROM lineitem) LEFT JOIN (SELECT o_orderkey, count(*) AS n FROM orders WHERE o_orderstatus <> 'O' GROUP BY o_orderkey) ON l_orderkey = o_orderkey""")
 def row_trace(w):
-    """Which orders of the lines stand among those that aren't open."""
+    """Which orders of the lines stand among those that aren't open, and which statements could have put them there."""
     uses = code_facts.facts(w.spark.createDataFrame([("SHIP_ORDERS", _SCRIPT)], "unit string, text string"))
     asked = w.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
-    return trace.row_trace(w.table("orders").filter("o_orderstatus <> 'O'"), ["o_orderkey"], asked, uses, "ORDERS").drop("inserts", "deletes")
+    found = trace.row_trace(w.table("orders").filter("o_orderstatus <> 'O'"), ["o_orderkey"], asked, uses, "SHIPPED_ORDERS")
+    return found.withColumn("inserts", F.array_join("inserts", ",")).withColumn("deletes", F.array_join("deletes", ","))
 
 
 @query("""SELECT s.o_custkey, CASE WHEN t.o_custkey IS NULL THEN 'missing' ELSE 'present' END AS state FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 1000) s LEFT JOIN (SELECT DISTINCT c_custkey AS o_custkey FROM customer WHERE c_acctbal > 0) t ON s.o_custkey = t.o_custkey""")
