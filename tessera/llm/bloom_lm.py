@@ -11,7 +11,8 @@ and scores them with the answers. Estimates take the same steps either way, so t
 
 A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). All counts are
 lower ends of their steps, so that the bigram estimates of a context may sum to a little over one only by false positives and by the context's
-step. N-grams are told apart by 64 bits: among 10**9 different ones some 0.03 pairs share them by chance.
+step. Words are told apart by 64 bits (among 10**9 different ones some 0.03 pairs share them by chance), bigrams by twice as many bits as the number of
+training tokens has, less 8, and 44 at least: at any size some hundred pairs of bigrams in all share a number.
 
 Bigrams count from `least_pair` occurrences on, 1 by default.
 
@@ -34,8 +35,8 @@ from ._words import U64, chunks, hashes, mix
 #: Tokens that a batch gathers before its counts are sent, and that are merged before they are dealt to the parts of a share; segments of the
 #: filter; tokens of a part of the count tables; parts that counts are dealt to directly: with more they go by as many shares of parts.
 BATCH_TOKENS, MERGED_TOKENS, SEGMENTS, PART_TOKENS, FAN = 1 << 20, 1 << 22, 64, 1 << 21, 1024
-#: Bytes of text whose open tokens are asked for together; lower bits that asks for bigrams leave out.
-OPEN_BYTES, BLUR = 1 << 21, U64(16)
+#: Bytes of text whose open tokens are asked for together.
+OPEN_BYTES = 1 << 21
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
 HEAD, MEMBER_BITS, MOST_BITS, PROBES = 1 << 20, 10, 1 << 28, 4
 #: Steps of the scale of counts: each is the least whole number over 1.5 times the one before.
@@ -59,8 +60,9 @@ def _tokens(data, offs):
     return tokens, before, counts
 
 
-def _bigrams(before, tokens):
-    return mix(before * U64(0xD6E8FEB86659FD93) + mix(tokens + U64(0x2545F4914F6CDD1D)))
+def _bigrams(before, tokens, bits: int):
+    """Numbers of bigrams; the lower bits are 0, which packs to next to nothing."""
+    return mix(before * U64(0xD6E8FEB86659FD93) + mix(tokens + U64(0x2545F4914F6CDD1D))) & U64(2**64 - 2 ** (64 - bits))
 
 
 _SENT = pa.schema([("part", pa.int32()), ("texts", pa.int64()), *[(c, pa.binary()) for c in ("w", "wn", "b", "bn")]])
@@ -91,14 +93,14 @@ def _dealt(parts: int, texts: int, **counted) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(list(out.values()), schema=_SENT)
 
 
-def _send(parts: int):
+def _send(parts: int, bits: int):
     def send(batches):
         words, pairs, size, texts = [], [], 0, 0
         for batch in batches:
             for _, data, offs in chunks(batch.column(0)):
                 tokens, before, counts = _tokens(data, offs)
                 words.append(tokens)
-                pairs.append(_bigrams(before, tokens))
+                pairs.append(_bigrams(before, tokens, bits))
                 size, texts = size + len(tokens), texts + len(counts)
                 if size >= BATCH_TOKENS:
                     yield _dealt(parts, texts, w=_counted(words), b=_counted(pairs))
@@ -225,8 +227,8 @@ def _segment(bits: int):
 class Model:
     """What the workers hold: the filter, the head of the word counts, and totals."""
 
-    def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float, least_pair: int):
-        self.least_pair, self.flt, self.least, self.words, self.counts = least_pair, flt, least, words, counts
+    def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float, least_pair: int, pair_bits: int):
+        self.pair_bits, self.least_pair, self.flt, self.least, self.words, self.counts = pair_bits, least_pair, flt, least, words, counts
         self.tokens, self.types, self.texts, self.share = tokens, types, texts, share
 
     def head(self, tokens):
@@ -265,7 +267,7 @@ class Model:
         opened |= ~known[back]
         pair = np.zeros(len(tokens))
         some = np.flatnonzero((context >= self.least_pair) & ~opened)
-        pair[some], unsure_pair = self.pairs_about(_bigrams(before[some], tokens[some]))
+        pair[some], unsure_pair = self.pairs_about(_bigrams(before[some], tokens[some], self.pair_bits))
         opened[some[unsure_pair]] = True
         closed = known[back]
         p = self.log_p(pair, context, about[back])
@@ -302,7 +304,7 @@ _OPEN = ["o_words", "o_token", "o_before", "o_row"]
 
 
 class _Opened:
-    """Open tokens of a run of rows, and the n-grams they ask for: sorted words, and sorted bigrams without their lower bits."""
+    """Open tokens of a run of rows, and the n-grams they ask for: sorted words, and sorted bigrams."""
 
     def __init__(self, model: Model, row: dict):
         self.words = words = unpack(row["o_words"])
@@ -311,7 +313,7 @@ class _Opened:
         self.about, self.exact, self.known, unsure = model.words_about(words)
         self.asks_word = ~self.known & (words != BEGIN)
         self.some = ((words == BEGIN) | (self.about >= model.least_pair) | unsure)[self.before]  # no rarer context has a bigram that counts
-        pairs, self.back = np.unique(_bigrams(words[self.before[self.some]], words[self.token[self.some]]), return_inverse=True)
+        pairs, self.back = np.unique(_bigrams(words[self.before[self.some]], words[self.token[self.some]], model.pair_bits), return_inverse=True)
         self.pair, self.asks_pair = model.pairs_about(pairs)
         self.w, self.b = words[self.asks_word], pairs[self.asks_pair]
 
@@ -328,9 +330,9 @@ def _ask(model, parts: int):
                 (row,) = batch.slice(i, 1).to_pylist()
                 o = _Opened(model.value, row)
                 asks = {}
-                for kind, grams, blur in (("w", o.w, U64(0)), ("b", o.b, BLUR)):
+                for kind, grams in (("w", o.w), ("b", o.b)):
                     for p, a, b in present(grams, parts):
-                        asks.setdefault(p, {"part": p, "rid": row["rid"], "w": b"", "b": b""})[kind] = pack(grams[a:b] >> blur)
+                        asks.setdefault(p, {"part": p, "rid": row["rid"], "w": b"", "b": b""})[kind] = pack(grams[a:b])
                 yield pa.RecordBatch.from_pylist(list(asks.values()), schema=_ASK)
 
     return ask
@@ -340,7 +342,7 @@ def _answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
     """The counts of the asked n-grams of one part in the order of the asks: exact for words, steps for bigrams."""
     have = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.uint32)) for kind in "wb"}
     for r in sums.to_pylist():
-        have = {"w": (unpack(r["w"]), unpack_small(r["wn"])), "b": (unpack(r["b"]) >> BLUR, np.searchsorted(SCALE, unpack_small(r["bn"]).astype(np.int64), "right"))}
+        have = {"w": (unpack(r["w"]), unpack_small(r["wn"])), "b": (unpack(r["b"]), np.searchsorted(SCALE, unpack_small(r["bn"]).astype(np.int64), "right"))}
     out = {c: [] for c in ("rid", "part", "wn", "bn")}
     for rid, part, *asks in zip(*(asked.column(c).to_pylist() for c in ("rid", "part", "w", "b")), strict=True):
         out["rid"].append(rid)
@@ -396,8 +398,9 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
     """(the model, all counts by part, the number of parts) for a table of one text column."""
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 6
     parts = SEGMENTS * max(1, -(-size // PART_TOKENS // SEGMENTS))
+    pair_bits = min(64, max(44, 2 * size.bit_length() - 8))
     shares = -(-parts // FAN)
-    sent = texts.mapInArrow(_send(parts if shares == 1 else shares), _SENT_DDL)
+    sent = texts.mapInArrow(_send(parts if shares == 1 else shares, pair_bits), _SENT_DDL)
     if shares > 1:
         sent = sent.repartition(shares, "part").mapInArrow(_deal_on(parts), _SENT_DDL)
     sums = tmp.put(sent.groupBy("part").applyInArrow(_sum(least_pair), _SUM_DDL), "sums")
@@ -431,7 +434,7 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
         words.append(unpack(r.w))
         counts.append(unpack_small(r.wn).astype(np.int64))
     none = np.zeros(0, np.uint64)
-    model = Model(Filter(SEGMENTS, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair)
+    model = Model(Filter(SEGMENTS, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair, pair_bits)
     return model, sums.select("part", "w", "wn", "b", "bn"), parts
 
 
