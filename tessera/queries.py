@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import dialect as D
-from .operators import catalog, checks, diff, graph, move, predicates, rows, trace
+from .operators import catalog, checks, diff, graph, integrate, move, predicates, rows, trace
 from .plans import code_facts, flows, lexer, lineage, rewrite, statements
 from .sources import history, text_io
 from .streaming import windows
@@ -718,6 +718,69 @@ def gap_partition(w):
     return graph.three_way(a, b, "k").groupBy("side").agg(F.count("*").alias("n"))
 
 
+# --- the graph of many units ---
+
+_SUBS = "SELECT 'O' || l_suppkey % 3 AS owner, 'P' || l_suppkey % 20 AS unit, CASE WHEN l_partkey % 3 = 0 THEN 'FUNCTION' ELSE 'PACKAGE BODY' END AS unit_type, 'M' || l_partkey % 30 AS path, 'K' || l_orderkey % 2 AS kind, 'S' || l_linenumber AS signature, cast(l_orderkey AS int) AS start_line, cast(l_orderkey + l_linenumber AS int) AS end_line, l_linestatus = 'O' AS public, cast(l_quantity AS int) AS complexity, l_returnflag = 'R' AND l_quantity > 49 AS commits, false AS autonomous FROM lineitem"
+
+
+@query(f"SELECT owner || '.' || CASE WHEN unit_type = 'FUNCTION' THEN path ELSE unit || '.' || path END AS node, count(*) AS overloads, max(complexity) AS complexity, sum(end_line - start_line + 1)::BIGINT AS lines, bool_or(commits) AS commits, bool_or(public) AS public FROM ({_SUBS}) GROUP BY 1")
+def node_rollup(w):
+    return integrate.nodes(w.sql(_SUBS.replace("FROM lineitem", "FROM {lineitem}"))).select("node", "overloads", "complexity", "lines", "commits", "public")
+
+
+@query(f"WITH RECURSIVE {_PARTS}, r AS (SELECT src AS origin, src AS node FROM e WHERE src LIKE 'p%' UNION SELECT r.origin, e.dst FROM r JOIN e ON e.src = r.node) SELECT origin AS node, string_agg(DISTINCT node, ',' ORDER BY node) AS commits FROM r WHERE node LIKE 's%' AND substr(node, 2)::INT % 7 = 0 OR node = 'r2' GROUP BY 1")
+def commit_reachability(w):
+    e = _parts(w)
+    of = e.select(F.col("src").alias("node")).union(e.select("dst")).distinct()
+    commits = (F.col("node").startswith("s") & (F.substring("node", 2, 9).try_cast("int") % 7 == 0)) | (F.col("node") == "r2")
+    found = integrate.commit_reach(of.withColumn("commits", F.coalesce(commits, F.lit(False))), e.withColumn("resolved", F.lit(True)), of.filter("node LIKE 'p%'"))
+    return found.withColumn("commits", F.array_join("commits", ","))
+
+
+_UNIT_USE = "SELECT DISTINCT 'O' || l_suppkey % 3 AS owner, 'U' || l_suppkey % 20 AS unit, 'PACKAGE BODY' AS unit_type, 'M' || l_linenumber AS path, CASE WHEN l_partkey % 10 = 0 THEN 'DUAL' WHEN l_partkey % 10 = 1 THEN 'T' || l_partkey % 40 || '@FAR' WHEN l_partkey % 10 < 5 THEN 'O2.T' || l_partkey % 40 ELSE 'T' || l_partkey % 40 END AS table_name, CASE l_linenumber % 4 WHEN 0 THEN 'C' WHEN 1 THEN 'R' WHEN 2 THEN 'U' ELSE 'D' END AS op, 1 AS line FROM lineitem"
+_UNIT_DEPS = "SELECT DISTINCT 'O' || l_suppkey % 3 AS owner, 'U' || l_suppkey % 20 AS unit, 'PACKAGE BODY' AS unit_type, 'O' || l_orderkey % 3 || '.T' || l_partkey % 40 AS name, CASE WHEN l_orderkey % 5 = 0 THEN 'PACKAGE' ELSE 'TABLE' END AS kind, CASE WHEN l_orderkey % 4 = 0 THEN 'PUBLIC.T' || l_orderkey % 40 END AS via, cast(NULL AS VARCHAR) AS link FROM lineitem WHERE l_suppkey % 20 <> 3 AND l_orderkey % 3 = 0"
+
+
+def _unit_facts(w):
+    return w.sql(_UNIT_USE.replace("FROM lineitem", "FROM {lineitem}")), w.sql(_UNIT_DEPS.replace("FROM lineitem", "FROM {lineitem}").replace("VARCHAR", "string"))
+
+
+@query(f"""WITH u AS ({_UNIT_USE}), d AS ({_UNIT_DEPS}), s AS (SELECT DISTINCT owner, unit, CASE WHEN contains(table_name, '.') THEN table_name ELSE owner || '.' || table_name END AS table_name FROM u WHERE table_name <> 'DUAL' AND NOT contains(table_name, '@')),
+ k AS (SELECT owner, unit, table_name, bool_or(data) AS data FROM (SELECT owner, unit, name AS table_name, kind = 'TABLE' AS data FROM d UNION ALL SELECT owner, unit, via, false FROM d WHERE via IS NOT NULL) GROUP BY ALL)
+ SELECT owner, unit, table_name, found FROM (SELECT owner, unit, table_name, CASE WHEN s.table_name IS NULL THEN CASE WHEN data THEN 'dict_only' END WHEN data IS NULL THEN 'source_only' ELSE 'both' END AS found FROM (SELECT *, 1 AS one FROM s) s FULL JOIN k USING (owner, unit, table_name)) WHERE found IS NOT NULL AND (owner, unit) IN (SELECT owner, unit FROM d)""")
+def dictionary_reconcile(w):
+    return integrate.reconciled(*_unit_facts(w)).drop("unit_type")
+
+
+@query(f"""WITH u AS ({_UNIT_USE}), d AS ({_UNIT_DEPS}), n AS (SELECT owner, unit, a, min(struct_pack(r := r, name := name)).name AS name FROM (SELECT owner, unit, via AS a, name, 0 AS r FROM d WHERE via IS NOT NULL UNION ALL SELECT owner, unit, owner || '.' || string_split(via, '.')[-1], name, 1 FROM d WHERE via IS NOT NULL) GROUP BY ALL HAVING a IS NOT NULL),
+ q AS (SELECT u.owner, u.unit, u.path, op, CASE WHEN contains(string_split(table_name, '@')[1], '.') THEN table_name ELSE owner || '.' || table_name END AS t FROM u)
+ SELECT coalesce(n.name, t) AS table_name, q.owner || '.' || q.unit || '.' || path AS node, CASE WHEN bool_or(op = 'C') THEN 'C' ELSE '' END || CASE WHEN bool_or(op = 'R') THEN 'R' ELSE '' END || CASE WHEN bool_or(op = 'U') THEN 'U' ELSE '' END || CASE WHEN bool_or(op = 'D') THEN 'D' ELSE '' END AS ops FROM q LEFT JOIN n ON n.owner = q.owner AND n.unit = q.unit AND n.a = q.t GROUP BY 1, 2""".replace(" GROUP BY ALL HAVING a IS NOT NULL", " WHERE a IS NOT NULL GROUP BY owner, unit, a"))
+def crud_with_synonyms(w):
+    return integrate.table_uses(*_unit_facts(w))
+
+
+@query("SELECT DISTINCT src, dst FROM (SELECT unnest(['O0.T' || l_partkey % 9, 'T' || l_suppkey % 9]) AS s, 'O' || l_orderkey % 2 AS owner, 'T' || l_linenumber AS d FROM lineitem), LATERAL (SELECT CASE WHEN contains(s, '.') THEN s ELSE owner || '.' || s END AS src, owner || '.' || d AS dst) WHERE src <> dst")
+def lineage_flow_edges(w):
+    t = lambda p, c, n: F.concat(F.lit(p), (F.col(c) % n).cast("string"))
+    flows = w.table("lineitem").select(F.array(t("O0.T", "l_partkey", 9), t("T", "l_suppkey", 9)).alias("src_tables"), t("O", "l_orderkey", 2).alias("owner"), F.concat(F.lit("T"), F.col("l_linenumber").cast("string")).alias("dst_table"))
+    return integrate.lineage_edges(flows)
+
+
+@query(f"""WITH {_USE}, x AS (SELECT DISTINCT * FROM u), b AS (SELECT table_name, node, string_agg(DISTINCT op, '') AS ops FROM x GROUP BY ALL)
+ SELECT s, t, kind, label FROM (SELECT table_name AS s, node AS t, 'read' AS kind, 'R' AS label FROM b WHERE contains(ops, 'R') UNION ALL
+ SELECT node, table_name, 'write', concat_ws(',', CASE WHEN contains(ops, 'C') THEN 'C' END, CASE WHEN contains(ops, 'U') THEN 'U' END, CASE WHEN contains(ops, 'D') THEN 'D' END) FROM b WHERE regexp_matches(ops, '[CUD]'))""")
+def diagram_edges(w):
+    uses = graph.crud_matrix(_use(w)).withColumn("conf", F.lit(None).cast("string"))
+    none = w.spark.createDataFrame([], "src string, dst string, resolved boolean, lines array<int>")
+    triggers = w.spark.createDataFrame([], "node string, trigger_on string, events string")
+    return integrate.diagram(uses.select("node").distinct(), uses, none, none.select("src", "dst"), triggers)[1].select("s", "t", "kind", "label")
+
+
+@query(f"WITH RECURSIVE {_USE}, x AS (SELECT DISTINCT * FROM u), s AS (SELECT DISTINCT r.table_name AS src, y.table_name AS dst FROM x r JOIN x y USING (node) WHERE r.op = 'R' AND y.op IN ('C', 'U') AND r.table_name <> y.table_name), l AS (SELECT 't1' AS t, 1 AS level UNION SELECT dst, level + 1 FROM l JOIN s ON src = t WHERE level < 3), m AS (SELECT t, min(level) AS level FROM l GROUP BY 1) SELECT m.level::INT AS level, t AS table_name, x.node, 'R' AS ops, (SELECT count(DISTINCT table_name) FROM x o WHERE o.node = x.node AND o.op IN ('C', 'U') AND o.table_name <> t)::INT AS n_others FROM m JOIN x ON x.table_name = t AND x.op = 'R'")
+def lineage_by_levels(w):
+    return graph.lineage(_use(w), "t1", up=False, depth=3).withColumn("n_others", F.size("others")).drop("others")
+
+
 # --- history, metrics, search ---
 
 
