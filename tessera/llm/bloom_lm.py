@@ -34,7 +34,7 @@ from ._words import U64, chunks, hashes, mix
 
 #: Tokens that a batch gathers before its counts are sent, and that are merged before they are dealt to the parts of a share; segments of the
 #: filter; tokens of a part of the count tables; parts that counts are dealt to directly: with more they go by as many shares of parts.
-BATCH_TOKENS, MERGED_TOKENS, SEGMENTS, PART_TOKENS, FAN = 1 << 20, 1 << 22, 64, 1 << 21, 1024
+BATCH_TOKENS, MERGED_TOKENS, SEGMENTS, PART_TOKENS, FAN = 1 << 21, 1 << 22, 64, 1 << 21, 1024
 #: Bytes of text whose open tokens are asked for together.
 OPEN_BYTES = 1 << 21
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
@@ -230,14 +230,21 @@ class Model:
     def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float, least_pair: int, pair_bits: int):
         self.pair_bits, self.least_pair, self.flt, self.least, self.words, self.counts = pair_bits, least_pair, flt, least, words, counts
         self.tokens, self.types, self.texts, self.share = tokens, types, texts, share
+        self.by_rank = np.argsort(-counts, kind="stable")
+        self.rank = np.empty(len(words), np.int64)
+        self.rank[self.by_rank] = np.arange(len(words))
 
-    def head(self, tokens):
-        """(exact counts, whether a token is in the head)."""
+    def place(self, tokens):
+        """(where tokens stand in the head, whether they do)."""
         if not len(self.words):
             return np.zeros(len(tokens), np.int64), np.zeros(len(tokens), bool)
         at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
-        known = self.words[at] == tokens
-        return np.where(known, self.counts[at], 0), known
+        return at, self.words[at] == tokens
+
+    def head(self, tokens):
+        """(exact counts, whether a token is in the head)."""
+        at, known = self.place(tokens)
+        return np.where(known, self.counts[at] if len(self.counts) else 0, 0), known
 
     def words_about(self, words):
         """(steps, exact counts, whether these are known, whether neither tells the step) of words: steps from the filter, counts from the head."""
@@ -286,10 +293,17 @@ def _score(model):
                     out.append(x)
                 if len(at):
                     words, back = np.unique(np.concatenate([tokens[at], before[at]]), return_inverse=True)
+                    place, in_head = m.place(words)
+                    # words of the head by rank, so that frequent ones have small numbers; then the others
+                    order = np.concatenate([np.flatnonzero(in_head)[np.argsort(m.rank[place[in_head]])], np.flatnonzero(~in_head)])
+                    number = np.empty(len(words), np.int64)
+                    number[order] = np.arange(len(words))
+                    back = number[back]
                     rows = np.repeat(np.arange(len(counts)), counts)[at]
                     token, b4 = back[: len(at)], back[len(at) :] + 1
                     b4[1:][b4[1:] == token[:-1] + 1] = 0
-                    opened[row] = pack(words), pack_small(token), pack_small(b4), pack_small(np.diff(rows, prepend=0))
+                    ranks = np.sort(m.rank[place[in_head]]).astype(np.uint64)
+                    opened[row] = pack(ranks), pack(words[~in_head]), pack_small(token), pack_small(b4), pack_small(np.diff(rows, prepend=0))
             rid += len(batch)
             cat = lambda x, kind: pa.array(np.concatenate([np.zeros(0, kind), *x]).astype(kind))
             blobs = [pa.array([o and o[i] for o in opened], pa.binary()) for i in range(len(_OPEN))]
@@ -298,16 +312,16 @@ def _score(model):
     return score
 
 
-#: Open tokens of a run of rows, on its first row: distinct words, places in them of each token and the one before (from 1; 0: the
-#: open token before it), rows as differences.
-_OPEN = ["o_words", "o_token", "o_before", "o_row"]
+#: Open tokens of a run of rows, on its first row: distinct words (ranks in the head, then hashes), places in them of each token and the one
+#: before (from 1; 0: the open token before it), rows as differences.
+_OPEN = ["o_head", "o_words", "o_token", "o_before", "o_row"]
 
 
 class _Opened:
     """Open tokens of a run of rows, and the n-grams they ask for: sorted words, and sorted bigrams."""
 
     def __init__(self, model: Model, row: dict):
-        self.words = words = unpack(row["o_words"])
+        self.words = words = np.concatenate([model.words[model.by_rank[unpack(row["o_head"]).astype(np.int64)]], unpack(row["o_words"])])
         self.token, before = (unpack_small(row[c]).astype(np.int64) for c in ("o_token", "o_before"))
         self.before = np.where(before > 0, before - 1, np.concatenate([[0], self.token[:-1]]))
         self.about, self.exact, self.known, unsure = model.words_about(words)
@@ -338,6 +352,26 @@ def _ask(model, parts: int):
     return ask
 
 
+def _untold(model):
+    """Of the counts, those that may be asked for: words out of the head, bigrams below the filter's first step."""
+
+    def untold(batches):
+        m = model.value
+        for batch in batches:
+            rows = []
+            for part, w, wn, b, bn in zip(*(batch.column(c).to_pylist() for c in ("part", "w", "wn", "b", "bn")), strict=True):
+                words, word_counts, pairs, pair_counts = unpack(w), unpack_small(wn), unpack(b), unpack_small(bn)
+                some = ~m.place(words)[1]
+                low = np.searchsorted(SCALE, pair_counts.astype(np.int64), "right") < m.least[1]
+                rows.append({"part": part, "w": pack(words[some]), "wn": pack_small(word_counts[some]), "b": pack(pairs[low]), "bn": pack_small(pair_counts[low])})
+            yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
+
+    return untold
+
+
+_COUNTS = pa.schema([("part", pa.int32()), *[(c, pa.binary()) for c in ("w", "wn", "b", "bn")]])
+
+
 def _answer(asked: pa.Table, sums: pa.Table) -> pa.Table:
     """The counts of the asked n-grams of one part in the order of the asks: exact for words, steps for bigrams."""
     have = {kind: (np.zeros(0, np.uint64), np.zeros(0, np.uint32)) for kind in "wb"}
@@ -450,8 +484,9 @@ def lm_scores(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", fol
     # row numbers are read from the written table, so they stay
     scored = tmp.put(docs.mapInArrow(_score(shared), f"rid bigint, id {id_type}, held_out boolean, n_tokens bigint, known bigint, base double, score double, {', '.join(f'{c} binary' for c in _OPEN)}"), "scored")
     opened = scored.select("rid", *_OPEN).filter("o_row is not null")
-    ask = opened.select("rid", "o_words", "o_token", "o_before").mapInArrow(_ask(shared, parts), "part int, rid bigint, w binary, b binary")
-    answers = ask.groupBy("part").cogroup(sums.groupBy("part")).applyInArrow(_answer, "rid bigint, part int, wn binary, bn binary")
+    untold = sums.mapInArrow(_untold(shared), "part int, w binary, wn binary, b binary, bn binary")
+    ask = opened.select("rid", "o_head", "o_words", "o_token", "o_before").mapInArrow(_ask(shared, parts), "part int, rid bigint, w binary, b binary")
+    answers = ask.groupBy("part").cogroup(untold.groupBy("part")).applyInArrow(_answer, "rid bigint, part int, wn binary, bn binary")
     more = opened.groupBy("rid").cogroup(answers.groupBy("rid")).applyInArrow(_finish(shared), "rid bigint, more_known bigint, more_base double, more_score double")
     more = tmp.put(more, "more").withColumnRenamed("rid", "_rid")
     tmp.keep("scored", "more")
