@@ -15,7 +15,7 @@ A pair of similarity 0.75 agrees in fewer than 30 of 64 coordinates with a proba
 Classes are told apart by 128 bits and numbered; shingles are 64 bits, and only those of two sets at a time are held against each other.
 
 Defined cases: null text has no words and, like a text without words, is linked with nothing. Fewer words than a shingle make one shingle.
-Rows with equal ids are judged each by its text. An empty table gives an empty result. Extra columns are ignored.
+Rows with equal ids are judged each by its text. A null id is the least of its group only if all are null. An empty table gives an empty result. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,7 +188,7 @@ class _Job:
         self.tmp = Scratch(self.spark)
         kind = T.StructType([docs.schema[0], *T.StructType.fromDDL("n bigint, key binary, rid bigint, sig array<int>").fields])
         self.rows = self.tmp.put(docs.mapInArrow(_signatures(size, seed), kind), "rows")
-        classes = self.rows.filter("key is not null").groupBy("key").agg(F.min(F.struct("id", "rid")).alias("first"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
+        classes = self.rows.filter("key is not null").groupBy("key").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "rid")).alias("first"), F.max("n").alias("n"), F.any_value("sig").alias("sig"))
         # the numbers are read from the written table, so they stay
         self.classes = self.tmp.put(classes.select(F.monotonically_increasing_id().alias("cls"), "key", "first", F.col("first.rid").alias("rid"), "n", "sig"), "classes")
 
@@ -253,7 +253,7 @@ class _Job:
 def _labelled(job: _Job) -> DataFrame:
     """(key, component, rid and key of its row): the least row of the component of each class."""
     found = job.run().withColumnRenamed("node", "_n")
-    classes = job.classes.select("cls", "key", "first").join(found, F.col("cls") == F.col("_n"), "left").select("key", F.struct("first.id", "first.rid", "key").alias("first"), F.coalesce("label", "cls").alias("comp"))
+    classes = job.classes.select("cls", "key", "first").join(found, F.col("cls") == F.col("_n"), "left").select("key", F.struct("first.none", "first.id", "first.rid", "key").alias("first"), F.coalesce("label", "cls").alias("comp"))
     classes = job.tmp.put(classes, "comps")
     job.tmp.keep("rows", "comps")
     firsts = classes.groupBy("comp").agg(F.min("first").alias("least")).withColumnRenamed("comp", "_comp")
@@ -264,7 +264,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row for each of `df`'s: id, n_shingles, component_id (the least id that it reaches by links), kept (id = component_id)."""
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     job = _Job(docs, words, percent, least, seed)
-    out = job.rows.join(_labelled(job), F.col("key") == F.col("_key"), "left").withColumn("component_id", F.coalesce("component", "id"))
+    out = job.rows.join(_labelled(job), F.col("key") == F.col("_key"), "left").withColumn("component_id", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 

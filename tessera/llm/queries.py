@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, sharding, substring_dedup, token_counts, toxicity
@@ -39,7 +38,11 @@ def op6_toxicity(spark, sf_dir):
 
 
 def op7_token_counts(spark, sf_dir, vocabulary: str | None = None):
-    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary or public_tokenizers.path("byte_bpe_50k.json"))
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("byte_bpe_50k.json")
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op8_source_mix(spark, sf_dir):
