@@ -22,18 +22,28 @@ def _without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str)
     return minhash_dedup.drop_near_duplicates(docs)
 
 
+def _renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The columns by their places, so that no column of documents has the name of a result's; and the place of each."""
+    places = {c: f"_d{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*places.values()), places
+
+
 def _without_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a window of a benchmark item go."""
-    carry = tuple(c for c in docs.columns if c != "doc_id")
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), carry=carry)
-    return found.filter("not contaminated").select(*docs.columns)
+    rows, at = _renamed(docs)
+    carry = tuple(p for c, p in at.items() if c != "doc_id")
+    found = decontamination.decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), id_col=at["doc_id"], text_col=at["text"], carry=carry)
+    return found.filter("not contaminated").select(*[F.col(p).alias(c) for c, p in at.items()])
 
 
 def _mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes its words, 0 to 2 times; one that it takes in part, as often as comes nearest."""
-    mixed = mixing.mix_sources(docs, carry=tuple(c for c in docs.columns if c not in ("doc_id", "source")))
+    rows, at = _renamed(docs)
+    carry = tuple(p for c, p in at.items() if c not in ("doc_id", "source"))
+    mixed = mixing.mix_sources(rows, id_col=at["doc_id"], text_col=at["text"], source_col=at["source"], carry=carry)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(0).cast("int")
-    return mixed.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*docs.columns)
+    copies = mixed.withColumn("_times", times).filter("_times > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return copies.select(*[F.col(p).alias(c) for c, p in at.items()])
 
 
 def _sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
