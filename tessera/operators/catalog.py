@@ -144,3 +144,33 @@ def used_in_lines(lines: DataFrame, word: str, text: str = "text") -> DataFrame:
     whole = rf"(?i)(?<![\w$#]){re.escape(word)}(?![\w$#])"
     code = F.regexp_replace(F.col(text), "--.*$", "")
     return lines.filter(F.col(text).rlike(whole)).withColumn("only_comment", ~code.rlike(whole))
+
+
+def tagged(parts: dict[str, DataFrame]) -> DataFrame:
+    """Facts of different shapes in one table: a tag beside the columns of all, null where a part has none."""
+    out = None
+    for tag, df in parts.items():
+        own = df.select(F.lit(tag).alias("tag"), "*")
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    return out
+
+
+def folder_usage(spark: SparkSession, path: str) -> DataFrame:
+    """(folder, n_files, bytes, share) of the files below a folder; contents aren't read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
+    by = files.groupBy(F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder")).agg(F.count("*").alias("n_files"), F.sum("length").alias("bytes"))
+    total = by.agg(F.sum("bytes").alias("_all"))
+    return by.join(F.broadcast(total)).select("folder", "n_files", "bytes", (F.col("bytes") / F.col("_all")).alias("share"))
+
+
+def unknown_columns(sql: str, known: DataFrame) -> DataFrame:
+    """(table_name, column_name): qualified columns of a query that no table of the catalog (table_name, column_name) has; names made by AS are known."""
+    from ..plans.lexer import tokens
+
+    ts = tokens(sql)
+    made = {b.up for a, b in zip(ts, ts[1:], strict=False) if a.up == "AS"} | {a.up for a, b in zip(ts, ts[1:], strict=False) if b.up == "AS" and a.kind == "word"}
+    pairs = sorted({(a.up, c.up) for a, b, c in zip(ts, ts[1:], ts[2:], strict=False) if b.text == "." and a.kind == c.kind == "word" and c.up not in made and c.up not in ("NEXTVAL", "CURRVAL")})
+    spark = known.sparkSession
+    asked = spark.createDataFrame(pairs, "table_name string, column_name string") if pairs else spark.createDataFrame([], "table_name string, column_name string")
+    names = known.select(F.upper("column_name").alias("_c")).union(known.select(F.upper("table_name"))).distinct()
+    return asked.join(names, F.col("column_name") == F.col("_c"), "left_anti")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ def _name(ts: list[Token], i: int) -> tuple[str, int]:
 
 
 def extract(unit: str, text: str) -> Iterator[tuple]:
-    """(unit, path, fact, what, op, line); facts: subprogram, table (op C, R, U, D), call, mark, complexity."""
+    """(unit, path, fact, what, op, line); facts: subprogram, table (op C, R, U, D), call, sequence, handler, link, mark, complexity."""
     ts = tokens(text)
     ctes = {ts[i].up for i in range(len(ts) - 2) if ts[i + 1].up == "AS" and ts[i + 2].text == "(" and i and (ts[i - 1].up == "WITH" or ts[i - 1].text == ",")}
     names: list[tuple[str, int]] = []
@@ -115,6 +116,20 @@ def extract(unit: str, text: str) -> Iterator[tuple]:
                 j = k + 1
             i += 1
             continue
+        if up in ("NEXTVAL", "CURRVAL") and before == "." and i > 1:
+            k = i - 2
+            while k > 1 and ts[k - 1].text == ".":
+                k -= 2
+            yield unit, path(), "sequence", "".join(x.up.strip('"') for x in ts[k : i - 1]), up, t.line
+        if up == "WHEN" and opened and opened[-1] == "BEGIN" and i + 2 < len(ts) and "THEN" in (ts[i + 2].up, *(x.up for x in ts[i + 3 : i + 12] if x.text != ";")):
+            k = i + 1
+            while k < len(ts) and ts[k].up != "THEN":
+                name, after_name = _name(ts, k)
+                if name and name != "OR":
+                    yield unit, path(), "handler", name, "", t.line
+                k = max(after_name, k + 1)
+        if t.text == "@" and i and ts[i - 1].kind in ("word", "quoted") and i + 1 < len(ts) and ts[i + 1].kind in ("word", "quoted"):
+            yield unit, path(), "link", _name(ts, i + 1)[0], "", t.line
         if up == "EXECUTE" and after == "IMMEDIATE":
             yield unit, path(), "mark", "dynamic", "", t.line
         elif up in ("COMMIT", "ROLLBACK"):
@@ -134,6 +149,65 @@ def extract(unit: str, text: str) -> Iterator[tuple]:
         names.pop()
 
 
+class Subprogram(NamedTuple):
+    """A subprogram of a unit; `overload` counts those of the same path, `public` says whether the package's head has its name (None: no head)."""
+
+    path: str
+    kind: str
+    signature: str
+    start_line: int
+    end_line: int
+    overload: int
+    public: bool | None
+
+
+def wrapped(text: str) -> bool:
+    """Whether a unit's source is hidden: nothing of it can be read."""
+    ts = tokens(text[:2000])
+    return any(t.up == "WRAPPED" and t.kind == "word" for t in ts[:12])
+
+
+def subprograms(text: str, head: str | None = None) -> list[Subprogram]:
+    """The subprograms of a unit's text with the lines that they span, nested ones after their parent. Blocks without an end go to the last line."""
+    if wrapped(text):
+        return []
+    known = {ts.up for ts in tokens(head) if ts.kind == "word"} if head is not None else None
+    ts, out, stack, seen = tokens(text), [], [], {}
+    depth, i = 0, 0
+    last = ts[-1].line if ts else 1
+    while i < len(ts):
+        up, before = ts[i].up, ts[i - 1].up if i else ""
+        if up in ("PROCEDURE", "FUNCTION", "TRIGGER") and before not in ("END", "DROP"):
+            name, k = _name(ts, i + 1)
+            stop, brackets = k, 0
+            while stop < len(ts) and not (brackets == 0 and (ts[stop].up in ("IS", "AS", "BEGIN", "DECLARE") or ts[stop].text == ";")):
+                brackets += (ts[stop].text == "(") - (ts[stop].text == ")")
+                stop += 1
+            if stop < len(ts) and ts[stop].text != ";" and name:
+                path = ".".join([*(out[s].path for s, _ in stack[-1:]), name.split(".")[-1]])
+                seen[path] = seen.get(path, 0) + 1
+                signature = " ".join(text[ts[i].start : ts[stop].start].split())
+                public = None if known is None or stack else path in known
+                stack.append((len(out), depth))
+                out.append(Subprogram(path, up, signature, ts[i].line, last, seen[path], public))
+                if ts[stop].up in ("BEGIN", "DECLARE"):
+                    stop -= 1
+            i = stop + 1
+            continue
+        if up == "BEGIN" or up in ("CASE", "IF", "LOOP") and before != "END":
+            depth += 1
+        elif up == "END":
+            depth = max(0, depth - 1)
+            if stack and depth == stack[-1][1]:
+                at, _ = stack.pop()
+                end = i
+                while end + 1 < len(ts) and ts[end].text != ";":
+                    end += 1
+                out[at] = out[at]._replace(end_line=ts[end].line)
+        i += 1
+    return out
+
+
 def _in_call(ts: list[Token], i: int) -> bool:
     """FROM inside EXTRACT( ) or TRIM( )."""
     depth = 0

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -44,6 +45,40 @@ class Workbench:
         got = self.sql(text, **args).limit(most + 1).collect()
         return got[:most], len(got) > most
 
+    def count(self, text: str, **args) -> int:
+        """How many rows a query gives."""
+        return self.sql(text, **args).count()
+
+    def load(self, text: str, most: int, group: str = "load", **args) -> tuple[list[Row], bool]:
+        """(up to `most` rows, whether there are more) under a job group, which `cancel` ends from another thread."""
+        context = self.spark.sparkContext
+        context.setJobGroup(group, text[:200], interruptOnCancel=True)
+        try:
+            return self.first_rows(text, most, **args)
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    def cancel(self, group: str = "load") -> None:
+        self.spark.sparkContext.cancelJobGroup(group)
+
+    def stream(self, text: str, **args) -> Iterator[Row]:
+        """All rows, a partition at a time, beside whatever else runs."""
+        return self.sql(text, **args).toLocalIterator(prefetchPartitions=True)
+
+    def beside(self, folder: str) -> Workbench:
+        """A workbench over another folder; its queries are as read-only as these."""
+        return Workbench(self.spark, folder)
+
+    def attach(self, name: str, df: DataFrame) -> None:
+        """Gives a table from elsewhere (a link, another catalog) a name that queries can use."""
+        if not name.isidentifier():
+            raise ValueError(f"not a name: {name}")
+        df.createOrReplaceTempView(name)
+
+    def use(self, database: str) -> None:
+        """The current schema, for names without one."""
+        self.spark.catalog.setCurrentDatabase(database)
+
     def explain(self, text: str, **args) -> str:
         """The plan of a query, as text; nothing runs."""
         return self.sql(text, **args)._jdf.queryExecution().explainString(self.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
