@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import dialect as D
-from .operators import catalog, checks, diff, graph, integrate, move, predicates, rows, trace
-from .plans import code_facts, flows, lexer, lineage, rewrite, statements
-from .sources import history, text_io
+from .operators import catalog, checks, diff, graph, integrate, move, predicates, rows, sessions, trace
+from .plans import code_facts, edit_sql, flows, lexer, lineage, rewrite, statements, value_trace
+from .sources import code_files, history, text_io
 from .streaming import windows
 from .workbench import TABLES, Workbench
 
@@ -958,3 +958,133 @@ def possible_writes(w):
     orders = w.table("orders")
     target = w.table("customer").filter("c_acctbal > 0").select(F.col("c_custkey").alias("o_custkey"))
     return trace.possible_writes(target, orders, ["o_custkey"], F.col("o_totalprice") > 1000)
+
+
+# --- conditions, names, changes as texts that run ---
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(p_name, 'cold') OR contains(p_name, 'dg')")
+def multi_like(w):
+    return w.table("part").select("p_partkey", "p_name").filter(predicates.list_condition("p_name", ["cold", "dg", "cold"], "like"))
+
+
+@query("SELECT string_agg('''' || v || '''', ',' ORDER BY v) AS text FROM (SELECT DISTINCT p_type AS v FROM part)")
+def value_list_text(w):
+    return predicates.value_list(w.table("part"), "p_type")
+
+
+@query("SELECT p_partkey FROM part WHERE upper(p_name) LIKE '_O%WIDGET'")
+def name_like_pattern(w):
+    return w.table("part").filter(predicates.name_like("p_name", "_o%widget")).select("p_partkey")
+
+
+_STATUS_TOTALS = "SELECT o.o_orderstatus AS st, count(*) AS n FROM {orders} o WHERE o.o_orderkey < 500 OR o.o_orderkey > 1000 GROUP BY o.o_orderstatus ORDER BY n DESC"
+
+
+@query("SELECT o_orderstatus AS st, count(*) AS n FROM orders WHERE (o_orderkey < 500 OR o_orderkey > 1000) AND o_totalprice > 100000 GROUP BY 1")
+def condition_added(w):
+    return w.sql(edit_sql.add_condition(_STATUS_TOTALS.replace("{orders}", "ORDERS_"), "o.o_totalprice > 100000").replace("ORDERS_", "{orders}"))
+
+
+@query("SELECT o_orderstatus AS st, count(*) AS n FROM orders WHERE o_orderkey < 500 OR o_orderkey > 1000 GROUP BY 1 HAVING count(*) > 100")
+def condition_wrapped(w):
+    text, wrapped = edit_sql.place_condition(_STATUS_TOTALS.replace("{orders}", "ORDERS_"), "N", lambda e: f"{e} > 100")
+    return w.sql(text.replace("ORDERS_", "{orders}")) if wrapped else None
+
+
+@query("SELECT count(*) AS n FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice < 50000 OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal < 0))")
+def change_affects(w):
+    change = edit_sql.parse_change("DELETE FROM ORDERS_ o WHERE o.o_orderstatus = 'F' AND (o.o_totalprice < 50000 OR o.o_custkey IN (SELECT c_custkey FROM CUSTOMER_ WHERE c_acctbal < 0))")
+    return w.sql(edit_sql.affected_sql(change).replace("ORDERS_", "{orders}").replace("CUSTOMER_", "{customer}"))
+
+
+@query("SELECT o_custkey AS c_custkey, count(*) AS n FROM orders WHERE o_orderkey % 4 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) GROUP BY 1 HAVING count(*) > 1")
+def merge_statement_check(w):
+    """The keys of a MERGE are read from its text."""
+    merge = edit_sql.parse_merge("MERGE INTO customer c USING (SELECT o_custkey, o_totalprice FROM orders WHERE MOD(o_orderkey, 4) = 0) s ON (c.c_custkey = s.o_custkey) WHEN MATCHED THEN UPDATE SET c.c_acctbal = s.o_totalprice")
+    (pair,), _ = edit_sql.merge_keys(merge)
+    source = w.table("orders").filter("o_orderkey % 4 = 0").select(F.col(pair[1].lower()).alias(pair[0].lower()))
+    return move.matched_twice(w.table("customer"), source, [pair[0].lower()])
+
+
+_TRACED = "INSERT INTO order_totals (order_id, total) SELECT o.o_orderkey, SUM(l.l_quantity) FROM traced_orders o, traced_lines l WHERE l.l_orderkey = o.o_orderkey AND o.o_orderstatus = 'F' AND l.l_tax > v_least GROUP BY o.o_orderkey"
+
+
+def _traced(w):
+    w.attach("traced_orders", w.table("orders"))
+    w.attach("traced_lines", w.table("lineitem"))
+    (path,) = value_trace.paths(_TRACED, "order_totals", "total", ["order_id"])
+    return value_trace.runnable(path, w.problem)
+
+
+@query("SELECT l_orderkey AS order_id, sum(l_quantity) AS value, sum(l_quantity) = sum(l_quantity) + CASE WHEN l_orderkey % 7 = 0 THEN 1 ELSE 0 END AS reproduced FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' GROUP BY l_orderkey")
+def value_trace_reproduced(w):
+    """Stored values against those that the statement's own query gives; the condition on a variable is left out."""
+    found = w.sql(value_trace.value_query(_traced(w)))
+    stored = w.table("lineitem").groupBy(F.col("l_orderkey").alias("k")).agg((F.sum("l_quantity") + F.when(F.col("l_orderkey") % 7 == 0, 1).otherwise(0)).alias("stored"))
+    both = found.join(stored, F.col("ORDER_ID") == F.col("k"))
+    return both.select(F.col("ORDER_ID").alias("order_id"), "value", statements.same_value(F.col("stored"), F.col("value")).alias("reproduced"))
+
+
+@query("SELECT o_orderkey AS order_id, CASE WHEN o_orderstatus = 'F' THEN 'O' ELSE 'X' END AS c1 FROM orders JOIN lineitem ON l_orderkey = o_orderkey")
+def value_trace_flags(w):
+    out = w.sql(value_trace.flags_query(_traced(w))[0])
+    return out.toDF(*[c.lower() for c in out.columns])
+
+
+@query("SELECT 1 AS step, 'O' AS joined, count(*) AS n FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, 'L', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderstatus = 'F'")
+def value_trace_survival(w):
+    parts = [w.sql(q).select(F.lit(i).alias("step"), F.lit(a).alias("joined"), "n") for i, (a, q) in enumerate(value_trace.survival_queries(_traced(w)), 1)]
+    return parts[0].unionByName(parts[1])
+
+
+@query("WITH RECURSIVE s AS (SELECT c_custkey AS name, c_custkey + 1 AS t FROM customer WHERE c_custkey % 12 <> 0), r AS (SELECT c_custkey AS name, c_custkey AS target, 0 AS hops FROM customer UNION ALL SELECT r.name, s.t, hops + 1 FROM r JOIN s ON s.name = r.target WHERE hops < 8) SELECT 'C' || name AS name, CASE WHEN max_by(target, hops) IN (SELECT name FROM s) THEN NULL ELSE 'C' || max_by(target, hops) END AS target FROM r GROUP BY r.name")
+def synonym_chains(w):
+    c = w.table("customer").select("c_custkey")
+    called = lambda n: F.concat(F.lit("C"), n.cast("string"))
+    links = c.filter("c_custkey % 12 <> 0").select(called(F.col("c_custkey")).alias("synonym"), called(F.col("c_custkey") + 1).alias("table_name"))
+    return catalog.resolve_synonyms(c.select(called(F.col("c_custkey")).alias("name")), links)
+
+
+_SESSIONS = "SELECT c_custkey AS sid, CASE WHEN c_nationkey % 2 = 0 THEN 'ACTIVE' ELSE 'INACTIVE' END AS status, c_nationkey AS idle_s, CASE WHEN c_custkey % 6 <> 0 THEN c_custkey - 1 END AS blocked_by FROM customer"
+
+
+@query(f"SELECT sid - sid % 6 AS sid, count(*) AS blocked, max(idle_s) AS waiting FROM ({_SESSIONS}) WHERE blocked_by IS NOT NULL GROUP BY 1")
+def lock_waits(w):
+    return sessions.blockers(w.sql(_SESSIONS.replace("FROM customer", "FROM {customer}")))
+
+
+@query("SELECT name, CASE WHEN n = 'WIDGET' THEN 1100 WHEN n LIKE 'WIDGET%' THEN 1000 - least(length(n) - 6, 200) WHEN contains('_' || n, '_WIDGET') THEN 600 WHEN contains(n, 'WIDGET') THEN 400 END::INT AS score FROM (SELECT DISTINCT replace(p_name, ' ', '_') AS name, upper(replace(p_name, ' ', '_')) AS n FROM part) WHERE contains(n, 'WIDGET') ORDER BY score DESC, name LIMIT 10")
+def name_completion_topk(w):
+    names = w.table("part").select(F.replace("p_name", F.lit(" "), F.lit("_")).alias("name")).distinct()
+    return rows.top_names(names, "name", "widget", 10).select("name", "score")
+
+
+@query("SELECT 'b' AS bucket, count(*) AS n, avg((o_orderstatus = 'F')::INT) AS rate FROM orders WHERE o_orderkey % 3 = 1")
+def bucket_threshold(w):
+    b = F.element_at(F.array(F.lit("a"), F.lit("b"), F.lit("c")), (F.col("o_orderkey") % 3 + 1).cast("int"))
+    failed = F.when(b == "a", F.lit(0)).otherwise((F.col("o_orderstatus") == "F").cast("int"))
+    return history.too_large(w.table("orders").groupBy(b.alias("bucket")).agg(F.count("*").alias("n"), F.avg(failed).alias("rate")), F.col("bucket"))
+
+
+@query("SELECT 'c' AS tag, c_custkey AS k, c_name AS name, NULL AS price FROM customer UNION ALL SELECT 'o', o_orderkey, NULL, o_totalprice FROM orders")
+def tagged_union(w):
+    return catalog.tagged({"c": w.table("customer").select(F.col("c_custkey").alias("k"), F.col("c_name").alias("name")), "o": w.table("orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("price"))})
+
+
+@query("SELECT (n_nationkey + 25 * a.x)::INT AS r, b.y::INT AS c, n_name AS v FROM nation, range(2) a(x), range(3) b(y)")
+def paste_tiled(w):
+    cells = w.table("nation").select(F.col("n_nationkey").alias("r"), F.lit(0).alias("c"), F.col("n_name").alias("v"))
+    return rows.paste(cells, 25, 1, (0, 49, 0, 2), 100, 100)[0]
+
+
+@query()
+def subprogram_spans(w):
+    return w.spark.createDataFrame([tuple(s) for s in code_facts.subprograms(_SCRIPT)], "path string, kind string, signature string, start_line int, end_line int, overload int, public boolean")
+
+
+@query()
+def embedded_queries(w):
+    """Facts of queries kept in XML."""
+    text = "<queries><query id='open'>SELECT a FROM open_orders #if($x) WHERE k = $x #end</query></queries>"
+    return code_facts.facts(w.spark.createDataFrame([("Q", code_files.queries_unit(text, "Q"))], "unit string, text string"))
