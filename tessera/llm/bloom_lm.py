@@ -12,7 +12,8 @@ and scores them with the answers. Estimates take the same steps either way, so t
 A word's probability is the add-one unigram estimate, mixed with the bigram estimate: p(w | h) = m c(h w) / c(h) + (1 - m) p(w). All counts are
 lower ends of their steps, so that the bigram estimates of a context may sum to a little over one only by false positives and by the context's
 step. Words are told apart by 64 bits (among 10**9 different ones some 0.03 pairs share them by chance), bigrams by twice as many bits as the number of
-training tokens has, less 8, and 44 at least: at any size some hundred pairs of bigrams in all share a number.
+training tokens has, less 8, and 44 at least: at any size some hundred pairs of bigrams in all share a number. An ask leaves out the bits of a bigram that
+ten more than the number of bigrams has don't need: one bigram in a thousand that isn't counted is taken for one that is, fewer than by the filter.
 
 Bigrams count from `least_pair` occurrences on, 1 by default.
 
@@ -35,8 +36,8 @@ from ._words import U64, chunks, hashes, mix
 #: Tokens that a batch gathers before its counts are sent, and that are merged before they are dealt to the parts of a share; segments of the
 #: filter; tokens of a part of the count tables; parts that counts are dealt to directly: with more they go by as many shares of parts.
 BATCH_TOKENS, MERGED_TOKENS, SEGMENTS, PART_TOKENS, FAN = 1 << 21, 1 << 22, 64, 1 << 21, 1024
-#: Bytes of text whose open tokens are asked for together.
-OPEN_BYTES = 1 << 21
+#: Bytes of text whose open tokens are asked for together; bits of an ask over those of the number of bigrams.
+OPEN_BYTES, ASK_SPARE = 1 << 22, 10
 #: Words whose counts the workers hold exactly; bits of the filter, per member and at most; probes of a member.
 HEAD, MEMBER_BITS, MOST_BITS, PROBES = 1 << 20, 10, 1 << 28, 4
 #: Steps of the scale of counts: each is the least whole number over 1.5 times the one before.
@@ -62,7 +63,11 @@ def _tokens(data, offs):
 
 def _bigrams(before, tokens, bits: int):
     """Numbers of bigrams; the lower bits are 0, which packs to next to nothing."""
-    return mix(before * U64(0xD6E8FEB86659FD93) + mix(tokens + U64(0x2545F4914F6CDD1D))) & U64(2**64 - 2 ** (64 - bits))
+    return _upper(mix(before * U64(0xD6E8FEB86659FD93) + mix(tokens + U64(0x2545F4914F6CDD1D))), bits)
+
+
+def _upper(numbers, bits: int):
+    return numbers & U64(2**64 - 2 ** (64 - bits))
 
 
 _SENT = pa.schema([("part", pa.int32()), ("texts", pa.int64()), *[(c, pa.binary()) for c in ("w", "wn", "b", "bn")]])
@@ -227,8 +232,8 @@ def _segment(bits: int):
 class Model:
     """What the workers hold: the filter, the head of the word counts, and totals."""
 
-    def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float, least_pair: int, pair_bits: int):
-        self.pair_bits, self.least_pair, self.flt, self.least, self.words, self.counts = pair_bits, least_pair, flt, least, words, counts
+    def __init__(self, flt: Filter, least: tuple[int, int], words, counts, tokens: int, types: int, texts: int, share: float, least_pair: int, pair_bits: int, ask_bits: int):
+        self.ask_bits, self.pair_bits, self.least_pair, self.flt, self.least, self.words, self.counts = ask_bits, pair_bits, least_pair, flt, least, words, counts
         self.tokens, self.types, self.texts, self.share = tokens, types, texts, share
         self.by_rank = np.argsort(-counts, kind="stable")
         self.rank = np.empty(len(words), np.int64)
@@ -329,7 +334,7 @@ class _Opened:
         self.some = ((words == BEGIN) | (self.about >= model.least_pair) | unsure)[self.before]  # no rarer context has a bigram that counts
         pairs, self.back = np.unique(_bigrams(words[self.before[self.some]], words[self.token[self.some]], model.pair_bits), return_inverse=True)
         self.pair, self.asks_pair = model.pairs_about(pairs)
-        self.w, self.b = words[self.asks_word], pairs[self.asks_pair]
+        self.w, self.b = words[self.asks_word], _upper(pairs[self.asks_pair], model.ask_bits)
 
 
 _ASK = pa.schema([("part", pa.int32()), ("rid", pa.int64()), ("w", pa.binary()), ("b", pa.binary())])
@@ -363,7 +368,7 @@ def _untold(model):
                 words, word_counts, pairs, pair_counts = unpack(w), unpack_small(wn), unpack(b), unpack_small(bn)
                 some = ~m.place(words)[1]
                 low = np.searchsorted(SCALE, pair_counts.astype(np.int64), "right") < m.least[1]
-                rows.append({"part": part, "w": pack(words[some]), "wn": pack_small(word_counts[some]), "b": pack(pairs[low]), "bn": pack_small(pair_counts[low])})
+                rows.append({"part": part, "w": pack(words[some]), "wn": pack_small(word_counts[some]), "b": pack(_upper(pairs[low], m.ask_bits)), "bn": pack_small(pair_counts[low])})
             yield pa.RecordBatch.from_pylist(rows, schema=_COUNTS)
 
     return untold
@@ -468,7 +473,7 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
         words.append(unpack(r.w))
         counts.append(unpack_small(r.wn).astype(np.int64))
     none = np.zeros(0, np.uint64)
-    model = Model(Filter(SEGMENTS, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair, pair_bits)
+    model = Model(Filter(SEGMENTS, bits, array.ravel()), (least["w"], least["b"]), np.concatenate([none, *words]), np.concatenate([none.astype(np.int64), *counts]), tokens, types, n_texts, share, least_pair, pair_bits, min(pair_bits, int(tallies["b"].sum()).bit_length() + ASK_SPARE))
     return model, sums.select("part", "w", "wn", "b", "bn"), parts
 
 

@@ -175,7 +175,8 @@ def test_language_model(docs, texts):
 
 @pytest.mark.parametrize(("head", "most_bits"), [(1 << 20, 1 << 28), (50, 1 << 28), (50, 30_000), (0, 0)])
 def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monkeypatch, head, most_bits):
-    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives, nor by asks
+    monkeypatch.setattr(bloom_lm, "ASK_SPARE", 40)
     step = lambda c, least: 0 if c < least else int(bloom_lm.SCALE[np.searchsorted(bloom_lm.SCALE, c, "right") - 1])
     words, pairs, rows, trained = Counter(), Counter(), {}, 0
     for i, t in enumerate(texts):
@@ -198,7 +199,8 @@ def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monk
 
 @pytest.mark.parametrize(("head", "most_bits"), [(1 << 20, 1 << 28), (1 << 20, 30_000), (1 << 20, 0)])
 def test_query_counts_bigrams_met_once(spark, docs, texts, monkeypatch, head, most_bits):
-    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives, nor by asks
+    monkeypatch.setattr(bloom_lm, "ASK_SPARE", 40)
     monkeypatch.setattr(queries, "_table", lambda *_: docs)
     monkeypatch.setattr(bloom_lm, "train", functools.partial(bloom_lm.train, head=head, most_bits=most_bits))
     step = lambda c: int(bloom_lm.SCALE[np.searchsorted(bloom_lm.SCALE, c, "right") - 1]) if c else 0
@@ -219,8 +221,19 @@ def test_query_counts_bigrams_met_once(spark, docs, texts, monkeypatch, head, mo
         assert got[i].score == pytest.approx(want, rel=1e-9)
 
 
+def test_asks_tell_nearly_all_bigrams_apart(docs, monkeypatch):
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)
+    asked = by_id(bloom_lm.lm_scores(docs, most_bits=0))
+    monkeypatch.setattr(bloom_lm, "ASK_SPARE", 40)
+    exact = by_id(bloom_lm.lm_scores(docs, most_bits=0))
+    assert all(asked[i].base_score == pytest.approx(r.base_score) and asked[i].score >= r.score - 1e-9 for i, r in exact.items())
+    more = sum(asked[i].score - r.score for i, r in exact.items()) / sum(r.n_tokens for r in exact.values())
+    assert more < 0.002  # log10 a token
+
+
 def test_counts_by_shares_of_parts(docs, monkeypatch):
-    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives
+    monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives, nor by asks
+    monkeypatch.setattr(bloom_lm, "ASK_SPARE", 40)
     one = by_id(bloom_lm.lm_scores(docs))
     monkeypatch.setattr(bloom_lm, "FAN", 10)
     monkeypatch.setattr(bloom_lm, "PART_TOKENS", 100)
