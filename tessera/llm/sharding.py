@@ -3,8 +3,8 @@
 The rows of each source are shuffled by a seeded hash and ranked; rank / rows of the source is a row's place on a line from 0 to 1.
 Sorted by that place and cut in equal runs, every shard has each source in its share of the whole, to within a row or two.
 
-Defined cases: a null source is a source of its own. Null ids sort first. Rows with equal ids stand next to each other, by size and checksum.
-An empty table gives an empty result. Extra columns are ignored; name those to carry in `carry`.
+Defined cases: a null source is a source of its own. Null ids sort first. Rows with equal ids are placed each by its text; rows that are equal in id and text stand
+next to each other. An empty table gives an empty result. Extra columns are ignored; name those to carry in `carry`.
 """
 
 from __future__ import annotations
@@ -31,7 +31,7 @@ def stratified_shards(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = tmp.put(
         df.select(
             F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"),
-        ).withColumn("_key", seeded(seed, "_id")),
+        ).withColumn("_key", seeded(seed, "_id", "text_crc32", "size")),
         "rows",
     )
     total = rows.count()
