@@ -6,7 +6,8 @@ size. A seeded permutation of the blocks, (prime * block + start) modulo their n
 blocks of its quota, so that no block is taken a second time before all are taken once, and none a third time.
 
 Defined cases: null text has no words. A null source is the last source. Documents without words take nothing. An empty table gives an
-empty result. Rows with equal ids stand next to each other, by size and a checksum of the text and the carried columns. Extra columns are ignored.
+empty result. Rows with equal ids are placed each by a checksum of its text; rows that are equal in both stand next to each
+other, in the order of a checksum of the carried columns. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -93,8 +94,8 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     tmp = Scratch(df.sparkSession)
     carried = [F.col(c).alias(f"_carry_{i}") for i, c in enumerate(carry)]
     tie = F.xxhash64(F.col(text_col), *[F.col(c) for c in carry])
-    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), tie.alias("_tie"), *carried)
-    rows = tmp.put(rows.withColumn("_key", seeded(seed + 1, "id")), "rows")
+    rows = df.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), words_in(F.col(text_col)).alias("size"), F.xxhash64(F.col(text_col)).alias("_text"), tie.alias("_tie"), *carried)
+    rows = tmp.put(rows.withColumn("_key", seeded(seed + 1, "id", "_text")).drop("_text"), "rows")
     sources = tmp.put(plan(rows, seed=seed, **shape).withColumnRenamed("source", "_s"), "sources")
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
     line = running(placed, ["source"], "_key", ["id", "size", "_tie"], F.col("size"), F.ceil(F.col("_rows") / GROUP_ROWS), "_start")
