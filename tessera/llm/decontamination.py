@@ -33,15 +33,15 @@ def normal_words(raw: bytes) -> list[bytes]:
 
 
 class Automaton:
-    """Patterns are words between single spaces, so a match begins and ends at words."""
+    """Patterns are words between single spaces, so a match begins and ends at words. Of an item with a step only every so manieth window is taken."""
 
-    def __init__(self, items: list[tuple[str, str]], window: int):
+    def __init__(self, items: list[tuple[str, str, int, int]], window: int):
         self.trie = ahocorasick.Automaton()
         found: dict[str, tuple[int, set[str]]] = {}
-        for item, text in items:
+        for item, text, first, step in items:
             words = [w.decode() for w in normal_words((text or "").encode())]
             size = min(window, len(words))
-            for i in range(len(words) - size + 1 if words else 0):
+            for i in range(first, len(words) - size + 1 if words else 0, step):
                 found.setdefault(" " + " ".join(words[i : i + size]) + " ", (size, set()))[1].add(item)
         for pattern, (size, owners) in found.items():
             self.trie.add_word(pattern, (size, tuple(sorted(owners))))
@@ -73,11 +73,13 @@ def original_spans(text: str, hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _groups(benchmark: DataFrame, id_col: str, text_col: str, window: int, most: int) -> list[DataFrame]:
-    """Shares of the items whose patterns fit an automaton; nearly always one."""
+    """Shares of the items (id, text, first, step) whose patterns fit an automaton; nearly always one. An item too long for one is in all, some windows in each."""
     items = benchmark.select(F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] * window
     n = max(1, -(-chars // most))
-    return [items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n)) == g) for g in range(n)]
+    long = F.length("text") * window > most
+    one = lambda g: items.filter(~long & (F.pmod(F.xxhash64("id", "text"), F.lit(n)) == g)).select("id", "text", F.lit(0).alias("first"), F.lit(1).alias("step"))
+    return [one(g).union(items.filter(long).select("id", "text", F.lit(g), F.lit(n))) for g in range(n)]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", carry: tuple = (), most_chars: int = MOST_CHARS) -> DataFrame:
@@ -95,7 +97,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     k = len(keep)
     for g, share in enumerate(groups):
         last = g == len(groups) - 1
-        shared = spark.sparkContext.broadcast([(r.id, r.text) for r in share.collect()])
+        shared = spark.sparkContext.broadcast([(r.id, r.text, r.first, r.step) for r in share.collect()])
         fields = out.schema.fields[:k]
         if last:
             fields = [*fields, *T.StructType.fromDDL("n_words long, n_hit long, items array<string>").fields, T.StructField("spans", spans_kind), *T.StructType.fromDDL("n_items long, items_sha256 string, contaminated boolean").fields]
