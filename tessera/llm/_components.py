@@ -21,23 +21,21 @@ def _small(e: DataFrame) -> DataFrame:
     return near.union(least.select("u", F.col("m").alias("v"))).distinct()
 
 
-def _state(e: DataFrame):
-    return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(e: DataFrame) -> bool:
+    """Whether the edges (u, v) are those of every node to the least of its component already: no node has two, or is on both sides."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(e.select("v", F.lit(0), F.lit(1)))
+    odd = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).filter("up > 1 OR up > 0 AND down > 0")
+    return odd.agg(F.count("*")).first()[0] == 0
 
 
 def components(tmp: Scratch, edges: DataFrame, name: str) -> DataFrame:
     """(node, label) for every node of the edges (a, b): long numbers; the label is the least node that it reaches."""
     e = edges.filter("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    e = tmp.put(e, f"{name}_0")
-    before, k = _state(e), 0
-    while before[0]:
+    e, k = tmp.put(e, f"{name}_0"), 0
+    while not _stars(e):
         k += 1
         e = tmp.put(_small(_large(e)), f"{name}_{k}")
         tmp.drop(f"{name}_{k - 1}")
-        now = _state(e)
-        if now == before:
-            break
-        before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).union(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 

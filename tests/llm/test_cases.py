@@ -117,6 +117,21 @@ def test_rows_of_many_megabytes():
     assert len(_words.hashes(one, np.array([0, len(one)]))[0]) == 1
 
 
+@pytest.mark.parametrize("kind", ["random", "chain", "star", "none"])
+def test_components(spark, kind):
+    from tessera.llm._components import components
+    from tessera.llm._scratch import Scratch
+
+    rng = np.random.default_rng(3)
+    pairs = {"random": rng.integers(0, 120, (90, 2)).tolist(), "chain": [(i, i + 1) for i in range(40)], "star": [(0, i) for i in range(1, 9)] + [(20, 21)], "none": [(3, 3)]}[kind]
+    label = list(range(200))
+    for _ in range(200):
+        for a, b in pairs:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r.node: r.label for r in components(Scratch(spark), spark.createDataFrame(pairs, "a long, b long"), "x").collect()}
+    assert got == {n: label[n] for p in pairs if p[0] != p[1] for n in p}
+
+
 FOLDER = "/root/testdata/sf0.001"
 
 
