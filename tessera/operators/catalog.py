@@ -26,6 +26,30 @@ def compare(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     return both.select(*keys, status.alias("status"), F.when(status == "changed", F.array_join(differs, ",")).otherwise("").alias("differs"))
 
 
+def compare_all(a: dict[str, DataFrame], b: dict[str, DataFrame], keys: dict[str, list[str]]) -> DataFrame:
+    """(kind, object, status, differs) over all kinds of objects of two snapshots (columns, constraints, indexes, views, sequences, code): each kind by its
+    key columns, which make the object's name; a kind that one side lacks is empty there.
+    """
+    out = None
+    for kind in sorted(set(a) | set(b)):
+        left, right = a.get(kind), b.get(kind)
+        left = right.limit(0) if left is None else left
+        right = left.limit(0) if right is None else right
+        found = compare(left, right, keys[kind]).select(F.lit(kind).alias("kind"), F.concat_ws(".", *keys[kind]).alias("object"), "status", "differs")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def constraints(columns: DataFrame, primary: DataFrame, unique: DataFrame | None = None) -> DataFrame:
+    """(table_name, definition): not-null checks of columns, primary keys and unique keys (table_name, column_name, position), by definition, names apart."""
+    listed = lambda df, word: df.groupBy("table_name").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("position", F.upper("column_name").alias("c")))), lambda x: x["c"]), ", ").alias("c")).select("table_name", F.concat(F.lit(f"{word} ("), "c", F.lit(")")).alias("definition"))
+    out = listed(primary, "PRIMARY KEY")
+    keyed = primary.select(F.col("table_name").alias("_t"), F.col("column_name").alias("_c"))
+    checks = columns.filter("NOT nullable").join(keyed, (F.col("table_name") == F.col("_t")) & (F.col("column_name") == F.col("_c")), "left_anti")
+    out = out.unionByName(checks.select("table_name", F.concat(F.upper("column_name"), F.lit(" IS NOT NULL")).alias("definition")))
+    return out.unionByName(listed(unique, "UNIQUE")) if unique is not None else out
+
+
 def definition_key(c: str) -> Column:
     """Definitions of unnamed constraints: upper case, one space."""
     return F.upper(F.trim(F.regexp_replace(F.col(c), r"\s+", " ")))

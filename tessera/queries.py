@@ -684,7 +684,7 @@ _MEMBERS = """members AS (SELECT DISTINCT owner, unit, unit_type, path, CASE WHE
  CASE WHEN p_partkey % 5 = 0 THEN 'S' || p_size % 9 WHEN p_partkey % 3 = 0 THEN 'M' || p_size % 4 || '.M' || p_partkey % 7 ELSE 'M' || p_partkey % 7 END AS path FROM part WHERE (p_partkey % 4) * 9 + p_size % 9 <> 13 AND p_partkey % 11 <> 1))"""
 _CALLS = """calls AS (SELECT DISTINCT owner, unit, unit_type, path, CASE l_linenumber % 7 WHEN 0 THEN 'M' || l_suppkey % 8 WHEN 1 THEN 'S' || l_suppkey % 9 WHEN 2 THEN 'P' || l_suppkey % 10 || '.M' || l_orderkey % 7 WHEN 3 THEN 'O' || l_suppkey % 5 || '.S' || l_orderkey % 9
  WHEN 4 THEN 'O' || l_suppkey % 4 || '.P' || l_orderkey % 9 || '.M' || l_partkey % 7 WHEN 5 THEN 'DBMS_OUTPUT.PUT_LINE' ELSE 'M' || l_suppkey % 4 END AS callee
- FROM lineitem JOIN (SELECT owner, unit, unit_type, path, row_number() OVER (ORDER BY owner, unit, unit_type, path) AS k, count(*) OVER () AS n FROM members) m ON k = l_partkey % n + 1)"""
+ FROM (SELECT DISTINCT l_linenumber, l_suppkey, l_orderkey % 63 AS l_orderkey, l_partkey, l_partkey % (SELECT count(*) FROM members) + 1 AS pick FROM lineitem) l JOIN (SELECT owner, unit, unit_type, path, row_number() OVER (ORDER BY owner, unit, unit_type, path) AS k FROM members) m ON k = pick)"""
 _RESOLVED = """ SELECT owner, unit, unit_type, path, callee, target, CASE WHEN target IS NOT NULL THEN 'resolved' WHEN callee LIKE 'DBMS%' THEN 'system' ELSE 'unknown' END AS status FROM (
  SELECT c.*, CASE len(string_split(callee, '.'))
   WHEN 1 THEN coalesce(

@@ -96,3 +96,37 @@ def test_the_rest_of_the_workbench(spark, tmp_path):
     assert usage.agg(F.round(F.sum("share"), 6)).first()[0] == 1.0
     cols = catalog.columns_of(spark, {"region": w.table("region")})
     assert [tuple(r) for r in catalog.unknown_columns("SELECT r.r_name, r.bad, region.r_name AS made, x.made FROM region r", cols).collect()] == [("R", "BAD")]
+
+
+def test_answers(spark):
+    from tessera.operators import answers
+
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    assert one(answers.share_of(F.lit("한글 abc"), r"\p{IsHangul}")) == 0.4 and one(answers.share_of(F.lit("12"), r"\p{L}")) is None
+    assert one(answers.names_in(F.lit("uses ORD_ITEMS and P.RUN_IT, not Plain, ORD_ITEMS"))) == ["ORD_ITEMS", "P.RUN_IT"]
+    said = spark.createDataFrame([("u", "reads ORD_ITEMS via PKG.RUN"), ("v", "PKG.RUN")], "unit string, text string")
+    known = spark.createDataFrame([("u", "pkg"), ("u", "run"), ("v", "pkg")], "unit string, word string")
+    found = answers.ungrounded(said, known)
+    assert sorted(map(tuple, found.collect())) == [("u", "ORD_ITEMS"), ("v", "PKG.RUN")] and answers.most_ungrounded(found, 1).first().name == "ORD_ITEMS"
+    code = spark.createDataFrame([("u", "select a, b from t\n  where a = 1 and b = 2\nupdate t set x = 1\n;")], "unit string, text string")
+    copy = spark.createDataFrame([("u", "It does: select  a, b from t\nselect a, b from t\nwhere a = 1 and b = 2\nupdate t set x = 1")], "unit string, text string")
+    assert [tuple(r) for r in answers.copies_code(copy, code).collect()] == [("u", 3)]
+    assert answers.worst(spark.createDataFrame([("a", 1), ("b", 3)], "unit string, weight int"), 1).first().unit == "b"
+
+
+def test_snapshots_of_all_kinds(spark):
+    a = catalog.columns_of(spark, {"t": spark.createDataFrame([], "k int, v string")})
+    keys = spark.createDataFrame([("t", "k", 1)], "table_name string, column_name string, position int")
+    mine = catalog.constraints(a.withColumn("nullable", F.col("column_name") == "k"), keys, spark.createDataFrame([("t", "v", 1), ("t", "k", 2)], keys.schema))
+    assert sorted(r.definition for r in mine.collect()) == ["PRIMARY KEY (K)", "UNIQUE (V, K)", "V IS NOT NULL"]
+    got = catalog.compare_all({"column": a, "constraint": mine.withColumn("enabled", F.lit(True))}, {"column": a.filter("column_name = 'k'")}, {"column": ["table_name", "column_name"], "constraint": ["definition"]})
+    assert sorted((r.kind, r.object, r.status) for r in got.collect()) == [("column", "t.k", "same"), ("column", "t.v", "a_only"), ("constraint", "PRIMARY KEY (K)", "a_only"), ("constraint", "UNIQUE (V, K)", "a_only"), ("constraint", "V IS NOT NULL", "a_only")]
+
+
+def test_more_of_the_dialect(spark):
+    from tessera.plans.rewrite import to_spark
+
+    one = lambda q: tuple(spark.sql(to_spark(q)).first())
+    assert one("""SELECT XMLELEMENT("a", 1, XMLELEMENT(b, '<x>')) AS x, CONVERT('é', 'UTF8') AS c, JSON_EXISTS('{"k": 1}', '$.k') AS j FROM dual""") == ("<a>1<B>&lt;x&gt;</B></a>", "é", True)
+    assert one("SELECT XMLAGG(n ORDER BY n DESC) AS x FROM (SELECT 'a' AS n FROM dual UNION ALL SELECT 'b' FROM dual)") == ("ba",)
+    assert str(one("SELECT TIMESTAMP '2024-01-01 00:00:00' AT TIME ZONE 'Asia/Seoul' AS t FROM dual")[0]) == "2024-01-01 09:00:00"
