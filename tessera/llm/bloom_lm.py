@@ -267,8 +267,11 @@ class Model:
         """log10 of the mixed estimate."""
         return np.log10(self.share * np.minimum(pair, context) / np.maximum(context, 1) + (1 - self.share) * (about + 1) / (self.tokens + self.types + 1.0))
 
-    def score(self, tokens, before, counts):
-        """Each row's (known tokens, exact log10, log10 under the model) over the tokens that aren't open, and where open ones are."""
+    def score(self, tokens, before, counts, trained):
+        """Each row's (known tokens, exact log10, log10 under the model) over the tokens that aren't open, and where open ones are.
+
+        A bigram of a `trained` row has been counted: if the filter begins at the second step and lacks it, it was met once, and needn't be asked for.
+        """
         kinds, back = np.unique(tokens, return_inverse=True)
         about, exact, known, unsure = self.words_about(kinds)
         base = np.log10((exact + 1) / (self.tokens + self.types + 1.0))
@@ -279,7 +282,11 @@ class Model:
         opened |= ~known[back]
         pair = np.zeros(len(tokens))
         some = np.flatnonzero((context >= self.least_pair) & ~opened)
-        pair[some], unsure_pair = self.pairs_about(_bigrams(before[some], tokens[some], self.pair_bits))
+        about_pair, unsure_pair = self.pairs_about(_bigrams(before[some], tokens[some], self.pair_bits))
+        if self.least[1] == 2 and self.least_pair == 1:
+            once = unsure_pair & np.repeat(trained, counts)[some]
+            about_pair[once], unsure_pair[once] = 1, False
+        pair[some] = about_pair
         opened[some[unsure_pair]] = True
         closed = known[back]
         p = self.log_p(pair, context, about[back])
@@ -291,9 +298,11 @@ def _score(model):
         m, rid = model.value, TaskContext.get().partitionId() << 33
         for batch in batches:
             n, known, base, full, opened, begin = [], [], [], [], [None] * len(batch), rid
+            held = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
             for row, data, offs in chunks(batch.column(1), OPEN_BYTES):
                 tokens, before, counts = _tokens(data, offs)
-                k, b, s, at = m.score(tokens, before, counts)
+                trained = ~held[row : row + len(counts)]
+                k, b, s, at = m.score(tokens, before, counts, trained)
                 for out, x in zip((n, known, base, full), (counts, k, b, s), strict=True):
                     out.append(x)
                 if len(at):

@@ -197,7 +197,7 @@ def test_language_model_against_brute_force_at_any_filter_size(docs, texts, monk
         assert got[i].score == pytest.approx(want, rel=1e-9)
 
 
-@pytest.mark.parametrize(("head", "most_bits"), [(1 << 20, 1 << 28), (1 << 20, 30_000), (1 << 20, 0)])
+@pytest.mark.parametrize(("head", "most_bits"), [(1 << 20, 1 << 28), (1 << 20, 3_000_000), (1 << 20, 300_000), (1 << 20, 30_000), (1 << 20, 0), (50, 3_000_000)])
 def test_query_counts_bigrams_met_once(spark, docs, texts, monkeypatch, head, most_bits):
     monkeypatch.setattr(bloom_lm, "MEMBER_BITS", 300)  # next to no false positives, nor by asks
     monkeypatch.setattr(bloom_lm, "ASK_SPARE", 40)
