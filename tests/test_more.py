@@ -130,3 +130,37 @@ def test_more_of_the_dialect(spark):
     assert one("""SELECT XMLELEMENT("a", 1, XMLELEMENT(b, '<x>')) AS x, CONVERT('é', 'UTF8') AS c, JSON_EXISTS('{"k": 1}', '$.k') AS j FROM dual""") == ("<a>1<B>&lt;x&gt;</B></a>", "é", True)
     assert one("SELECT XMLAGG(n ORDER BY n DESC) AS x FROM (SELECT 'a' AS n FROM dual UNION ALL SELECT 'b' FROM dual)") == ("ba",)
     assert str(one("SELECT TIMESTAMP '2024-01-01 00:00:00' AT TIME ZONE 'Asia/Seoul' AS t FROM dual")[0]) == "2024-01-01 09:00:00"
+
+
+def test_commands(spark, tmp_path, capsys):
+    import json
+
+    from tessera.__main__ import main
+
+    spark.range(3).selectExpr("cast(id AS int) AS r_regionkey").write.parquet(str(tmp_path / "t" / "region.parquet"))
+    folder = str(tmp_path / "t")
+    assert main(["sql", folder, "SELECT r_regionkey FROM {region} ORDER BY 1", "--most", "2"], spark) == 0
+    said = capsys.readouterr()
+    assert [json.loads(x) for x in said.out.splitlines()] == [{"r_regionkey": 0}, {"r_regionkey": 1}] and "more than 2" in said.err
+    assert main(["count", folder, "SELECT * FROM {region}"], spark) == 0 and capsys.readouterr().out == "3\n"
+    assert main(["check", folder, "SELECT nothing FROM {region}"], spark) == 1 and main(["explain", folder, "SELECT * FROM {region}"], spark) == 0
+    (tmp_path / "code").mkdir()
+    (tmp_path / "code" / "a.sql").write_text("CREATE PROCEDURE p IS BEGIN INSERT INTO t SELECT * FROM s; q; END;\n/\nDELETE FROM t;\n")
+    capsys.readouterr()
+    assert main(["split", str(tmp_path / "code" / "a.sql")]) == 0
+    assert [json.loads(x)["kind"] for x in capsys.readouterr().out.splitlines()] == ["unit", "dml"]
+    assert main(["run", str(tmp_path / "code"), str(tmp_path / "b"), "--owner", "me"], spark) == 0
+    assert json.loads(capsys.readouterr().out)["units"] == 1
+    assert main(["show", str(tmp_path / "b"), "steps"], spark) == 0 and json.loads(capsys.readouterr().out) == {"src": "S", "dst": "T"}
+    assert main(["show", str(tmp_path / "b"), "calls"], spark) == 0 and json.loads(capsys.readouterr().out)["dst"] == "Q"
+    assert main(["show", str(tmp_path / "b"), "none"], spark) == 2
+
+
+def test_progress(spark):
+    from tessera.streaming import progress
+
+    spark.sparkContext.setJobGroup("counted", "x")
+    spark.range(10).repartition(3).count()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    p = progress.of_group(spark, "counted")
+    assert 0 < p.done <= p.total and p.failed == 0  # stages whose shuffle was there already do nothing
