@@ -252,12 +252,14 @@ class Model:
         return np.where(known, self.counts[at] if len(self.counts) else 0, 0), known
 
     def words_about(self, words):
-        """(steps, exact counts, whether these are known, whether neither tells the step) of words: steps from the filter, counts from the head."""
+        """(steps, exact counts, whether these are known, whether the step isn't told) of words: steps from the filter, counts from the head."""
         exact, known = self.head(words)
         about = self.flt.count(words, self.least[0])
-        low = (about == 0) & (self.least[0] > 1)
+        unsure = ~known & (self.least[0] > 1)
+        low = (about == 0) & known
         about[low] = _floor(exact[low])
-        return about, exact, known, low & ~known
+        about[unsure] = 0
+        return about, exact, known, unsure
 
     def pairs_about(self, pairs):
         about = self.flt.count(pairs, self.least[1])
@@ -464,7 +466,8 @@ def train(tmp: Scratch, texts: DataFrame, head: int = HEAD, most_bits: int = MOS
     at = next(s for s in range(1, len(SCALE) + 2) if s > len(SCALE) or above[s] <= head)
     head_from = int(SCALE[at - 1]) if at <= len(SCALE) else 1 << 62
     # the least steps for which all members fit; step 1 is the count 1, step 2 is 2
-    least = {"w": 1, "b": least_pair}
+    # words out of the head are asked for in any case, so that the filter has only those of the head's steps
+    least = {"w": at, "b": least_pair}
 
     def members(kind):
         return int((tallies[kind] * np.maximum(np.arange(len(SCALE) + 1) - least[kind] + 1, 0)).sum())
