@@ -46,7 +46,7 @@ LETTERS = 28
 REPEATS, TWICE, DOUBLE = (re.compile(rf"(.)\1{n}", re.DOTALL) for n in ("{3,}", "{2,}", ""))
 AT_MARKS = re.compile(f"[{re.escape(MARKS)}]+")
 #: Restored spans that are remembered: how many, and up to how many bytes each.
-MEMO, MEMO_BYTES = 200_000, 64
+MEMO, MEMO_BYTES = 100_000, 64
 
 
 def _code_table() -> np.ndarray:
@@ -240,11 +240,14 @@ def _terms(data: np.ndarray, offs: np.ndarray, memo: dict, model: np.ndarray):
             memo.clear()
         row, words, of, text_of_run = [], [], [], []
         for r, span, run in odd:
-            found = memo.get((span, run))
-            if found is None:
+            key = span + "\n" if run else span
+            kept = memo.get(key)  # one blob an entry: a worker remembers many
+            if kept is not None:
+                found = list(zip(kept[0].split(b"\n"), kept[1], strict=True)) if kept[1] else []
+            else:
                 found = [(word.encode(), i) for word, i in (pieces(span, model) if run else candidates(span, model))]
                 if len(span) <= MEMO_BYTES:
-                    memo[span, run] = found
+                    memo[key] = (b"\n".join(word for word, _ in found), bytes(i for _, i in found))
             n = len(words)
             row += [r] * len(found)
             of += [n + i for _, i in found]
