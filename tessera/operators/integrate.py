@@ -289,8 +289,8 @@ def view(of: DataFrame, edges: DataFrame, center: str | None = None, depth: int
             shown_lines = lines.join(keep.toDF("_a"), F.col("s") == F.col("_a"), "left_semi").join(keep.toDF("_b"), F.col("t") == F.col("_b"), "left_semi")
         else:
             shown_lines = lines.join(at.filter(F.col("depth") < hops) if hops is not None else at, F.col("t" if direction == "up" else "s") == F.col("_i"), "left_semi")
-    inside = lambda end: seen.join(keep.toDF("_k"), F.col(end) == F.col("_k"), "left").withColumn(f"_in_{end}", F.col("_k").isNotNull()).drop("_k")
-    marked = inside("s").join(keep.toDF("_k"), F.col("t") == F.col("_k"), "left").withColumn("_in_t", F.col("_k").isNotNull()).drop("_k")
+    inside = lambda df, end: df.join(keep.toDF("_k"), F.col(end) == F.col("_k"), "left").withColumn(f"_in_{end}", F.col("_k").isNotNull()).drop("_k")
+    marked = inside(inside(seen, "s"), "t")
     if direction == "up" and center is not None:
         more = marked.filter("_in_t AND NOT _in_s AND kind <> 'call'").select(F.col("t").alias("_m"))
     elif direction == "down" and center is not None:
