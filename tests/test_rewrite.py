@@ -60,6 +60,34 @@ def test_templates_keep_what_follows():
     assert to_spark("SELECT a - b, c * 2 - 1 FROM t") == "SELECT a - b, c * 2 - 1 FROM t"
 
 
+def test_casts_to_whole_numbers_round(spark, tmp_path):
+    import duckdb
+
+    from tessera.plans import lineage
+    from tessera.queries import ORACLE, QUERIES
+    from tessera.workbench import Workbench
+
+    halves = [None, 0.5, 1.5, 2.5, -0.5, -1.5, -2.5, 2.4999, 2.51, -2.51, 9999.5, 10000.5, 10001.5, 20000.6, 2147483647.4 - 10001]
+    # 10000.6 and 0.2 are within 10000 of each other only when cut, 1.5 and 10002.4 only when rounded
+    orders = [(k, 1, v) for k, v in enumerate(halves)] + [(100, 2, 10000.4), (101, 2, 0.5), (102, 3, 10000.6), (103, 3, 0.2), (104, None, 1.5), (105, None, 10002.4)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_totalprice double").coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view orders as select * from '{tmp_path}/orders.parquet/*.parquet'")
+    assert sorted(map(tuple, QUERIES["win_range_frame"](spark, str(tmp_path)).collect())) == sorted(con.execute(ORACLE["win_range_frame"]).fetchall())
+
+    w = Workbench(spark, str(tmp_path))
+    text = "SELECT o_orderkey, cast(o_totalprice AS int) AS a, cast(cast(o_totalprice AS decimal(18, 4)) AS bigint) AS b, cast(cast(o_totalprice AS float) AS integer) AS c, 1 - cast(cast(o_totalprice AS smallint) AS int) AS d FROM {orders} WHERE o_totalprice < 30000"
+    assert sorted(map(tuple, w.sql(text).collect())) == sorted(con.execute(text.replace("{orders}", "orders")).fetchall())
+    grouped = "SELECT cast(o_totalprice AS int) AS a, cast(sum(o_totalprice) AS bigint) AS n FROM {orders} WHERE o_totalprice > -9 GROUP BY cast(o_totalprice AS int)"
+    assert sorted(map(tuple, w.sql(grouped).collect())) == sorted(con.execute(grouped.replace("{orders}", "orders")).fetchall())
+    words = "SELECT cast('2.5' AS int) AS a, cast('-7' AS int) AS b, cast(NULL AS int) AS c, cast('9007199254740993' AS bigint) AS d, cast(9007199254740993 AS bigint) AS e, cast(3.5 AS int) AS f"
+    assert tuple(w.sql(words + " FROM dual").first()) == con.execute(words).fetchone() == (3, -7, None, 9007199254740993, 9007199254740993, 4)
+    # whole columns stay as they are, and so do the columns' origins
+    assert "CASE" not in w.sql("SELECT cast(o_orderkey AS int) AS k FROM {orders}")._jdf.queryExecution().optimizedPlan().toString()
+    kinds = {r.result_column: (r.kind, r.column_name) for r in lineage.column_lineage(w.sql("SELECT cast(o_totalprice AS int) AS a, cast(o_orderkey + 1 AS int) AS b FROM {orders}")).collect()}
+    assert kinds == {"a": ("column", "o_totalprice"), "b": ("computed", "o_orderkey")}
+
+
 def test_conditions_in_and_round_a_query():
     assert edit_sql.add_condition("SELECT a FROM t WHERE x = 1 OR y = 2 ORDER BY a;", "z = 3") == "SELECT a FROM t WHERE (x = 1 OR y = 2)\n  AND z = 3\nORDER BY a;"
     assert edit_sql.add_condition("SELECT a FROM t GROUP BY a", "z = 3") == "SELECT a FROM t\nWHERE z = 3\nGROUP BY a"
