@@ -125,10 +125,10 @@ def _hash(data, start, end, lower):
     return mix(sums[end] - sums[start] + (end - start).astype(np.uint64))
 
 
-def hashes(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = PLAIN, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, number of words of each row). A row over 8 chunks long is taken in parts cut between words."""
+def hashes(data: np.ndarray, offs: np.ndarray, keep: np.ndarray = PLAIN, lower: bool = False, edges: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each word, number of words of each row). A row over 8 chunks long is taken in parts cut between words. `edges` are what `spans` gives, if known."""
     if len(data) <= 8 * CHUNK:
-        start, end = spans(data, offs, keep)
+        start, end = edges or spans(data, offs, keep)
         return _hash(data, start, end, lower), np.diff(np.searchsorted(start, offs))
     parts, counts = [], []
     for a, b in zip(offs[:-1], offs[1:], strict=True):

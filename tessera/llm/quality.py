@@ -26,6 +26,8 @@ WORDS, SHAPES, STEPS, DIM = 8192, 1024, 1024, 32
 TOKENS = WORDS + SHAPES + STEPS
 #: Rows of each label that the model is fitted on at most.
 MOST = 3000
+#: Bytes of text taken at a time: whole rows, whose arrays of 8 bytes a byte and of DIM numbers a word stay in the processor's cache.
+BLOCK = 1 << 16
 
 
 def _index() -> np.ndarray:
@@ -45,22 +47,39 @@ UPPER, DIGIT = _class(lambda b: 65 <= b <= 90), _class(lambda b: 48 <= b <= 57)
 SYMBOL = _class(lambda b: 33 <= b <= 126 and not chr(b).isalnum())
 
 
-def _counts(table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(table[data])])
+#: The three in one number, so that one prefix sum counts them all.
+BITS = 21
+CLASSES = UPPER.astype(np.int64) | DIGIT.astype(np.int64) << BITS | SYMBOL.astype(np.int64) << 2 * BITS
+#: Steps of a word's length.
+LENGTHS = np.minimum(np.log2(np.arange(64) + 1).astype(int), 6)
+
+
+def _sums(table: np.ndarray, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(data) + 1, np.int64)
+    np.cumsum(table[data], out=sums[1:])
     return sums[end] - sums[start]
 
 
+def _counts(data: np.ndarray, start: np.ndarray, end: np.ndarray, together: int = 1 << BITS):
+    """Upper-case letters, digits and symbols of each word. Prefix sums may run over; the sum of a word may not, so longer data is counted by class."""
+    if len(data) >= together:
+        return tuple(_sums(t, data, start, end) for t in (UPPER, DIGIT, SYMBOL))
+    sums = _sums(CLASSES, data, start, end)
+    low = (1 << BITS) - 1
+    return sums & low, sums >> BITS & low, sums >> 2 * BITS
+
+
 def _features(data: np.ndarray, offs: np.ndarray):
     """(tokens of each word by kind, words of each row)."""
-    word, counts = hashes(data, offs)
     start, end = spans(data, offs)
+    word, counts = hashes(data, offs, edges=(start, end))
     if len(start) != len(word):  # words of very long rows are hashed in parts, with the same edges
         raise AssertionError("word edges differ")
     size = end - start
-    upper, digit, symbol = (_counts(t, data, start, end) for t in (UPPER, DIGIT, SYMBOL))
+    upper, digit, symbol = _counts(data, start, end)
     letters = size - digit - symbol
     case = np.where(upper == 0, 0, np.where((upper >= 2) & (2 * upper >= letters), 2, 1))
-    shape = ((case * 4 + np.minimum(symbol, 3)) * 3 + np.where(digit == 0, 0, np.where(digit < letters, 1, 2))) * 7 + np.minimum(np.log2(size + 1).astype(int), 6)
+    shape = ((case * 4 + np.minimum(symbol, 3)) * 3 + np.where(digit == 0, 0, np.where(digit < letters, 1, 2))) * 7 + LENGTHS[np.minimum(size, 63)]
     ends = np.cumsum(counts)
     before, again = np.full(len(word), SHAPES), np.zeros(len(word), np.int64)
     before[1:], again[1:] = shape[:-1], word[1:] == word[:-1]
@@ -82,30 +101,43 @@ def _pool(vectors: np.ndarray, kinds, counts) -> np.ndarray:
 
 
 def _contexts(batches):
-    """Sums of neighbours' index vectors by token, of one task."""
-    index, sums, seen = _index(), np.zeros((TOKENS, DIM)), np.zeros(TOKENS)
+    """Sums of neighbours' index vectors by token, of one task; all are whole numbers, so their order doesn't matter."""
+    index = _index()
+    place = np.argsort(-np.abs(index), axis=1, kind="stable")[:, :4]  # an index vector has four entries at most
+    value = np.take_along_axis(index, place, axis=1).astype(np.float64)
+    sums, seen = np.zeros((TOKENS, DIM)), np.zeros(TOKENS)
+    pairs = [(WORDS, np.zeros((SHAPES, SHAPES), np.int64)), (WORDS + SHAPES, np.zeros((STEPS, STEPS), np.int64))]
+
+    def meet(left, right, times):
+        for k in range(0, len(left), BLOCK):
+            part = slice(k, k + BLOCK)
+            for a, b in ((left[part], right[part]), (right[part], left[part])):
+                np.add.at(sums.reshape(-1), ((a * DIM)[:, None] + place.take(b, axis=0)).ravel(), (value.take(b, axis=0) * times[part, None]).ravel())
+                np.add.at(seen, a, times[part])
+
     for batch in batches:
-        for _, data, offs in chunks(batch.column(1)):
-            kinds, counts = _features(data, offs)
-            row = np.repeat(np.arange(len(counts)), counts)
-            near = np.flatnonzero(row[1:] == row[:-1])
-            for tokens in kinds:
-                for a, b in ((near, near + 1), (near + 1, near)):
-                    order = np.argsort(tokens[a], kind="stable")
-                    token, first = np.unique(tokens[a][order], return_index=True)
-                    if len(token):
-                        sums[token] += np.add.reduceat(index[tokens[b][order]], first, axis=0)
-                seen += np.bincount(tokens[np.concatenate([near, near + 1])], minlength=TOKENS)
+        for _, data, offs in chunks(batch.column(1), BLOCK):
+            (word, *others), counts = _features(data, offs)
+            inside = np.ones(len(word) + 1, bool)
+            inside[np.cumsum(counts)] = inside[0] = False
+            near = np.flatnonzero(inside[:-1])  # words with one before them in their row
+            meet(word[near - 1], word[near], np.ones(len(near)))
+            # shapes and steps are few: their pairs are counted, and meet once
+            for tokens, (first, met) in zip(others, pairs, strict=True):
+                np.add.at(met.reshape(-1), (tokens[near - 1] - first) * len(met) + (tokens[near] - first), 1)
+    for first, met in pairs:
+        left, right = np.nonzero(met)
+        meet(first + left, first + right, met[left, right].astype(np.float64))
     if seen.any():
         some = np.flatnonzero(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some]), pa.array(list(sums[some].astype(np.float64)), pa.list_(pa.float64()))], names=["token", "seen", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(seen[some]), pa.array(list(sums[some]), pa.list_(pa.float64()))], names=["token", "seen", "sums"])
 
 
 def _inputs(vectors):
     def inputs(batches):
         for batch in batches:
             out = []
-            for _, data, offs in chunks(batch.column(1)):
+            for _, data, offs in chunks(batch.column(1), BLOCK):
                 out += list(_pool(vectors.value, *_features(data, offs)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.float64()))], names=["label", "x"])
 
@@ -117,7 +149,7 @@ def _score(shared):
         vectors, model = shared.value
         for batch in batches:
             out = [np.zeros(0)]
-            for _, data, offs in chunks(batch.column(1)):
+            for _, data, offs in chunks(batch.column(1), BLOCK):
                 out.append(model.probability(_pool(vectors, *_features(data, offs))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.concatenate(out))], names=["id", "held_out", "score"])
 
@@ -142,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str, label_col: str, allowed
         sums[r.token], seen[r.token] = r.sums, r.seen
     vectors = _index() + sums / np.maximum(seen, 1)[:, None]
     vectors = (vectors / np.maximum(np.linalg.norm(vectors, axis=1), 1e-9)[:, None]).astype(np.float32)
-    got = rows.mapInArrow(_inputs(spark.sparkContext.broadcast(vectors)), "label int, x array<double>").orderBy("label", "x").collect()
+    # in an order of their own, as the network takes rows by place; Spark's sort would compute them twice to find its ranges
+    got = sorted(rows.mapInArrow(_inputs(spark.sparkContext.broadcast(vectors)), "label int, x array<double>").collect())
     y, x = np.array([r.label for r in got]), np.array([r.x for r in got])
     if len(set(y.tolist())) < 2:
         return zero, Constant(float(totals.get(1, 0) / sum(totals.values())))

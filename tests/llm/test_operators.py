@@ -4,15 +4,17 @@ import functools
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import bloom_lm, decontamination, embedding_dedup, minhash_dedup, mixing, quality, queries, sharding, substring_dedup, token_counts, toxicity
-from tessera.llm._words import hashes, mix, rolling
+from tessera.llm._words import chunks, hashes, mix, rolling
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, score string, n_words string, size string"
@@ -514,6 +516,51 @@ def test_quality_is_scored_by_vectors_alone():
     assert word[1] == word[2] == word[3] and shape[1] == shape[2] and step[2] == step[3] != step[1]
 
 
+def context_batch(texts):
+    return pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["id", "text"])
+
+
+def test_context_sums_match_brute_force():
+    rng = random.Random(21)
+    texts = [" ".join(rng.choice(("a", "B!!", "c1", "22", "Dd", "a b")) for _ in range(rng.randrange(40))) for _ in range(60)] + [None, "", "one", "x" * 200_000 + " y y"]
+    index, sums, seen = quality._index(), np.zeros((quality.TOKENS, quality.DIM)), np.zeros(quality.TOKENS)
+    for text in texts:
+        raw = (text or "").encode()
+        for tokens in quality._features(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]:
+            for a, b in zip(tokens, tokens[1:], strict=False):
+                sums[a] += index[b]
+                sums[b] += index[a]
+                seen[a] += 1
+                seen[b] += 1
+    (got,) = quality._contexts([context_batch(texts[:30]), context_batch(texts[30:])])
+    assert got["token"].to_pylist() == np.flatnonzero(seen).tolist() and got["seen"].to_pylist() == seen[seen > 0].tolist()
+    assert got["sums"].to_pylist() == sums[seen > 0].tolist()
+
+
+def test_symbols_and_digits_of_long_words_are_counted():
+    raw = b"Ab1! " + b"9!A" * 1000 + b" zZ"
+    edges = np.array([0, 5, 3006]), np.array([4, 3005, 3008])
+    want = [(1, 1, 1), (1000, 1000, 1000), (1, 0, 0)]
+    for together in (1 << quality.BITS, 1):  # both ways of counting
+        assert list(zip(*(x.tolist() for x in quality._counts(np.frombuffer(raw, np.uint8), *edges, together)), strict=True)) == want
+
+
+def test_context_sums_cost_a_few_times_the_hashing():
+    rng = random.Random(22)
+    batch = context_batch([" ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(400)) for _ in range(1000)])
+
+    def seconds(run):
+        least = 1e9
+        for _ in range(4):
+            start = time.thread_time()
+            run()
+            least = min(least, time.thread_time() - start)
+        return least
+
+    hashing = seconds(lambda: [hashes(data, offs) for _, data, offs in chunks(batch.column(1), 1 << 16)])
+    assert seconds(lambda: list(quality._contexts([batch]))) < 11 * hashing
+
+
 def test_word_vectors_come_from_all_documents(spark):
     docs, labels, _ = labelled(spark)
     more = spark.createDataFrame([(1000 + i, "quorp vextil " * 20, "p") for i in range(5)], docs.schema)
